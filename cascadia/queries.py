@@ -1,4 +1,537 @@
-"""The registered queries and the SQL that they are held against."""
+"""The registered queries and the SQL that they are held against.
 
-QUERIES: dict = {}
+Every query reads its whole tables; a limit stands only in top-k reports.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from .functions import metrics, udf
+from .operators import linalg, models, ranks, relational as rel, text
+from .operators.models import LinearModel
+from .plans import cascade, train
+from .plans.plan import FeatureGroup, FeaturePlan
+from .sources.io import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- element-wise ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - l_discount) + l_tax * l_discount, 6) AS nested, round(CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END, 6) AS quotient FROM lineitem")
+def binop_nested(spark, d):
+    q, disc, tax = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
+    nested = linalg.binop(linalg.binop(q, "-", disc), "+", linalg.binop(tax, "*", disc))
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(nested, 6).alias("nested"), F.round(linalg.binop(tax, "/", disc), 6).alias("quotient"))
+
+
+@query("SELECT doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered FROM documents")
+def ascii_lower_col(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", text.ascii_lower(F.col("text")).alias("lowered"))
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '\s\s+', ' ', 'g') AS chars, regexp_replace(text, '[^\p{L}\p{N}_]+', ' ', 'g') AS words FROM documents")
+def clean_text(spark, d):
+    return read_table(spark, d, "documents").select("doc_id", text.collapse_spaces(F.col("text")).alias("chars"), text.word_clean(F.col("text")).alias("words"))
+
+
+@query("SELECT o_orderkey, list_transform(string_split(trim(o_orderpriority), '-'), lambda x: upper(x)) AS parts, round(sqrt(o_totalprice), 6) AS root, round(ln(o_totalprice), 6) AS log, list_append([o_custkey], o_orderkey) AS pair FROM orders")
+def scalar_functions(spark, d):
+    parts = F.transform(F.split(F.trim("o_orderpriority"), "-"), lambda x: F.upper(x))
+    return read_table(spark, d, "orders").select("o_orderkey", parts.alias("parts"), F.round(F.sqrt("o_totalprice"), 6).alias("root"), F.round(F.ln("o_totalprice"), 6).alias("log"), F.array_append(F.array("o_custkey"), F.col("o_orderkey")).alias("pair"))
+
+
+@query("SELECT vec_id, list_transform(range(1, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN round(CAST(embedding[i] AS DOUBLE) / sqrt(CAST(embedding[i + 1] AS DOUBLE)), 4) END) AS ratios FROM embeddings")
+def wide_row_ratios(spark, d):
+    vector = F.col("embedding").cast("array<double>")
+    made = linalg.pair_ratios(vector, [(i, i + 1) for i in range(63)])
+    return read_table(spark, d, "embeddings").select("vec_id", F.transform(made, lambda x: F.round(x, 4)).alias("ratios"))
+
+
+# --- lookups and stars ----------------------------------------------------------------------------------------
+
+_PER_ORDER = "SELECT l_orderkey AS o_orderkey, count(*) AS n_lines, sum(l_quantity) AS qty FROM lineitem GROUP BY l_orderkey"
+
+
+def _per_order(spark, d) -> DataFrame:
+    return read_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty"))
+
+
+@query(f"SELECT o.o_orderkey, o_custkey, coalesce(n_lines, 0) AS n_lines, coalesce(qty, 0) AS qty FROM orders o LEFT JOIN ({_PER_ORDER}) l USING (o_orderkey)")
+def lookup_join_single(spark, d):
+    return rel.lookup_join(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), _per_order(spark, d), "o_orderkey")
+
+
+@query("SELECT o_orderkey, coalesce(n, 0) AS n, round(coalesce(spent, 0), 2) AS spent FROM orders o LEFT JOIN (SELECT o_custkey, o_orderstatus, count(*) AS n, sum(o_totalprice) AS spent FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1, 2) r USING (o_custkey, o_orderstatus)")
+def lookup_join_multi(spark, d):
+    orders = read_table(spark, d, "orders")
+    urgent = orders.where(F.col("o_orderpriority") == "1-URGENT").groupBy("o_custkey", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("spent"))
+    joined = rel.lookup_join(orders.select("o_orderkey", "o_custkey", "o_orderstatus"), urgent, ["o_custkey", "o_orderstatus"])
+    return joined.select("o_orderkey", "n", F.round("spent", 2).alias("spent"))
+
+
+@query("SELECT o_orderkey, o_custkey, coalesce(c_acctbal, 0) AS c_acctbal FROM orders LEFT JOIN (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
+def lookup_join_missing_zero(spark, d):
+    # a third of the keys is taken away to have look-ups that miss
+    some = read_table(spark, d, "customer").where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    return rel.lookup_join(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), some, "o_custkey")
+
+
+@query("SELECT p_partkey, coalesce(qty, 0) AS qty FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS qty FROM lineitem GROUP BY 1) ON p_partkey = l_partkey")
+def lookup_join_dup_sum(spark, d):
+    lines = read_table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_quantity").alias("qty"))
+    return rel.lookup_join(read_table(spark, d, "part").select("p_partkey"), lines, "p_partkey")
+
+
+@query(
+    "SELECT o.o_orderkey, o.o_custkey, coalesce(c_nationkey, 0) AS c_nationkey, coalesce(c_acctbal, 0) AS c_acctbal, n_name, coalesce(n_regionkey, 0) AS n_regionkey, r_name, coalesce(n_lines, 0) AS n_lines, coalesce(qty, 0) AS qty "
+    f"FROM orders o LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN ({_PER_ORDER}) l ON o.o_orderkey = l.o_orderkey"
+)
+def star_join_dependent(spark, d):
+    nation = read_table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey")
+    region = read_table(spark, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    customer = read_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal")
+    tables = [(region, "n_regionkey"), (nation, "c_nationkey"), (customer, "o_custkey"), (_per_order(spark, d), "o_orderkey")]
+    base = read_table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    order = rel.join_order(base.columns, [([k], t.columns) for t, k in tables])
+    return rel.star_join(base, [tables[i] for i in order]).select("o_orderkey", "o_custkey", "c_nationkey", "c_acctbal", "n_name", "n_regionkey", "r_name", "n_lines", "qty")
+
+
+@query("SELECT o_orderkey, o_totalprice, o_custkey FROM orders")
+def select_columns(spark, d):
+    orders = read_table(spark, d, "orders")
+    return rel.select_columns(["o_totalprice", "o_custkey"], orders.select("o_orderkey", "o_custkey"), orders.select("o_orderkey", "o_totalprice", "o_custkey"), row_id="o_orderkey")
+
+
+@query(f"SELECT o.o_orderkey, o_totalprice, n_lines FROM orders o JOIN ({_PER_ORDER}) USING (o_orderkey)")
+def hconcat_rows(spark, d):
+    return rel.hconcat("o_orderkey", read_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), _per_order(spark, d).select("o_orderkey", "n_lines"))
+
+
+@query("SELECT c_custkey AS key, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
+def union_rows(spark, d):
+    return rel.vconcat(read_table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance")), read_table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance")))
+
+
+@query("SELECT * FROM (SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 7)")
+def point_row(spark, d):
+    return rel.one_row(read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "o_orderkey", 7)
+
+
+# --- group features -------------------------------------------------------------------------------------------
+
+
+@query(
+    "SELECT o_custkey, min(o_totalprice) AS \"ORD_O_TOTALPRICE_MIN\", max(o_totalprice) AS \"ORD_O_TOTALPRICE_MAX\", round(avg(o_totalprice) + 1e-5, 4) AS \"ORD_O_TOTALPRICE_MEAN\", round(sum(o_totalprice), 2) AS \"ORD_O_TOTALPRICE_SUM\", "
+    "round(var_samp(o_totalprice), 2) AS \"ORD_O_TOTALPRICE_VAR\", count(DISTINCT o_orderstatus) AS \"ORD_O_ORDERSTATUS_NUNIQUE\", count(*) AS \"ORD_SIZE\" FROM orders GROUP BY o_custkey"
+)
+def agg_features_multi(spark, d):
+    made = rel.agg_features(read_table(spark, d, "orders"), ["o_custkey"], {"o_totalprice": ["min", "max", "mean", "sum", "var"], "o_orderstatus": ["nunique"]}, "ord", "size")
+    # means of prices in cents often lie half-way between two roundings, which engines settle differently
+    made = made.withColumn("ORD_O_TOTALPRICE_MEAN", F.col("ORD_O_TOTALPRICE_MEAN") + 1e-5)
+    digits = {"ORD_O_TOTALPRICE_MEAN": 4, "ORD_O_TOTALPRICE_SUM": 2, "ORD_O_TOTALPRICE_VAR": 2}
+    return made.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in made.columns])
+
+
+@query("SELECT o_custkey, " + ", ".join(f"round(avg(CASE WHEN o_orderstatus = '{s}' THEN 1.0 ELSE 0.0 END), 6) AS share_{s.lower()}" for s in "FOP") + " FROM orders GROUP BY o_custkey")
+def category_share(spark, d):
+    return read_table(spark, d, "orders").groupBy("o_custkey").agg(*[F.round(rel.share(F.col("o_orderstatus"), s), 6).alias(f"share_{s.lower()}") for s in "FOP"])
+
+
+@query("SELECT l_suppkey, round(sum(CASE WHEN l_returnflag = 'R' THEN l_quantity END), 2) AS returned, round(avg(CASE WHEN l_returnflag = 'A' THEN l_extendedprice END), 4) AS price_a, count(*) AS n FROM lineitem GROUP BY l_suppkey")
+def conditional_agg(spark, d):
+    flag = F.col("l_returnflag")
+    return read_table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(rel.only(flag == "R", F.col("l_quantity"))), 2).alias("returned"), F.round(F.avg(rel.only(flag == "A", F.col("l_extendedprice"))), 4).alias("price_a"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT o_custkey, round(avg(n_lines), 6) AS lines_mean, max(qty) AS qty_max, sum(qty) AS qty_sum FROM orders JOIN ({_PER_ORDER}) USING (o_orderkey) GROUP BY o_custkey")
+def two_level_agg(spark, d):
+    joined = read_table(spark, d, "orders").select("o_orderkey", "o_custkey").join(_per_order(spark, d), "o_orderkey")
+    return joined.groupBy("o_custkey").agg(F.round(F.avg("n_lines"), 6).alias("lines_mean"), F.max("qty").alias("qty_max"), F.sum("qty").alias("qty_sum"))
+
+
+_SEGMENT = "CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE c_mktsegment END"
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query(f"SELECT c_custkey, (s IS NULL)::INT AS segment_nan, " + ", ".join(f"coalesce(s = '{v}', false)::INT AS \"segment_{v}\"" for v in _SEGMENTS) + f" FROM (SELECT c_custkey, {_SEGMENT} AS s FROM customer)")
+def one_hot_with_null(spark, d):
+    segment = F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("segment")
+    return rel.one_hot(read_table(spark, d, "customer").select("c_custkey", segment), "segment").drop("segment")
+
+
+@query(f"WITH c AS (SELECT c_custkey, {_SEGMENT} AS s FROM customer), f AS (SELECT s, row_number() OVER (ORDER BY min(c_custkey), s) - 1 AS code FROM c WHERE s IS NOT NULL GROUP BY s) SELECT c_custkey, coalesce(code, -1)::INT AS code FROM c LEFT JOIN f USING (s)")
+def factorize_first_seen(spark, d):
+    segment = F.when(F.col("c_custkey") % 10 != 0, F.col("c_mktsegment")).alias("segment")
+    return rel.factorize(read_table(spark, d, "customer").select("c_custkey", segment), "segment", "c_custkey", "code").select("c_custkey", "code")
+
+
+@query("SELECT p_partkey, nullif(p_size, 1) AS p_size FROM part WHERE p_brand IS DISTINCT FROM 'Brand#11'")
+def sentinel_null(spark, d):
+    return rel.nullify(read_table(spark, d, "part").where(rel.not_equal(F.col("p_brand"), "Brand#11")).select("p_partkey", "p_size"), "p_size", 1)
+
+
+@query("SELECT event_id, value FROM events WHERE value IS NOT NULL AND NOT isnan(value) AND value > 0")
+def filter_drop_nulls(spark, d):
+    return read_table(spark, d, "events").select("event_id", "value").na.drop(subset=["value"]).where((F.col("value") > 0) & ~F.isnan("value"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice / nullif(l_quantity, 0) AS unit_price, l_discount / nullif(l_tax, 0) AS disc_tax, round(l_extendedprice - l_quantity, 4) AS diff FROM lineitem")
+def ratio_features(spark, d):
+    c = F.col
+    return read_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", rel.ratio(c("l_extendedprice"), c("l_quantity")).alias("unit_price"), rel.ratio(c("l_discount"), c("l_tax")).alias("disc_tax"), F.round(c("l_extendedprice") - c("l_quantity"), 4).alias("diff"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE 0 END AS balance FROM customer")
+def clamp_zero(spark, d):
+    return read_table(spark, d, "customer").select("c_custkey", rel.clamp_zero(F.col("c_acctbal")).alias("balance"))
+
+
+@query("SELECT page_id, coalesce(url, '') || ' ' || coalesce(nullif(html, ''), '') AS body FROM pages")
+def concat_null_text(spark, d):
+    return read_table(spark, d, "pages").select("page_id", rel.text_concat(F.col("url"), F.nullif(F.col("html"), F.lit(""))).alias("body"))
+
+
+@query(
+    "WITH g AS (SELECT user_id, count(*) AS n, sum((event_type = 'purchase')::INT) AS pos FROM events WHERE user_id IS NOT NULL GROUP BY user_id), t AS (SELECT max(n) AS most, sum(n) AS every, max(pos) AS most_pos FROM g) "
+    "SELECT user_id, n::FLOAT AS user_played, pos::FLOAT AS user_played_pos, (n / most)::FLOAT AS user_played_rel, (n / every)::FLOAT AS user_played_rel_global, (pos / nullif(most_pos, 0))::FLOAT AS user_played_pos_rel, (pos / n)::FLOAT AS user_played_ratio FROM g, t"
+)
+def popularity_features(spark, d):
+    return rel.popularity_features(read_table(spark, d, "events"), "user_id", F.col("event_type") == "purchase", "user")
+
+
+@query("WITH s AS (SELECT avg(ln(1 + o_totalprice)) AS m, stddev_pop(ln(1 + o_totalprice)) AS sd FROM orders) SELECT o_orderkey, round((ln(1 + o_totalprice) - m) / sd, 6) AS scaled, round(o_totalprice, 2) AS back FROM orders, s")
+def log_scale_roundtrip(spark, d):
+    log = F.log1p("o_totalprice")
+    stats = read_table(spark, d, "orders").agg(F.avg(log).alias("m"), F.stddev_pop(log).alias("sd"))
+    scaled = read_table(spark, d, "orders").crossJoin(F.broadcast(stats)).withColumn("z", (log - F.col("m")) / F.col("sd"))  # one row
+    back = F.greatest(F.expm1(F.col("z") * F.col("sd") + F.col("m")), F.lit(0.0))
+    return scaled.select("o_orderkey", F.round("z", 6).alias("scaled"), F.round(back, 2).alias("back"))
+
+
+@query("SELECT o_orderkey, o_custkey::DOUBLE AS o_custkey, o_totalprice::DOUBLE AS o_totalprice FROM orders")
+def cast_frame(spark, d):
+    return rel.cast_all(read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), "double", ["o_orderkey"])
+
+
+# --- text features --------------------------------------------------------------------------------------------
+
+#: None of these can overlap itself, so that counting by replacement agrees.
+_TERMS = ["th", "and", "en", "é", "ch", "de", "ing", "ión"]
+_TERM_SQL = "(VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(_TERMS)) + ") AS v(term, idx)"
+_COUNTS_SQL = rf"SELECT doc_id, idx, CAST((length(t) - length(replace(t, term, ''))) // length(term) AS BIGINT) AS value FROM (SELECT doc_id, regexp_replace(text, '\s\s+', ' ', 'g') AS t FROM documents), {_TERM_SQL} WHERE t LIKE '%' || term || '%'"
+
+
+@query(_COUNTS_SQL)
+def char_count_vectorize(spark, d):
+    return text.count_vectorize(text.grams(read_table(spark, d, "documents"), "doc_id", "text", "char", (1, 3)), "doc_id", text.vocabulary(spark, _TERMS))
+
+
+def _char_vocabulary(spark, docs: DataFrame) -> DataFrame:
+    """The terms with idf over all documents."""
+    seen = text.grams(docs, "doc_id", "text", "char", (1, 3)).join(F.broadcast(text.vocabulary(spark, _TERMS)), "term")
+    found = seen.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = docs.count()
+    idf = F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
+    return text.vocabulary(spark, _TERMS).join(found, "term", "left").select("term", "idx", idf.alias("idf"))
+
+
+@query(
+    f"WITH c AS ({_COUNTS_SQL}), n AS (SELECT count(*) AS n FROM documents), f AS (SELECT idx, count(*) AS df FROM c GROUP BY idx), w AS (SELECT doc_id, c.idx, value * (ln((1.0 + n) / (1.0 + df)) + 1.0) AS raw FROM c JOIN f USING (idx), n) "
+    "SELECT doc_id, idx, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS value FROM w"
+)
+def char_tfidf(spark, d):
+    docs = read_table(spark, d, "documents")
+    made = text.tfidf(text.grams(docs, "doc_id", "text", "char", (1, 3)), "doc_id", _char_vocabulary(spark, docs))
+    return made.select("doc_id", "idx", F.round("value", 6).alias("value"))
+
+
+_MIN_SHARE, _MOST_TERMS = 0.02, 500
+_WORD_SQL = r"SELECT doc_id, unnest(list_filter(string_split(regexp_replace(text, '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)) AS term FROM documents"
+_VOCAB_SQL = (
+    f"g AS ({_WORD_SQL}), n AS (SELECT count(*) AS n FROM documents), s AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM g GROUP BY term), "
+    f"top AS (SELECT term, df, tf FROM s, n WHERE df >= ceil(n * {_MIN_SHARE}) ORDER BY tf DESC, encode(term) LIMIT {_MOST_TERMS}), "
+    "vocab AS (SELECT term, df, tf, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf, (row_number() OVER (ORDER BY encode(term)) - 1)::INT AS idx FROM top, n)"
+)
+
+
+def _word_vocabulary(spark, d) -> tuple[DataFrame, DataFrame]:
+    import math
+
+    docs = read_table(spark, d, "documents")
+    n = docs.count()
+    made = text.grams(docs, "doc_id", "text", "word", (1, 1))
+    return made, text.fit_vocabulary(made, "doc_id", n, math.ceil(n * _MIN_SHARE), _MOST_TERMS)
+
+
+@query(f"WITH {_VOCAB_SQL} SELECT term, df, tf, round(idf, 6) AS idf, idx FROM vocab")
+def fit_vocab_minidf(spark, d):
+    return _word_vocabulary(spark, d)[1].withColumn("idf", F.round("idf", 6))
+
+
+@query(
+    f"WITH {_VOCAB_SQL}, w AS (SELECT doc_id, idx, count(*) * idf AS raw FROM g JOIN vocab USING (term) GROUP BY doc_id, idx, idf) SELECT doc_id, idx, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS value FROM w"
+)
+def word_tfidf(spark, d):
+    made, vocab = _word_vocabulary(spark, d)
+    return text.tfidf(made, "doc_id", vocab).select("doc_id", "idx", F.round("value", 6).alias("value"))
+
+
+_BIGRAMS = ["of the", "to the", "de la", "in the", "and the"]
+
+
+@query(
+    r"WITH w AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: length(x) >= 1) AS w FROM documents), "
+    "g AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM w) SELECT doc_id, idx, count(*) AS value FROM g JOIN (VALUES "
+    + ", ".join(f"('{t}', {i})" for i, t in enumerate(_BIGRAMS))
+    + ") AS v(term, idx) USING (term) GROUP BY doc_id, idx"
+)
+def word_bigram_count(spark, d):
+    made = text.grams(read_table(spark, d, "documents"), "doc_id", "text", "word", (2, 2), least_length=1)
+    return text.count_vectorize(made, "doc_id", text.vocabulary(spark, _BIGRAMS))
+
+
+# --- stacking and linear scores -------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, [p_size::DOUBLE, p_retailprice] AS features, [[p_size::DOUBLE], [p_retailprice]] AS rows FROM part")
+def dense_matrix(spark, d):
+    vector = linalg.dense(["p_size", "p_retailprice"])
+    return read_table(spark, d, "part").select("p_partkey", vector.alias("features"), linalg.reshape(vector, 1).alias("rows"))
+
+
+@query("SELECT vec_id, list_concat(list_transform(embedding, lambda x: round(x::DOUBLE, 6)), [label::DOUBLE]) AS stacked, list_transform(embedding, lambda x: round(x::DOUBLE + x::DOUBLE, 6)) AS doubled FROM embeddings")
+def stack_dense_blocks(spark, d):
+    vector = F.col("embedding").cast("array<double>")
+    rounded = F.transform(vector, lambda x: F.round(x, 6))
+    doubled = F.transform(linalg.vector_binop(vector, "+", vector), lambda x: F.round(x, 6))
+    return read_table(spark, d, "embeddings").select("vec_id", linalg.stack_dense(rounded, linalg.dense(["label"])).alias("stacked"), doubled.alias("doubled"))
+
+
+def _blocks(spark, d) -> DataFrame:
+    chars, lengths = char_count_vectorize(spark, d), read_table(spark, d, "documents").select("doc_id", F.lit(0).alias("idx"), F.col("n_chars").alias("value"))
+    return linalg.stack_sparse("doc_id", [(chars, len(_TERMS)), (lengths, 1)])
+
+
+_STACK_SQL = f"SELECT doc_id, idx, value::DOUBLE AS value FROM ({_COUNTS_SQL}) UNION ALL SELECT doc_id, {len(_TERMS)}, n_chars::DOUBLE FROM documents"
+
+
+@query(_STACK_SQL)
+def stack_sparse_long(spark, d):
+    return _blocks(spark, d)
+
+
+_TEXT_WEIGHTS = [0.01, -0.02, 0.03, 0.05, -0.04, 0.02, 0.01, 0.06, -0.001]
+
+
+@query(
+    f"SELECT d.doc_id, round(0.25 + coalesce(s, 0), 6) AS score FROM documents d LEFT JOIN (SELECT doc_id, sum(value * w) AS s FROM ({_STACK_SQL}) JOIN (VALUES "
+    + ", ".join(f"({i}, {w})" for i, w in enumerate(_TEXT_WEIGHTS))
+    + ") AS v(idx, w) USING (idx) GROUP BY doc_id) USING (doc_id)"
+)
+def linear_score_text(spark, d):
+    weights = spark.createDataFrame(list(enumerate(_TEXT_WEIGHTS)), "idx int, weight double")
+    return linalg.linear_sparse(read_table(spark, d, "documents"), "doc_id", _blocks(spark, d), weights, 0.25).withColumn("score", F.round("score", 6))
+
+
+_LINEAR = {"o_totalprice": 1e-5, "n_lines": 0.2, "qty": -0.01, "c_acctbal": 1e-4}
+_LINEAR_SQL = "(-1.0::DOUBLE + " + " + ".join(f"{w}::DOUBLE * coalesce({c}, 0)" for c, w in _LINEAR.items()) + ")"
+_FACTS_SQL = f"(SELECT o.o_orderkey, o_custkey, o_totalprice, coalesce(n_lines, 0) AS n_lines, coalesce(qty, 0) AS qty, coalesce(c_acctbal, 0) AS c_acctbal FROM orders o LEFT JOIN ({_PER_ORDER}) l ON o.o_orderkey = l.o_orderkey LEFT JOIN customer ON o_custkey = c_custkey) f"
+
+
+@query(f"SELECT o_orderkey, {_LINEAR_SQL} AS score, ({_LINEAR_SQL} > 0)::INT AS label FROM {_FACTS_SQL}")
+def linear_score_join(spark, d):
+    made = _plan(spark, d).build(_orders(spark, d))
+    score = linalg.linear(_LINEAR, -1.0)
+    return made.select("o_orderkey", score.alias("score"), linalg.classify(score).alias("label"))
+
+
+@query("SELECT vec_id, round(coalesce(CASE label WHEN 0 THEN 0.5 + list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.25)) WHEN 1 THEN -0.5 + list_sum(list_transform(embedding, lambda x: x::DOUBLE * 0.5)) END, 0), 5) AS score FROM embeddings")
+def partitioned_linear_model(spark, d):
+    coefficients = spark.createDataFrame([(0, [0.25] * 64, 0.5), (1, [0.5] * 64, -0.5)], "label int, weights array<double>, intercept double")
+    made = models.partitioned_linear(read_table(spark, d, "embeddings"), "label", "embedding", coefficients)
+    return made.select("vec_id", F.round("score", 5).alias("score"))
+
+
+# --- cascades -------------------------------------------------------------------------------------------------
+
+
+def _orders(spark, d) -> DataFrame:
+    return read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+def _plan(spark, d) -> FeaturePlan:
+    customer = read_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    lines = _per_order(spark, d)
+    return FeaturePlan(
+        "o_orderkey",
+        (
+            FeatureGroup("price", lambda rows: rows, ["o_totalprice"], 0.05),
+            FeatureGroup("customer", lambda rows: rel.lookup_join(rows, customer, "o_custkey"), ["c_acctbal"], 0.1),
+            FeatureGroup("lines", lambda rows: rel.lookup_join(rows, lines, "o_orderkey"), ["n_lines", "qty"], 0.3),
+        ),
+    )
+
+
+_SMALL = LinearModel({"o_totalprice": 1.5e-5, "c_acctbal": 1e-4}, -1.5)
+_BIG = LinearModel(_LINEAR, -1.0)
+_SMALL_P = "(1 / (1 + exp(-(-1.5 + 1.5e-5 * o_totalprice + 1e-4 * c_acctbal))))"
+_BIG_P = f"(1 / (1 + exp(-{_LINEAR_SQL})))"
+_THRESHOLD = 0.7
+
+
+def _executor(spark, d, threshold: float = _THRESHOLD, ratio: int | None = None) -> cascade.CascadeExecutor:
+    return cascade.CascadeExecutor(_plan(spark, d), cascade.linear_callbacks(), cascade.fixed(_SMALL, _BIG, ["price", "customer"], threshold, ratio))
+
+
+@query(f"SELECT o_orderkey, (CASE WHEN {_SMALL_P} > {_THRESHOLD} THEN 1 WHEN {_SMALL_P} < 1 - {_THRESHOLD} THEN 0 ELSE 2 END)::INT AS small_label FROM {_FACTS_SQL}")
+def threshold_tristate(spark, d):
+    return _executor(spark, d).labelled(_orders(spark, d)).select("o_orderkey", "small_label")
+
+
+_CASCADE_SQL = f"SELECT o_orderkey, (CASE WHEN {_SMALL_P} > {_THRESHOLD} THEN 1 WHEN {_SMALL_P} < 1 - {_THRESHOLD} THEN 0 ELSE ({_LINEAR_SQL} > 0)::INT END)::DOUBLE AS predict, CASE WHEN {_SMALL_P} > {_THRESHOLD} OR {_SMALL_P} < 1 - {_THRESHOLD} THEN 'small' ELSE 'big' END AS answered_by FROM {_FACTS_SQL}"
+
+
+@query(_CASCADE_SQL)
+def cascade_batch_fixed(spark, d):
+    return _executor(spark, d).batch(_orders(spark, d), detail=True)
+
+
+@query(f"SELECT o_orderkey, ({_LINEAR_SQL} > 0)::INT::DOUBLE AS predict FROM {_FACTS_SQL}")
+def cascade_t1_equals_full(spark, d):
+    return _executor(spark, d, threshold=1.0).batch(_orders(spark, d))
+
+
+@query(f"SELECT o_orderkey, predict FROM ({_CASCADE_SQL}) WHERE o_orderkey = 7")
+def cascade_point_exit(spark, d):
+    return _executor(spark, d).point(rel.one_row(_orders(spark, d), "o_orderkey", 7))
+
+
+_K = 100
+
+
+@query(f"SELECT o_orderkey, round({_BIG_P}, 6) AS score FROM {_FACTS_SQL} ORDER BY {_BIG_P} DESC, o_orderkey LIMIT {_K}")
+def topk_exact(spark, d):
+    made = _plan(spark, d).build(_orders(spark, d)).withColumn("score", _BIG.proba())
+    return ranks.top_k(made, "score", "o_orderkey", _K).select("o_orderkey", F.round("score", 6).alias("score"))
+
+
+_CANDIDATES_SQL = f"SELECT o_orderkey, {_BIG_P} AS p FROM {_FACTS_SQL} WHERE {_SMALL_P} >= (SELECT min(s) FROM (SELECT {_SMALL_P} AS s FROM {_FACTS_SQL} ORDER BY s DESC LIMIT {10 * _K}))"
+
+
+@query(f"SELECT o_orderkey, round(p, 6) AS score FROM ({_CANDIDATES_SQL}) ORDER BY p DESC, o_orderkey LIMIT {_K}")
+def topk_cascade_fixed(spark, d):
+    scored = _executor(spark, d, ratio=10).top_k(_orders(spark, d), _K)
+    return ranks.top_k(scored, "score", "o_orderkey", _K).select("o_orderkey", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH t AS (SELECT o_orderkey FROM {_FACTS_SQL} ORDER BY {_BIG_P} DESC, o_orderkey LIMIT {_K}), a AS (SELECT o_orderkey FROM ({_CANDIDATES_SQL}) ORDER BY p DESC, o_orderkey LIMIT {_K}) SELECT count(*) / {_K}.0 AS precision FROM t JOIN a USING (o_orderkey)")
+def topk_precision(spark, d):
+    return metrics.precision_at_k(topk_cascade_fixed(spark, d), topk_exact(spark, d), "o_orderkey", _K)
+
+
+# --- metrics --------------------------------------------------------------------------------------------------
+
+
+@query(
+    "WITH s AS (SELECT toxic, n_chars AS s FROM labels JOIN documents USING (doc_id)), r AS (SELECT toxic, avg(i) OVER (PARTITION BY s) AS r FROM (SELECT *, row_number() OVER (ORDER BY s) AS i FROM s)), "
+    "c AS (SELECT sum((toxic = 1)::INT) AS p, sum((toxic <> 1)::INT) AS n, sum(CASE WHEN toxic = 1 THEN r END) AS w FROM r) SELECT round((w - p * (p + 1) / 2.0) / (p * n), 6) AS auc FROM c"
+)
+def auc_exact(spark, d):
+    scored = read_table(spark, d, "labels").join(read_table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return metrics.auc_frame(scored, "toxic", "n_chars").select(F.round("auc", 6).alias("auc"))
+
+
+@query("SELECT round(sqrt(avg((l_extendedprice - 1000 * l_quantity) * (l_extendedprice - 1000 * l_quantity))), 4) AS rmse, round(sqrt(avg(power(ln(1 + 1000 * l_quantity) - ln(1 + l_extendedprice), 2))), 6) AS rmsle FROM lineitem")
+def rmse_rmsle(spark, d):
+    y, p = F.col("l_extendedprice"), F.col("l_quantity") * 1000
+    return read_table(spark, d, "lineitem").agg(F.round(metrics.rmse(y, p), 4).alias("rmse"), F.round(metrics.rmsle(y, p), 6).alias("rmsle"))
+
+
+@query("SELECT [round(quantile_cont(value, 0.5), 6), round(quantile_cont(value, 0.99), 6)] AS p FROM events")
+def latency_percentiles(spark, d):
+    return read_table(spark, d, "events").agg(metrics.percentiles(F.col("value"), [0.5, 0.99]).alias("p")).select(F.transform("p", lambda x: F.round(x, 6)).alias("p"))
+
+
+# --- host functions -------------------------------------------------------------------------------------------
+
+
+def _weigh(kind: str, user: int) -> float:
+    return len(kind) + (user % 7) / 2
+
+
+@query("SELECT event_id, length(event_type) + (user_id % 7) / 2 AS weight FROM events")
+def udf_cached_dedup(spark, d):
+    return udf.cached_map(read_table(spark, d, "events").select("event_id", "event_type", "user_id"), _weigh, ["event_type", "user_id"], "weight", "double").select("event_id", "weight")
+
+
+@query("SELECT event_id, length(event_type) + (user_id % 7) / 2 AS weight FROM events")
+def udf_async_map(spark, d):
+    return udf.async_map(read_table(spark, d, "events").select("event_id", "event_type", "user_id"), _weigh, ["event_type", "user_id"], "weight", "double").select("event_id", "weight")
+
+
+# --- trained models: no SQL has them --------------------------------------------------------------------------
+
+
+def _auc_score(df: DataFrame, label: str) -> float:
+    return metrics.auc(df, label, "predict")
+
+
+def _text_rows(spark, d) -> DataFrame:
+    docs = read_table(spark, d, "documents").select("doc_id", "text", "n_chars")
+    return docs.join(read_table(spark, d, "labels"), "doc_id").withColumn("quality", F.col("quality").cast("double"))
+
+
+def _text_plan() -> FeaturePlan:
+    letters = F.length(F.regexp_replace("text", r"[^\p{L}]", ""))
+    return FeaturePlan(
+        "doc_id",
+        (
+            FeatureGroup("length", lambda r: r.withColumn("log_chars", F.log1p(F.col("n_chars").cast("double"))), ["log_chars"], 0.1),
+            FeatureGroup("letters", lambda r: r.withColumn("letter_share", F.coalesce(rel.ratio(letters, F.length("text")), F.lit(0.0))), ["letter_share"], 0.3),
+            FeatureGroup("words", lambda r: r.withColumn("distinct_share", F.coalesce(rel.ratio(F.size(F.array_distinct(F.split("text", " "))), F.size(F.split("text", " "))), F.lit(0.0))), ["distinct_share"], 0.6),
+        ),
+    )
+
+
+@query(None)
+def cascade_train_lr(spark, d):
+    """A trained cascade, and its predictions of all labelled documents."""
+    rows, plan = _text_rows(spark, d), _text_plan()
+    callbacks = models.ml_callbacks(models.logistic_regression(), _auc_score)
+    return cascade.CascadeExecutor(plan, callbacks, train.train_cascade(rows, plan, "quality", callbacks)).batch(rows, detail=True)
+
+
+@query(None)
+def gbt_pipeline(spark, d):
+    rows = _text_plan().build(_text_rows(spark, d))
+    callbacks = models.ml_callbacks(models.boosted_trees(5, 3), _auc_score)
+    model = callbacks.train(rows, _text_plan().columns(), "quality")
+    return callbacks.predict_proba(model, rows).select("doc_id", "predict_proba")
+
+
+@query(None)
+def importance_knapsack(spark, d):
+    """Each group's importance, cost and whether a cutoff of a half takes it."""
+    plan = _text_plan()
+    rows = plan.build(_text_rows(spark, d))
+    callbacks = models.ml_callbacks(models.logistic_regression(), _auc_score)
+    values = train.importances(rows, plan, callbacks, callbacks.train(rows, plan.columns(), "quality"), "quality")
+    costs = plan.costs(rows)
+    chosen, _ = train.knapsack(values, costs, 0.5)
+    return spark.createDataFrame([(g, float(values[g]), costs[g], g in chosen) for g in values], "feature_group string, importance double, cost double, chosen boolean")
