@@ -2,10 +2,12 @@
 
 ``bits`` hyperplanes give one table's key. It follows from the number of rows, so that buckets keep their size as the
 input grows; the number of tables then follows from ``miss``, the allowed chance that a pair exactly at the
-threshold shares no bucket. A pair is compared in the first table in which it collides and skipped in the others, so links are counted
-once and pairs never leave a task. Buckets of over ``block`` rows are cut into blocks by a hash of the id, and every
+threshold shares no bucket. Equal vectors of a label are one class before anything is compared, so copies cost no pairs. Keys
+alone are counted first, and only the members of buckets with two classes or more are sent there with their vectors.
+A pair is compared in the first table in which it collides and skipped in the others, so links are counted
+once and pairs never leave a task. Buckets of over ``block`` classes are cut into blocks by a hash, and every
 pair of blocks is a task's work of its own, so no bucket has to fit in one task. Each task returns one row per linked
-vector: its links there and the smallest vec_id of its component there.
+class: its links there and the smallest vec_id of its component there.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing, and so do rows whose
 label or vec_id is null; each still gets a row. Repeated vec_ids are told apart while links are counted and share
@@ -66,10 +68,10 @@ def _tile_links(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, ta
 
 
 class _Links:
-    """Counts and components of the rows of a chunk."""
+    """Counts and components of the rows of a chunk; a row that stands for ``copies`` vectors counts as often for the rows it is linked to."""
 
-    def __init__(self, n: int):
-        self.count, self.label = np.zeros(n, np.int64), np.arange(n)
+    def __init__(self, copies: np.ndarray):
+        self.copies, self.count, self.label = copies, np.zeros(len(copies), np.int64), np.arange(len(copies))
 
     def _join(self, a: np.ndarray, b: np.ndarray) -> None:
         while True:
@@ -83,13 +85,13 @@ class _Links:
                 self.label = self.label[self.label]
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
-        np.add.at(self.count, a, 1)
-        np.add.at(self.count, b, 1)
+        np.add.at(self.count, a, self.copies[b])
+        np.add.at(self.count, b, self.copies[a])
         self._join(a, b)
 
     def tile(self, at: np.ndarray, bt: np.ndarray, links: np.ndarray) -> None:
-        self.count[at] += links.sum(1)
-        self.count[bt] += links.sum(0)
+        self.count[at] += links @ self.copies[bt]
+        self.count[bt] += self.copies[at] @ links
         while True:  # the smallest label that each row sees in the other tile, until nothing changes
             la, lb = self.label[at], self.label[bt]
             seen_a = np.where(links, lb[None, :], len(self.label)).min(1, initial=len(self.label))
@@ -110,52 +112,60 @@ def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = N
     kind = "<f4" if rows.schema["embedding"].dataType.elementType == FloatType() else "<f8"
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") == width))
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                x, good = vectors(b.column("embedding"), width)
+                part = b.select(["vec_id", "label"]).take(pa.array(np.flatnonzero(good)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([v.tobytes() for v in x[good].astype(kind)], pa.binary())], ["vec_id", "label", "v"])
+
+    # a label and a vector of fixed length behind it can't be mistaken for another pair
+    packed = usable.mapInArrow(pack, "vec_id long, label string, v binary").withColumn("k", F.unhex(F.sha2(F.concat(F.col("label").cast("binary"), "v"), 256)))
+    classes = packed.groupBy("k", "label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
         powers = 1 << np.arange(bits)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
-                x, good = vectors(b.column("embedding"), width)
-                keep = np.flatnonzero(good)
-                if not len(keep):
-                    continue
-                x = x[keep]
+                x = np.frombuffer(b"".join(b.column("v").to_pylist()), kind).reshape(b.num_rows, width).astype(np.float64)
                 keys = ((x @ planes > 0).reshape(len(x), tables, bits) @ powers).astype(np.int32)
-                part = b.select(["vec_id", "label"]).take(pa.array(keep))
-                again = pa.array(np.repeat(np.arange(len(keep)), tables))
-                columns = [part.column("vec_id").take(again), part.column("label").take(again), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(keep))), pa.array(keys.ravel())]
-                blobs = [v.tobytes() for v in x.astype(kind)]
-                signs = [k.tobytes() for k in keys]
-                columns += [pa.array(blobs, pa.binary()).take(again), pa.array(signs, pa.binary()).take(again)]
-                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "label", "t", "key", "v", "signs"])
-
-    signed = usable.mapInArrow(sign, "vec_id long, label string, t int, key int, v binary, signs binary")
-    counts = usable.mapInArrow(lambda it: (b.select(["label", "t", "key"]) for b in sign(it)), "label string, t int, key int")
-    large = counts.groupBy("label", "t", "key").count().where(F.col("count") > block)
-    large = large.select("label", "t", "key", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    cut = signed.join(large, ["label", "t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks").cast("int"))
+                signs = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*b.columns, signs], [*b.schema.names, "signs"])
+
+    signed = classes.mapInArrow(sign, "k binary, label string, v binary, first long, copies long, signs array<int>")
+    signed = checkpointed(signed.withColumn("rid", F.monotonically_increasing_id()))
+    # a bucket's number may stand for two buckets now and then; then both get the blocks of their sum
+    keys = signed.select("rid", "label", F.posexplode("signs").alias("t", "key")).select("rid", "t", "key", F.xxhash64("label", "t", "key").alias("bucket"))
+    shared = keys.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    members = keys.join(shared, "bucket").select("rid", "t", "key", "blocks")
+    cut = members.join(signed.drop("k"), "rid").withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     g = F.xxhash64("label", "t", "key", F.least("own", "other"), F.greatest("own", "other"))
-    routed = cut.select(g.alias("g"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "label", "t", "key", "vec_id", "v", "signs")
+    routed = cut.select(g.alias("g"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "label", "t", "key", "rid", "first", "copies", "v", "signs")
     routed = routed.repartition("g").sortWithinPartitions("g", "label", "t", "key", "lo", "hi")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_runs(batches, ["g"]):
             yield from _link_chunk(chunk, threshold, tables, kind)
 
-    found = checkpointed(routed.mapInArrow(link, "vec_id long, n long, root long"))
-    links = found.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
-    roots = components(found.where("vec_id != root"), "vec_id", "root").withColumnRenamed("node", "vec_id")
-    out = rows.select("vec_id").join(links, "vec_id", "left").join(roots, "vec_id", "left")
+    found = checkpointed(routed.mapInArrow(link, "rid long, n long, first long, root long"))
+    links = found.groupBy("rid").agg(F.sum("n").alias("n"))
+    counted = signed.select("k", "rid", "first", "copies").join(links, "rid", "left").select("k", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    own = checkpointed(packed.select("vec_id", "k").join(counted, "k").select("vec_id", "first", "n"))
+    n_links = own.groupBy("vec_id").agg(F.sum("n").alias("n_links"))
+    edges = found.where("first != root").select("first", "root").union(own.where("vec_id != first").select("vec_id", "first"))
+    roots = components(edges, "first", "root").withColumnRenamed("node", "vec_id")
+    out = rows.select("vec_id").join(n_links, "vec_id", "left").join(roots, "vec_id", "left")
     component = F.coalesce("root", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
 def _link_chunk(chunk: pa.Table, threshold: float, tables: int, kind: str) -> Iterator[pa.RecordBatch]:
     n = chunk.num_rows
-    col = {k: chunk.column(k).to_numpy() for k in ("g", "lo", "hi", "own", "t", "key", "vec_id")}
+    col = {k: chunk.column(k).to_numpy() for k in ("g", "lo", "hi", "own", "t", "key", "rid", "first", "copies")}
     label = np.unique(chunk.column("label").to_numpy(), return_inverse=True)[1]
     new = np.ones(n, bool)
     new[1:] = label[1:] != label[:-1]
@@ -165,12 +175,12 @@ def _link_chunk(chunk: pa.Table, threshold: float, tables: int, kind: str) -> It
     sizes = np.diff(np.r_[starts, n])
     group = np.repeat(np.arange(len(starts)), sizes)
     v = chunk.column("v").to_pylist()
-    signs = np.frombuffer(b"".join(chunk.column("signs").to_pylist()), np.int32).reshape(n, tables)
+    signs = np.concatenate([part.flatten().to_numpy() for part in chunk.column("signs").chunks]).reshape(n, tables)
 
     def rows_of(at: np.ndarray) -> np.ndarray:
         return unit(np.frombuffer(b"".join([v[i] for i in at]), kind).reshape(len(at), -1).astype(np.float64))
 
-    out = _Links(n)
+    out = _Links(col["copies"])
     small = np.flatnonzero(sizes[group] <= 48)
     if len(small):
         x = rows_of(small)
@@ -205,11 +215,9 @@ def _link_chunk(chunk: pa.Table, threshold: float, tables: int, kind: str) -> It
     linked = np.flatnonzero(out.count)
     if not len(linked):
         return
-    ids = col["vec_id"]
     order = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(order, out.label, ids)
-    yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(out.count[linked]), pa.array(order[out.label[linked]])], ["vec_id", "n", "root"])
-
+    np.minimum.at(order, out.label, col["first"])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col["rid"][linked], out.count[linked], col["first"][linked], order[out.label[linked]])], ["rid", "n", "first", "root"])
 
 
 #: Brute force over all pairs of a label.
