@@ -23,6 +23,15 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
+def hash_share(place: Column, n: Column, wanted: int) -> Column:
+    """Whether a 64-bit hash lies in the part of its range that holds somewhat more than ``wanted`` of ``n`` different values.
+
+    Samples drawn so have a size that doesn't grow with the rows or the number of tasks.
+    """
+    share = F.least(F.lit(1.0), F.lit(1.5 * wanted + 50) / F.greatest(F.lit(1), n))
+    return place / F.lit(2.0**64) + 0.5 <= share
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Eager reliable checkpoint in spark.checkpoint.dir; a folder of its own only where that is unset."""
     context = df.sparkSession.sparkContext

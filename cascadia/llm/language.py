@@ -20,24 +20,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import doc_columns, fold
+from .common import doc_columns, fold, hash_share
 
 LETTER = re.compile(r"[^\W\d_]")
 WIDTHS, FILTERS, EMBEDDING, WINDOW = (2, 4, 6), 12, 8, 512
 
 
 def training_sample(docs: DataFrame, per_language: int, most_languages: int = 200) -> list[tuple[bytes, str]]:
-    """(text, lang) of at most ``per_language`` documents of each language, those with the smallest hash of their id."""
+    """(text, lang) of at most ``per_language`` documents of each language, those with the smallest hash of their id; of rows with the same id and language the smallest text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = rows.where((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    languages = sorted(r["lang"] for r in usable.select("lang").distinct().limit(most_languages + 1).collect())
-    if len(languages) > most_languages:
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
-    out = []
-    for lang in languages:
-        chosen = usable.where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(per_language)
-        out += [(r["text"].encode(), lang) for r in chosen.collect()]
-    return out
+    if not counts:
+        return []
+    place, n = F.xxhash64("doc_id", F.lit(2)), F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
+    drawn = usable.where(hash_share(place, n, per_language)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).withColumn("place", place).collect()
+    by_lang: dict[str, list] = {lang: [] for lang in sorted(counts)}
+    for r in sorted(drawn, key=lambda r: (r["place"], r["doc_id"])):
+        if r["lang"] in by_lang and len(by_lang[r["lang"]]) < per_language:
+            by_lang[r["lang"]].append((r["text"].encode(), r["lang"]))
+    return [x for own in by_lang.values() for x in own]
 
 
 class ByteConvNet:
