@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, doc_columns
+from .common import checkpointed, doc_columns, shuffle_partitions
 from .graph import components, local_components
 
 FANOUT = 8
@@ -125,7 +125,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     leads = [_lead(p) for p in combinations(range(SEGMENTS), 2)]
     signed = [x - (1 << 64) if x >> 63 else x for x in leads]
     routes = F.array(*[F.struct(F.lit(i).alias("lead"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for i, x in enumerate(signed)])
-    routed = distinct.select("fp", F.explode(routes).alias("r")).select("fp", "r.lead", "r.key").repartition("lead", "key")
+    routed = distinct.select("fp", F.explode(routes).alias("r")).select("fp", "r.lead", "r.key").repartition(shuffle_partitions(distinct.sparkSession), "lead", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[np.ndarray]] = {}
