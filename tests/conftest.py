@@ -1,11 +1,15 @@
 from __future__ import annotations
 
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+HERE = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, HERE)
+#: Python workers import the package too, wherever the tests are started.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
 
 
 @pytest.fixture(scope="session")
