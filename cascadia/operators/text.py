@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-MOST_FEATURES = 1_000_000
+MOST_FEATURES, CHUNK = 1_000_000, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,9 +33,17 @@ def words(c: Column, least_length: int = 1) -> Column:
     return F.filter(F.split(word_clean(c), " "), lambda w: F.length(w) >= least_length)
 
 
-def char_ngrams(c: Column, low: int, high: int) -> Column:
-    """Overlapping n-grams of every n in [low, high]: a look-ahead finds them in one scan for each n."""
-    return F.concat(*[F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(low, high + 1)])
+def char_grams(df: DataFrame, row_id: str, text: Column, low: int, high: int) -> DataFrame:
+    """(row_id, term) for every overlapping n-gram of every n in [low, high].
+
+    The text is cut into pieces of ``CHUNK`` signs that show the next ones too, so taking a gram scans one short piece
+    and everything behind the cut is generated code.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{CHUNK + high - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    made = df.select(row_id, F.explode(pieces).alias("_c")).select(row_id, "_c", F.char_length("_c").alias("_n"))
+    made = made.select(row_id, "_c", "_n", F.explode(F.array(*[F.lit(n) for n in range(low, high + 1)])).alias("_k")).where(F.col("_n") >= F.col("_k"))
+    starts = F.explode(F.sequence(F.lit(1), F.least(F.lit(CHUNK), F.col("_n") - F.col("_k") + 1))).alias("_i")
+    return made.select(row_id, "_c", "_k", starts).select(row_id, F.substring("_c", F.col("_i"), F.col("_k")).alias("term"))
 
 
 def word_ngrams(tokens: Column, low: int, high: int) -> Column:
@@ -51,7 +59,7 @@ def grams(df: DataFrame, row_id: str, column: str, analyzer: str, ngram_range: t
     """(row_id, term), one row for each occurrence. Null text has none."""
     text = ascii_lower(F.col(column)) if lowercase else F.col(column)
     if analyzer == "char":
-        made = df.select(F.col(row_id), collapse_spaces(text).alias("_t")).select(row_id, F.explode(char_ngrams(F.col("_t"), *ngram_range)).alias("term"))
+        made = char_grams(df.select(F.col(row_id), collapse_spaces(text).alias("_t")), row_id, F.col("_t"), *ngram_range)
     elif analyzer == "word":
         # the array of one keeps the words from being computed again inside the n-gram expressions
         tokens = df.select(F.col(row_id), F.explode(F.array(words(text, least_length))).alias("_w"))
