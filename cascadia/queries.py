@@ -14,7 +14,7 @@ from .operators import linalg, models, ranks, relational as rel, text
 from .operators.models import LinearModel
 from .plans import cascade, train
 from .plans.plan import FeatureGroup, FeaturePlan
-from .sources.io import read_table
+from .sources.io import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -239,7 +239,7 @@ _COUNTS_SQL = rf"SELECT doc_id, idx, CAST((length(t) - length(replace(t, term, '
 
 @query(_COUNTS_SQL)
 def char_count_vectorize(spark, d):
-    return text.count_vectorize(text.grams(read_table(spark, d, "documents"), "doc_id", "text", "char", (1, 3)), "doc_id", text.vocabulary(spark, _TERMS))
+    return text.count_vectorize(text.grams(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "char", (1, 3)), "doc_id", text.vocabulary(spark, _TERMS))
 
 
 def _char_vocabulary(spark, docs: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def _char_vocabulary(spark, docs: DataFrame) -> DataFrame:
     "SELECT doc_id, idx, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS value FROM w"
 )
 def char_tfidf(spark, d):
-    docs = read_table(spark, d, "documents")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     made = text.tfidf(text.grams(docs, "doc_id", "text", "char", (1, 3)), "doc_id", _char_vocabulary(spark, docs))
     return made.select("doc_id", "idx", F.round("value", 6).alias("value"))
 
@@ -273,7 +273,7 @@ _VOCAB_SQL = (
 def _word_vocabulary(spark, d) -> tuple[DataFrame, DataFrame]:
     import math
 
-    docs = read_table(spark, d, "documents")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     n = docs.count()
     made = text.grams(docs, "doc_id", "text", "word", (1, 1))
     return made, text.fit_vocabulary(made, "doc_id", n, math.ceil(n * _MIN_SHARE), _MOST_TERMS)
@@ -302,7 +302,7 @@ _BIGRAMS = ["of the", "to the", "de la", "in the", "and the"]
     + ") AS v(term, idx) USING (term) GROUP BY doc_id, idx"
 )
 def word_bigram_count(spark, d):
-    made = text.grams(read_table(spark, d, "documents"), "doc_id", "text", "word", (2, 2), least_length=1)
+    made = text.grams(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "word", (2, 2), least_length=1)
     return text.count_vectorize(made, "doc_id", text.vocabulary(spark, _BIGRAMS))
 
 

@@ -92,3 +92,9 @@ class FeatureStore:
     def point(self, table: str, key: str, value: object) -> dict | None:
         found = self.table(table).where(F.col(key) == F.lit(value)).head(1)
         return found[0].asDict() if found else None
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose rows grow a lot in what follows, dealt anew if it has fewer parts than there are cores; large tables stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.isStreaming or scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

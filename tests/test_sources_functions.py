@@ -75,3 +75,10 @@ def test_plan_on_a_stream(spark, tmp_path):
     q = run_on_stream(stream, lambda df: df.withColumn("x", F.col("id") * 2), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("x")).first()[0] == 20
+
+
+def test_spread_deals_small_scans_only(spark):
+    cores = spark.sparkContext.defaultParallelism
+    small, large = spark.range(10, numPartitions=1), spark.range(10, numPartitions=cores + 1)
+    assert io.spread(small).rdd.getNumPartitions() == cores and sorted(r[0] for r in io.spread(small).collect()) == list(range(10))
+    assert io.spread(large) is large
