@@ -2,14 +2,15 @@
 
 ``bits`` hyperplanes give one table's key. It follows from the number of rows, so that buckets keep their size as the
 input grows; the number of tables then follows from ``miss``, the allowed chance that a pair exactly at the
-threshold shares no bucket. Equal vectors of a label are one class before anything is compared, so copies cost no pairs. Keys
+threshold shares no bucket. Vectors of every length are compared, each with those of its own length; a shorter one is hashed by the first
+components of the same hyperplanes. Equal vectors of a label are one class before anything is compared, so copies cost no pairs. Keys
 alone are counted first, and only the members of buckets with two classes or more are sent there with their vectors.
 A pair is compared in the first table in which it collides and skipped in the others, so links are counted
 once and pairs never leave a task. Buckets of over ``block`` classes are cut into blocks by a hash, and every
 pair of blocks is a task's work of its own, so no bucket has to fit in one task. Each task returns one row per linked
 class: its links there and the smallest vec_id of its component there.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components link with nothing, and so do rows whose
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do rows whose
 label or vec_id is null; each still gets a row. Repeated vec_ids are told apart while links are counted and share
 a row of the result each. An empty table gives no rows. Other columns are ignored.
 """
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import FloatType
 
@@ -28,6 +30,8 @@ from .common import checkpointed
 from .graph import components, whole_runs
 
 TILE = 1024
+#: Components whose hyperplanes are held at once.
+PLANE_ROWS = 256
 
 
 def vectors(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -44,6 +48,32 @@ def vectors(column: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.
     return out, good
 
 
+def packed_vectors(column: pa.Array, kind: str = "<f8") -> tuple[np.ndarray, list[bytes]]:
+    """(places, bytes) of the usable vectors of a list column, whatever their lengths."""
+    sizes = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False)
+    places, packed = [np.zeros(0, np.int64)], []
+    for size in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == size)
+        x, good = vectors(column.take(pa.array(at)), int(size))
+        places.append(at[good])
+        packed += [v.tobytes() for v in x[good].astype(kind)]
+    return np.concatenate(places), packed
+
+
+def sign_keys(x: np.ndarray, tables: int, bits: int, seed: int, planes: dict[int, np.ndarray]) -> np.ndarray:
+    """A key for each row and table; ``planes`` keeps the hyperplanes' first components between calls."""
+    dots = np.zeros((len(x), tables * bits))
+    for first in range(0, x.shape[1], PLANE_ROWS):
+        part = planes.get(first)
+        if part is None:
+            part = np.random.default_rng([seed, first]).standard_normal((PLANE_ROWS, tables * bits))
+            if len(planes) < 16:
+                planes[first] = part
+        own = x[:, first : first + PLANE_ROWS]
+        dots += own @ part[: own.shape[1]]
+    return ((dots > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))).astype(np.int32)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -105,47 +135,51 @@ class _Links:
 def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = None, miss: float = 1e-6, block: int = 8192, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
-    size = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    width, n = size[1] or 0, size[0]
+    n = rows.count()
     bits = bits or min(24, max(12, round(math.log2(max(2, n)) - 4)))
     tables = tables_for(bits, threshold, miss)
     kind = "<f4" if rows.schema["embedding"].dataType.elementType == FloatType() else "<f8"
-    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") == width))
+    usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
                 b = whole.slice(k, 1024)
-                x, good = vectors(b.column("embedding"), width)
-                part = b.select(["vec_id", "label"]).take(pa.array(np.flatnonzero(good)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([v.tobytes() for v in x[good].astype(kind)], pa.binary())], ["vec_id", "label", "v"])
+                places, v = packed_vectors(b.column("embedding"), kind)
+                part = b.select(["vec_id", "label"]).take(pa.array(places))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(v, pa.binary())], ["vec_id", "label", "v"])
 
-    # a label and a vector of fixed length behind it can't be mistaken for another pair
-    packed = usable.mapInArrow(pack, "vec_id long, label string, v binary").withColumn("k", F.unhex(F.sha2(F.concat(F.col("label").cast("binary"), "v"), 256)))
+    # the vector's length, a label and a vector of that length behind it can't be mistaken for another pair
+    packed = usable.mapInArrow(pack, "vec_id long, label string, v binary").withColumn("k", F.unhex(F.sha2(F.concat(F.concat(F.length("v").cast("string"), F.lit(":"), "label").cast("binary"), "v"), 256)))
     classes = packed.groupBy("k", "label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).standard_normal((width, tables * bits))
-        powers = 1 << np.arange(bits)
+        planes: dict[int, np.ndarray] = {}
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
-                x = np.frombuffer(b"".join(b.column("v").to_pylist()), kind).reshape(b.num_rows, width).astype(np.float64)
-                keys = ((x @ planes > 0).reshape(len(x), tables, bits) @ powers).astype(np.int32)
+                v = b.column("v").to_pylist()
+                sizes = np.array([len(x) for x in v])
+                keys = np.zeros((len(v), tables), np.int32)
+                for size in np.unique(sizes):
+                    at = np.flatnonzero(sizes == size)
+                    x = np.frombuffer(b"".join([v[i] for i in at]), kind).reshape(len(at), -1).astype(np.float64)
+                    keys[at] = sign_keys(x, tables, bits, seed, planes)
                 signs = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, signs], [*b.schema.names, "signs"])
 
     signed = classes.mapInArrow(sign, "k binary, label string, v binary, first long, copies long, signs array<int>")
     signed = checkpointed(signed.withColumn("rid", F.monotonically_increasing_id()))
     # a bucket's number may stand for two buckets now and then; then both get the blocks of their sum
-    keys = signed.select("rid", "label", F.posexplode("signs").alias("t", "key")).select("rid", "t", "key", F.xxhash64("label", "t", "key").alias("bucket"))
+    keys = signed.select("rid", "label", F.length("v").alias("size"), F.posexplode("signs").alias("t", "key"))
+    keys = keys.select("rid", "t", "key", F.xxhash64("label", "size", "t", "key").alias("bucket"))
     shared = keys.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     members = keys.join(shared, "bucket").select("rid", "t", "key", "blocks")
-    cut = members.join(signed.drop("k"), "rid").withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
+    cut = members.join(signed.drop("k"), "rid").withColumn("size", F.length("v")).withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
     cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    g = F.xxhash64("label", "t", "key", F.least("own", "other"), F.greatest("own", "other"))
-    routed = cut.select(g.alias("g"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "label", "t", "key", "rid", "first", "copies", "v", "signs")
-    routed = routed.repartition("g").sortWithinPartitions("g", "label", "t", "key", "lo", "hi")
+    g = F.xxhash64("label", "size", "t", "key", F.least("own", "other"), F.greatest("own", "other"))
+    routed = cut.select(g.alias("g"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "label", "size", "t", "key", "rid", "first", "copies", "v", "signs")
+    routed = routed.repartition("g").sortWithinPartitions("g", "label", "size", "t", "key", "lo", "hi")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_runs(batches, ["g"]):
@@ -165,11 +199,11 @@ def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = N
 
 def _link_chunk(chunk: pa.Table, threshold: float, tables: int, kind: str) -> Iterator[pa.RecordBatch]:
     n = chunk.num_rows
-    col = {k: chunk.column(k).to_numpy() for k in ("g", "lo", "hi", "own", "t", "key", "rid", "first", "copies")}
+    col = {k: chunk.column(k).to_numpy() for k in ("g", "lo", "hi", "own", "size", "t", "key", "rid", "first", "copies")}
     label = np.unique(chunk.column("label").to_numpy(), return_inverse=True)[1]
     new = np.ones(n, bool)
     new[1:] = label[1:] != label[:-1]
-    for k in ("g", "lo", "hi", "t", "key"):
+    for k in ("g", "lo", "hi", "size", "t", "key"):
         new[1:] |= col[k][1:] != col[k][:-1]
     starts = np.flatnonzero(new)
     sizes = np.diff(np.r_[starts, n])
@@ -181,8 +215,9 @@ def _link_chunk(chunk: pa.Table, threshold: float, tables: int, kind: str) -> It
         return unit(np.frombuffer(b"".join([v[i] for i in at]), kind).reshape(len(at), -1).astype(np.float64))
 
     out = _Links(col["copies"])
-    small = np.flatnonzero(sizes[group] <= 48)
-    if len(small):
+    few = np.flatnonzero(sizes[group] <= 48)
+    for size in np.unique(col["size"][few]):
+        small = few[col["size"][few] == size]
         x = rows_of(small)
         gs, own = group[small], col["own"][small]
         one = col["lo"][small] == col["hi"][small]

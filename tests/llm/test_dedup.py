@@ -83,6 +83,18 @@ def test_near_vectors(spark, block):
     assert got == near_brute(rows[:-1]) | {2006: (0, 2006, True)}
 
 
+@pytest.mark.parametrize("block", [8192, 20])
+def test_near_vectors_of_several_lengths(spark, block):
+    most = vector_rows()
+    short = [(3000 + i, v[:5], k) for i, v, k in most[:60]] + [(3900, most[0][1][:5], most[0][2])]
+    wide = [(5000 + i, v * 40, k) for i, v, k in most[:20]]
+    longer = [(4000, [*most[0][1], 1.0], most[0][2])]
+    df = spark.createDataFrame([*most, *short, *wide, *longer], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_vectors(df, block=block).collect()}
+    want = near_brute(most) | near_brute(short) | near_brute(wide) | {4000: (0, 4000, True)}
+    assert got == want and sum(n for n, _, _ in near_brute(short).values()) > 0
+
+
 def test_near_vectors_empty_null_and_repeated(spark):
     schema = "vec_id long, embedding array<double>, label string"
     assert neardup.near_vectors(spark.createDataFrame([], schema)).count() == 0
