@@ -6,8 +6,8 @@ pruning picks their out-edges from what the search met, dropping a candidate tha
 times closer; reverse edges are added and pruned alike. Every query is searched by a beam on every shard, in blocks of
 queries, and the best of all shards are kept, with cosines computed anew in double precision.
 
-Every row is indexed. Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor
-do rows without an id. Repeated ids are separate candidates of the same id; a row is no candidate for its own id. Ties go to the smaller id. An empty table
+Every row is indexed, and vectors of every length are: a length has shards and queries of its own, as cosines exist only within a length.
+Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id. Repeated ids are separate candidates of the same id; a row is no candidate for its own id. Ties go to the smaller id. An empty table
 gives no rows. Other columns are ignored.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import checkpointed
-from .neardup import unit, vectors
+from .neardup import packed_vectors, unit
 
 SEEDS = 32
 
@@ -119,53 +119,56 @@ class PrunedGraph:
 def nearest(frame: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4096, query_block: int = 1024, beam: int = 96) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by ``every``."""
     rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
-    n, width = rows.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    width = width or 0
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (every * query_block)))
-    rows = rows.where(F.size("embedding") == width)
+    rows = rows.where(F.size("embedding") > 0)
+    # there are no more lengths than the longest vector has components
+    dealt = {r["size"]: (-(-r["count"] // shard_rows), -(-r["count"] // (every * query_block))) for r in rows.groupBy(F.size("embedding").alias("size")).count().collect()}
 
     def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 1024):
                 b = whole.slice(first, 1024)
-                x, good = vectors(b.column("embedding"), width)
-                keep = pa.array(np.flatnonzero(good))
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(keep), pa.array([v.tobytes() for v in x[good]], pa.binary())], ["vec_id", "v"])
+                places, v = packed_vectors(b.column("embedding"))
+                sizes = [len(x) // 8 for x in v]
+                shards, blocks = ([dealt[size][i] for size in sizes] for i in (0, 1))
+                columns = [pa.array(x, pa.int32()) for x in (sizes, shards, blocks)]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(places)), *columns, pa.array(v, pa.binary())], ["vec_id", "size", "shards", "blocks", "v"])
 
-    blobs = rows.mapInArrow(blob, "vec_id long, v binary")
+    blobs = rows.mapInArrow(blob, "vec_id long, size int, shards int, blocks int, v binary")
 
     def gather(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(t.column("vec_id").to_numpy(), kind="stable")
         v = t.column("v").to_pylist()
-        return t.column("vec_id").to_numpy()[order], np.frombuffer(b"".join([v[i] for i in order]), np.float64).reshape(len(order), width)
+        return t.column("vec_id").to_numpy()[order], np.frombuffer(b"".join([v[i] for i in order]), np.float64).reshape(len(order), -1)
 
     def build(t: pa.Table) -> pa.Table:
         ids, x = gather(t)
         graph = PrunedGraph(unit(x))
-        columns = {"shard": [t.column("shard")[0].as_py()], "ids": [ids.tobytes()], "x": [x.tobytes()], "edges": [graph.edges.astype(np.int32).tobytes()], "seeds": [graph.seeds.tobytes()]}
-        return pa.table(columns, pa.schema([("shard", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("edges", pa.binary()), ("seeds", pa.binary())]))
+        columns = {k: [t.column(k)[0].as_py()] for k in ("size", "shard", "blocks")}
+        columns |= {"ids": [ids.tobytes()], "x": [x.tobytes()], "edges": [graph.edges.astype(np.int32).tobytes()], "seeds": [graph.seeds.tobytes()]}
+        return pa.table(columns, pa.schema([("size", pa.int32()), ("shard", pa.int32()), ("blocks", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("edges", pa.binary()), ("seeds", pa.binary())]))
 
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    graphs = checkpointed(blobs.withColumn("shard", shard).groupBy("shard").applyInArrow(build, "shard int, ids binary, x binary, edges binary, seeds binary"))
+    shard = F.pmod(F.xxhash64("vec_id"), "shards").cast("int")
+    graphs = checkpointed(blobs.withColumn("shard", shard).groupBy("size", "shard").applyInArrow(build, "size int, shard int, blocks int, ids binary, x binary, edges binary, seeds binary"))
 
     def bundle(t: pa.Table) -> pa.Table:
         ids, x = gather(t)
-        return pa.table({"block": [t.column("block")[0].as_py()], "q_ids": [ids.tobytes()], "q": [x.tobytes()]}, pa.schema([("block", pa.int32()), ("q_ids", pa.binary()), ("q", pa.binary())]))
+        columns = {k: [t.column(k)[0].as_py()] for k in ("size", "block", "shards")} | {"q_ids": [ids.tobytes()], "q": [x.tobytes()]}
+        return pa.table(columns, pa.schema([("size", pa.int32()), ("block", pa.int32()), ("shards", pa.int32()), ("q_ids", pa.binary()), ("q", pa.binary())]))
 
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    queries = checkpointed(blobs.where(F.col("vec_id") % every == 0).withColumn("block", block).groupBy("block").applyInArrow(bundle, "block int, q_ids binary, q binary"))
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    pairs = left.join(right.hint("shuffle_hash"), ["shard", "block"])
+    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int")
+    queries = checkpointed(blobs.where(F.col("vec_id") % every == 0).withColumn("block", block).groupBy("size", "block").applyInArrow(bundle, "size int, block int, shards int, q_ids binary, q binary"))
+    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    pairs = left.join(right.hint("shuffle_hash"), ["size", "shard", "block"])
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
-                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(-1, width)
+                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(-1, r["size"])
                 graph = PrunedGraph.__new__(PrunedGraph)
                 ux = unit(x)
                 graph.x, graph.edges, graph.seeds = ux.astype(np.float32), np.frombuffer(r["edges"], np.int32).reshape(len(ids), -1), np.frombuffer(r["seeds"], np.int64)
-                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"]).reshape(-1, width)
+                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"]).reshape(-1, r["size"])
                 for first in range(0, len(q), 256):
                     part, part_ids = q[first : first + 256], q_ids[first : first + 256]
                     met, _ = graph.search(unit(part), beam)

@@ -309,6 +309,19 @@ def test_nearest_small_and_empty(spark):
     assert got == want
 
 
+def test_nearest_of_several_lengths(spark):
+    rng = np.random.default_rng(3)
+    lengths = {8: range(200), 5: range(200, 300), 300: range(300, 340), 9: [350]}
+    rows = [(i, rng.normal(size=d).tolist()) for d, ids in lengths.items() for i in ids]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in ann.nearest(df, shard_rows=64, query_block=2).collect())
+    want = {}
+    for ids in lengths.values():
+        want |= brute_nearest([r for r in rows if r[0] in ids], 5, 50)
+    assert len(want) == 8 and want[350] == []
+    assert got == sorted((q, n, i, pytest.approx(s)) for q, found in want.items() for n, (i, s) in enumerate(found, 1))
+
+
 # --- the registered queries and the pipeline ---
 
 
