@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -16,8 +18,6 @@ from .plan import FeaturePlan
 CUTOFFS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 THRESHOLDS = (0.6, 0.7, 0.8, 0.9, 1.0)
 LOSS_BUDGET, PRECISION, SAMPLES, NEEDED = 0.001, 0.95, 100, 99
-#: Rows whose two scores the ratio search reads on the driver.
-RATIO_ROWS = 200_000
 
 
 def permuted(df: DataFrame, row_id: str, columns: Sequence[str], seed: int) -> DataFrame:
@@ -125,8 +125,75 @@ def ratio_search(small: np.ndarray, big: np.ndarray, k: int, seed: int = 42) ->
     return None
 
 
+def in_sample(hashes: np.ndarray, i: int) -> np.ndarray:
+    """Which rows, given by 64-bit hashes, are in sample ``i`` of a quarter."""
+    z = hashes.astype(np.uint64) + np.uint64((i + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ z >> np.uint64(shift)) * np.uint64(factor)
+    return (z ^ z >> np.uint64(31)) >> np.uint64(62) == 0
+
+
+def _sample_counts(scores: DataFrame, cuts: list[tuple[float, int]] | None = None) -> np.ndarray:
+    """The rows of each sample and of all (last); with ``cuts`` only rows that come before the sample's (small score, hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SAMPLES + 1, np.int64)
+        for b in batches:
+            h, small = b.column("h").to_numpy(), b.column("small").to_numpy()
+            total[-1] += len(h)
+            for i in range(SAMPLES):
+                chosen = in_sample(h, i)
+                if cuts is not None:
+                    chosen &= (small > cuts[i][0]) | ((small == cuts[i][0]) & (h < cuts[i][1]))
+                total[i] += np.count_nonzero(chosen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SAMPLES + 1)), pa.array(total)], ["i", "n"])
+
+    counts = np.zeros(SAMPLES + 1, np.int64)
+    for r in scores.mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        counts[r["i"]] = r["n"]
+    return counts
+
+
+def ratio_search_rows(both: DataFrame, row_id: str, small: str, big: str, k: int, seed: int = 42) -> tuple[int, float, float] | None:
+    """As ``ratio_search``, with samples of all rows of a table and of any size.
+
+    A sample's rows are chosen by a hash. Its best rows by the big score are the first of its rows among the best of all, of which only
+    somewhat more than ``k`` come to the driver. The ratio it needs follows from the place, by the small score, of the last row that
+    ``PRECISION`` asks for, and that place is counted over all rows.
+    """
+    least = F.lit(float("-inf"))
+    scores = both.select(F.xxhash64(row_id, F.lit(seed), F.lit("ratio")).alias("h"), *[F.nanvl(F.coalesce(F.col(c).cast("double"), least), least).alias(n) for c, n in ((small, "small"), (big, "big"))])
+    scores = scores.persist(StorageLevel.MEMORY_AND_DISK)
+    *sizes, n = _sample_counts(scores).tolist()
+    if not n:
+        scores.unpersist()
+        return None
+    own_k = [max(1, round(k * size / n)) for size in sizes]
+    wanted = k + 10 * math.isqrt(k) + 100
+    while True:
+        head = scores.orderBy(F.desc("big"), "h").limit(wanted).toArrow()
+        h, s = head.column("h").to_numpy(), head.column("small").to_numpy()
+        places = [np.flatnonzero(in_sample(h, i))[: own_k[i]] for i in range(SAMPLES)]
+        if wanted >= n or all(len(p) == own_k[i] for i, p in enumerate(places)):
+            break
+        wanted *= 2
+    cuts, able = [], np.zeros(SAMPLES, bool)
+    for i, p in enumerate(places):
+        last = math.ceil(PRECISION * own_k[i] - 1e-9) - 1
+        able[i] = last < len(p)
+        at = p[np.lexsort((h[p], -s[p]))[last]] if able[i] else 0
+        cuts.append((float(s[at]), int(h[at])))
+    depth = _sample_counts(scores, cuts)[:-1]
+    scores.unpersist()
+    size, mean_k = float(np.mean(sizes)), float(np.mean(own_k))
+    for ratio in [*range(1, 100), *range(101, max(102, int(size / mean_k) + 1), 10)]:
+        if np.count_nonzero(able & (depth < np.array(own_k) * ratio)) >= NEEDED:
+            return ratio, size, mean_k
+    return None
+
+
 def train_top_k(rows: DataFrame, plan: FeaturePlan, label: str, callbacks: Callbacks, k: int, seed: int = 42) -> Cascade:
-    """As ``train_cascade`` for approximate top-K. The ratio search reads two scores of ``RATIO_ROWS`` validation rows at most."""
+    """As ``train_cascade`` for approximate top-K. The ratio search reads the two scores of all validation rows."""
     data = plan.build(rows).persist(StorageLevel.MEMORY_AND_DISK)
     train, valid = hash_split(data, plan.row_id, 50, seed)
     every = plan.columns()
@@ -142,8 +209,7 @@ def train_top_k(rows: DataFrame, plan: FeaturePlan, label: str, callbacks: Callb
         tried.add(tuple(chosen))
         small = callbacks.train(train, plan.columns(chosen), label)
         both = callbacks.predict_proba(small, valid).select(plan.row_id, "predict_proba").join(full, plan.row_id)
-        sample = both.orderBy(F.xxhash64(plan.row_id, F.lit(seed))).limit(RATIO_ROWS).toPandas()
-        found = ratio_search(sample["predict_proba"].to_numpy(float), sample["_big"].to_numpy(float), k, seed)
+        found = ratio_search_rows(both, plan.row_id, "predict_proba", "_big", k, seed)
         if found is None:
             continue
         ratio, n, own_k = found

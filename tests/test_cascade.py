@@ -144,6 +144,38 @@ def test_trained_top_k(easy_and_hard):
     assert made.ratio >= 1 and made.important
 
 
+def test_ratio_search_over_a_table(spark):
+    rng = np.random.default_rng(4)
+    big = rng.random(4000).round(3)
+    small = big + rng.normal(0, 0.02, 4000).round(2)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(small, big))]
+    df = spark.createDataFrame([*rows, (4000, None, float("nan"))], "row_id long, s double, b double")
+    h = np.array([r[0] for r in df.orderBy("row_id").select(F.xxhash64("row_id", F.lit(42), F.lit("ratio"))).collect()])
+    small, big = np.r_[small, -np.inf], np.r_[big, -np.inf]
+    for k in (3, 100, 4001, 5000):
+        needed = []
+        for i in range(train.SAMPLES):
+            own = np.flatnonzero(train.in_sample(h, i))
+            own_k = max(1, round(k * len(own) / 4001))
+            top = own[np.lexsort((h[own], -big[own]))][:own_k]
+            order = own[np.lexsort((h[own], -small[own]))]
+            needed.append(next((r for r in range(1, len(own) // own_k + 2) if len(np.intersect1d(top, order[: own_k * r])) / own_k >= train.PRECISION), 9999))
+        least = sorted(needed)[train.NEEDED - 1]
+        got = train.ratio_search_rows(df, "row_id", "s", "b", k)
+        assert (got and got[0]) == (None if least == 9999 else least)
+    assert train.ratio_search_rows(df.limit(0), "row_id", "s", "b", 3) is None
+
+
+def test_top_k_is_trained_on_all_validation_rows(spark):
+    u = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
+    rare = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(750)) == 0
+    rows = spark.range(600_000).select(F.col("id").alias("row_id"), F.when(rare, 0.98 + u / 50).otherwise(u).alias("x0"), F.when(rare, 10.0).otherwise(1e-9).alias("x1"))
+    groups = [FeatureGroup(f"f{i}", lambda r, i=i: r.withColumn(f"c{i}", F.col(f"x{i}")), [f"c{i}"], cost) for i, cost in ((0, 0.1), (1, 0.9))]
+    made = train.train_top_k(rows.withColumn("y", (F.col("x0") > 0.5).cast("int")), FeaturePlan("row_id", tuple(groups)), "y", toy_callbacks(), 380)
+    # the best 95 of a sample of 75,000 lie within its first 1,500 by the small score
+    assert made.important == ["f0"] and 13 <= made.ratio <= 17
+
+
 def test_ml_models_and_stack(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 2))
