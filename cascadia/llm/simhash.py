@@ -21,9 +21,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import checkpointed, doc_columns, shuffle_partitions
+from .common import checkpointed, shuffle_partitions
 from .graph import components, local_components
 
 FANOUT = 8
@@ -52,15 +52,17 @@ def fingerprint(text: str | None, words_each: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words_each: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, words_each: int = 3, key: Column | None = None) -> DataFrame:
+    """(doc_id, key, fp): the fingerprint as a signed long; ``key`` is a text column of the rows, null if none is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(x.as_py(), words_each) for x in b.column("text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(fps.view(np.int64))], ["doc_id", "key", "fp"])
 
-    return doc_columns(docs).mapInArrow(run, "doc_id long, fp long")
+    key = F.lit(None) if key is None else key
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), key.cast("string").alias("key"))
+    return rows.mapInArrow(run, "doc_id long, key string, fp long")
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -146,13 +148,18 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return routed.mapInArrow(run, "a long, b long")
 
 
-def simhash_groups(docs: DataFrame, words_each: int = 3, distance: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id of the component)."""
-    prints = checkpointed(fingerprints(docs, words_each))
+def grouped(docs: DataFrame, words_each: int = 3, distance: int = 2, key: Column | None = None) -> DataFrame:
+    """doc_id, key, fp, root (a fingerprint that stands for the component), component_id (its smallest doc_id) of every row."""
+    prints = checkpointed(fingerprints(docs, words_each, key))
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(fingerprint_links(distinct, distance))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = checkpointed(placed)
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = placed.join(least, "root").select("fp", "root", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "key", "fp", "root", "component_id")
+
+
+def simhash_groups(docs: DataFrame, words_each: int = 3, distance: int = 2) -> DataFrame:
+    """doc_id, fingerprint (16 lowercase hex digits), component_id (smallest doc_id of the component)."""
+    return grouped(docs, words_each, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cascadia.llm import language, packing, simhash, suffix, toxicity
 from cascadia.llm.common import DOCUMENT_COLUMNS, checkpointed, table
@@ -18,6 +18,12 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(*[docs[c] for c in DOCUMENT_COLUMNS])
 
 
+def _digest() -> Column:
+    """A digest of all columns of a row, null told from empty."""
+    short = F.to_json(F.struct(*[c for c in DOCUMENT_COLUMNS if c != "text"]), {"ignoreNullFields": "false"})
+    return F.sha2(F.concat(F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")), short).cast("binary"), 256)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels of documents that are here, doesn't call toxic."""
     return toxicity.drop_toxic(_columns(docs), table(spark, sf_dir, "labels"))
@@ -29,10 +35,18 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group; documents without an id stay."""
+    """One row of each near-duplicate group, the one with the smallest id.
+
+    Rows with that id in the group, repeated or with other texts, are told apart by a digest of all columns: the smallest stays, and one
+    of equal rows. An id whose texts are in several groups is judged in each of them. A row without an id stays only if no row of its
+    group has one.
+    """
     docs = _columns(docs)
-    others = simhash.simhash_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    groups = simhash.grouped(docs, key=_digest())
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("best")).select(F.col("best.key").alias("key"))
+    # the join leaves the rows dealt and sorted by their digest, so equal ones are side by side
+    one = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return docs.withColumn("key", _digest()).join(kept, "key", "left_semi").withColumn("one", one).where("one = 1").select(*DOCUMENT_COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -370,6 +370,26 @@ def test_pipeline_stages(spark):
     assert math.isclose(sum(r["length"] for r in rows), sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values()))
 
 
+def test_simhash_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    a, b, c, d, e, f = (" ".join(str(r.randrange(10**6)) for _ in range(80)) for _ in range(6))
+    rows = [
+        (1, a, "en"), (1, a, "en"), (2, a, "en"), (1, a.replace(" ", "  "), "en"),  # repeated rows, a copy, and the same words in another text
+        (3, b, "en"), (4, b, "en"), (4, c, "en"),  # one id with a copy and a text of its own
+        (1, d, "en"), (1, d, "de"),  # an id that is the smallest of two groups; rows that differ elsewhere
+        (None, e, "en"), (None, e, "en"), (None, f, None), (5, f, None), (None, a, "en"),
+    ]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, lang, None, len(t)) for i, t, lang in rows], schema).repartition(3)
+    got = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    kept = sorted(((x["doc_id"], x["text"].split()) for x in got), key=str)
+    assert kept == sorted([(1, a.split()), (3, b.split()), (4, c.split()), (1, d.split()), (None, e.split()), (5, f.split())], key=str)
+    twice = corpus_pipeline.one_of_each_group(spark, docs.union(docs), "").collect()
+    assert sorted(twice, key=str) == sorted(got, key=str)
+
+
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
