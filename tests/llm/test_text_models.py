@@ -173,6 +173,13 @@ def test_counterfactual_penalty_protects_neutral_mentions():
     assert {b for _, b in toxicity.counterfactuals("Some Women went. Nothing here.", terms, rng)} == {"Some muslims went", "Some europeans went"}
 
 
+def test_number_of_swaps_is_logged(caplog):
+    caplog.set_level("INFO", "cascadia.llm.toxicity")
+    toxicity.fit([("Some women went.", 0), ("All bad.", 1)] * 4, ["women", "muslims", "europeans"])
+    toxicity.fit([("Some went.", 0), ("All bad.", 1)] * 4)
+    assert [r.args for r in caplog.records] == [(8, 8), (0, 8)]
+
+
 # --- pieces ---
 
 
