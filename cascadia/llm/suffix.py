@@ -1,28 +1,31 @@
-"""Removal of repeated byte strings with a run-length index.
+"""Removal of repeated byte strings with run-length indexes.
 
 A byte goes if it lies in a ``SPAN``-byte string that also starts in a document with a smaller doc_id. Equal strings hold the same smallest
 hashed ``GRAM``-byte piece (their minimizer), so neighbouring strings with the same minimizer form one context, and all equal strings
 meet where their minimizer is sent:
 
-1. Documents are dealt to groups by their id, compressed.
+1. Documents are dealt to groups of about ``group_bytes`` by a hash, compressed; equal rows of a batch are sent once with their number.
 2. Each group sends the minimizers it holds, once each, with the number of its documents that hold it, and learns which occur in more than one document.
-3. Contexts with such a minimizer, each different one once, go to that minimizer's task with their first document. A very common minimizer (over ``HOT`` documents) may have as
-   many contexts as documents; its contexts are cut into single strings, each sent to a task of its own.
-4. A task builds an index of the contexts that share a minimizer but differ: the Burrows-Wheeler transform of their text in runs, sorted by SPAN bytes and then by document, with the
-   document sampled at the first row of each range of equal strings. Every context is streamed through it from right to left, one
-   step for a byte; each string's range gives the first document that holds it.
+3. Contexts with such a minimizer, each different one once, go to that minimizer's bucket with their first document. A very common minimizer (over ``HOT`` documents) may have as
+   many contexts as documents; its contexts are cut into single strings, each sent by a hash of its own, and equal ones meet.
+4. A bucket indexes the contexts of earlier documents, as a Burrows-Wheeler transform in runs with sampled run ends, and streams those of later documents
+   through it. Matching statistics of ``SPAN`` or more mark a string.
 5. Groups get one bit for each string and drop the covered bytes.
 
-Strings are compared byte by byte in step 4 and hashes only route, so the result is exact.
+Strings are compared byte by byte in step 4 and hashes only route, so the result is exact. Groups and buckets are bounded by bytes. A group sends
+a bucket one message; the bytes of both grow with the input's square root between their bounds, so that a message holds many
+minimizers and there are never more messages than minimizers.
 
-Null text is empty. Rows whose id is null are compared with nothing and kept whole. Repeated ids never remove each other's bytes.
-An empty table gives no rows. Other columns are ignored.
+Null text is empty. Rows whose id is null are compared with nothing and kept whole. Repeated ids never remove each other's bytes; repeated rows
+give repeated results. A text of any length is read in pieces. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import shuffle_partitions
 
 SPAN, GRAM, HOT, MOST_WINDOWS = 50, 25, 2048, 512
+#: Bytes of a long text that are read at once.
+PIECE = 1 << 20
 U = np.uint64
 _MIX = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)]
 _LOW48 = U((1 << 48) - 1)
@@ -72,7 +77,7 @@ def window_minima(h: np.ndarray, width: int) -> np.ndarray:
 
 
 class Chunk:
-    """Some documents in a row; contexts by start, number of strings, minimizer (48 bits) and document."""
+    """Some texts in a row; contexts by start, number of strings, minimizer (48 bits) and text."""
 
     def __init__(self, bodies: list[bytes], first: int):
         self.bytes, self.first = b"".join(bodies), first
@@ -116,118 +121,200 @@ def chunks(bodies: list[bytes], size: int = 150_000) -> Iterator[Chunk]:
         first = last
 
 
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The dense rank of each key, and how many different keys there are."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = new
+    return rank, int(new[-1]) + 1
+
+
 class RunLengthIndex:
-    """Run-compressed transform of contexts given in order of their documents."""
+    """Run-compressed Burrows-Wheeler transform of some texts, each with a colour, and the text positions at both ends of each run.
+
+    A byte of one colour equals no byte of another, so texts match within their colour only. Where a query's next byte isn't at its row, the
+    common prefixes of neighbouring rows (a table of range minima) tell which of the nearest runs of that byte shares more with what
+    is matched so far, and the query goes on from that run's sampled end.
+    """
 
-    def __init__(self, contexts: list[bytes], docs: np.ndarray):
-        lengths = np.array([len(c) + 1 for c in contexts])
-        text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int64) + 1
-        text[np.cumsum(lengths) - 1] = 0  # ends of contexts sort before all bytes
-        n = len(text)
+    def __init__(self, texts: list[bytes], colours: np.ndarray):
+        lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        stops = np.cumsum(lengths) - 1
+        text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+        colour, stop, at = np.repeat(np.asarray(colours, np.int64), lengths), np.repeat(stops, lengths), np.arange(len(text))
+        text[stops] = colour[stops] = 0  # ends of texts sort before all bytes
+        self.n = n = len(text)
 
         def ahead(x: np.ndarray, k: int) -> np.ndarray:
-            return np.roll(x, -k)
-
-        two = text << 9 | ahead(text, 1)
-        four = two << 18 | ahead(two, 2)
-        rank = np.unique(four << 27 | ahead(two, 4) << 9 | ahead(text, 6), return_inverse=True)[1]
-        for k in (7, 14):
-            rank = np.unique(rank << 32 | ahead(rank, k), return_inverse=True)[1]
-        last = rank << 32 | ahead(rank, SPAN - 28)
-        order = np.argsort(last, kind="stable")
-        ordered = last[order]
-        self.heads = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        self.head_docs = np.repeat(docs, lengths)[order[self.heads]]
-        self.stops = np.r_[self.heads[1:], n]
-        bwt = text[order - 1]
+            return x[np.minimum(at + k, stop)]
+
+        seven = text
+        for k in range(1, 7):
+            seven = seven << 9 | ahead(text, k)
+        rank, classes = _ranks(seven)
+        rank, classes = _ranks(colour << 32 | rank)
+        levels, k = [rank], 7
+        while k < lengths.max():
+            rank, more = _ranks(rank << 32 | ahead(rank, k))
+            if more == classes:
+                break
+            levels.append(rank)
+            classes, k = more, 2 * k
+        order = np.argsort(rank << 32 | at)
+        i, j = order[:-1], order[1:]
+        same = np.zeros(n - 1, np.int64)
+        for k in range(len(levels) - 2, -1, -1):
+            same += (levels[k][np.minimum(i + same, stop[i])] == levels[k][np.minimum(j + same, stop[j])]) * (7 << k)
+        apart = seven[np.minimum(i + same, stop[i])] ^ seven[np.minimum(j + same, stop[j])]
+        for k in range(1, 7):
+            same += apart >> 9 * (7 - k) == 0
+        # rows of one class at the last level are equal to their ends
+        same = np.where(levels[-1][i] == levels[-1][j], (stop - at)[i], np.where(colour[i] == colour[j], same, 0))
+        self.minima = [np.r_[0, same].astype(np.int32)]
+        while 2 << len(self.minima) - 1 <= n:
+            half, low = 1 << len(self.minima) - 1, self.minima[-1]
+            self.minima.append(np.minimum(low[: len(low) - half], low[half:]))
+        self.symbols, symbol = np.unique(colour << 9 | text, return_inverse=True)
+        bwt = symbol[order - 1]
         starts = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-        sizes, symbol = np.diff(np.r_[starts, n]), bwt[starts]
-        by = np.argsort(symbol, kind="stable")
-        self.n = n
-        self.run_key, self.run_size, self.run_start, self.run_symbol = symbol[by] * n + starts[by], sizes[by], starts[by], symbol[by]
-        before = np.cumsum(self.run_size) - self.run_size
-        self.lower = np.searchsorted(np.sort(text), np.arange(258))
-        self.run_before = before - self.lower[self.run_symbol]
-
-    def _rank(self, symbol: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Occurrences of the symbol above the row."""
-        j = np.searchsorted(self.run_key, symbol * self.n + row) - 1
-        k = np.maximum(j, 0)
-        found = self.run_before[k] + np.minimum(row - self.run_start[k], self.run_size[k])
-        return np.where((j >= 0) & (self.run_symbol[k] == symbol), found, 0)
-
-    def first_documents(self, queries: list[bytes]) -> np.ndarray:
-        """The first document of each SPAN-byte string of the queries, in their order; -1 where none has it.
-
-        A query that breaks off (it isn't in the index as a whole) has its strings looked up one by one.
+        by = np.argsort(bwt[starts], kind="stable")
+        self.run_start, self.run_end, self.run_symbol = starts[by], np.r_[starts[1:], n][by] - 1, bwt[starts][by]
+        self.run_key = self.run_symbol * n + self.run_start
+        size = self.run_end - self.run_start + 1
+        self.run_to = np.cumsum(size) - size  # where the run's first row goes when its symbol is put before it
+        self.start_at, self.end_at, self.top_at = order[self.run_start], order[self.run_end], int(order[0])
+
+    def _common(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Bytes that rows low and high, low < high, have in common."""
+        out = np.zeros(len(low), np.int64)
+        level = np.frexp((high - low).astype(np.float64))[1] - 1
+        for k in np.unique(level):
+            own = np.flatnonzero(level == k)
+            out[own] = np.minimum(self.minima[k][low[own] + 1], self.minima[k][high[own] + 1 - (1 << int(k))])
+        return out
+
+    def matching_statistics(self, queries: list[bytes], colours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each byte of the queries, one after the other: the length of the longest match that starts there, and where the indexed texts hold it (-1: nowhere).
+
+        Queries are streamed from right to left, all in step.
         """
         lengths = np.array([len(q) for q in queries], np.int64)
-        counts = np.maximum(lengths - SPAN + 1, 0)
-        out_at = np.cumsum(counts) - counts
-        out = np.full(counts.sum(), -1, np.int64)
-        text = np.frombuffer(b"".join(queries), np.uint8)
         ends = np.cumsum(lengths)
+        code = np.repeat(np.asarray(colours, np.int64) << 9, lengths) | np.frombuffer(b"".join(queries), np.uint8).astype(np.int64) + 1
+        symbols = np.minimum(np.searchsorted(self.symbols, code), len(self.symbols) - 1)
+        symbols[self.symbols[symbols] != code] = -1
+        matched, found = np.zeros(len(code), np.int64), np.full(len(code), -1, np.int64)
         order = np.argsort(-lengths, kind="stable")
-        order = order[counts[order] > 0]
-        low, high = np.zeros(len(order), np.int64), np.full(len(order), self.n, np.int64)
-        broken = np.zeros(len(order), bool)
+        row, place, length = np.zeros(len(order), np.int64), np.full(len(order), self.top_at), np.zeros(len(order), np.int64)
+        last_run = len(self.run_key) - 1
         for t in range(int(lengths.max(initial=0))):
             live = int(np.searchsorted(-lengths[order], -t))  # those longer than t
-            if not live:
-                break
-            q = order[:live]
-            symbol = text[ends[q] - 1 - t].astype(np.int64) + 1
-            low[:live] = self.lower[symbol] + self._rank(symbol, low[:live])
-            high[:live] = self.lower[symbol] + self._rank(symbol, high[:live])
-            broken[:live] |= low[:live] >= high[:live]
-            if t >= SPAN - 1:
-                head = np.searchsorted(self.heads, np.minimum(low[:live], self.n - 1), side="right") - 1
-                low[:live], high[:live] = self.heads[head], self.stops[head]
-                fine = ~broken[:live]
-                out[(out_at[q] + lengths[q] - 1 - t)[fine]] = self.head_docs[head[fine]]
-        for i in np.flatnonzero(broken):
-            q = order[i]
-            if lengths[q] > SPAN:
-                own = [queries[q][j : j + SPAN] for j in range(counts[q])]
-                out[out_at[q] : out_at[q] + counts[q]] = self.first_documents(own)
-        return out
-
-
-def first_documents(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray | int]:
-    """For each different context, in the order given with its first document: the first document of each of its strings, or one number for all."""
-    size = np.array([len(c) for c in contexts])
-    ends = np.cumsum(size)
+            byte = ends[order[:live]] - 1 - t
+            c, j = symbols[byte], row[:live]
+            run = np.searchsorted(self.run_key, c * self.n + j, "right") - 1
+            above = np.maximum(run, 0)
+            has_above = (run >= 0) & (self.run_symbol[above] == c)
+            inside = has_above & (j <= self.run_end[above])
+            target = self.run_to[above] + j - self.run_start[above]
+            place[:live] -= 1
+            out = np.flatnonzero(~inside)
+            if len(out):
+                up, down = above[out], np.minimum(run[out] + 1, last_run)
+                can_up, can_down = has_above[out], (self.run_symbol[down] == c[out]) & (run[out] < last_run)
+                by_up, by_down = np.full(len(out), -1), np.full(len(out), -1)
+                own = j[out]
+                by_up[can_up] = self._common(self.run_end[up[can_up]], own[can_up])
+                by_down[can_down] = self._common(own[can_down], self.run_start[down[can_down]])
+                rise = by_up >= by_down
+                none = ~(can_up | can_down)
+                target[out] = np.where(none, 0, np.where(rise, self.run_to[up] + self.run_end[up] - self.run_start[up], self.run_to[down]))
+                place[out] = np.where(none, self.top_at, np.where(rise, self.end_at[up], self.start_at[down]) - 1)
+                length[out] = np.where(none, -1, np.minimum(length[out], np.maximum(by_up, by_down)))
+            length[:live] += 1
+            row[:live] = target
+            matched[byte] = length[:live]
+            found[byte] = np.where(length[:live] > 0, place[:live], -1)
+        return matched, found
+
+
+def minimizers(contexts: list[bytes]) -> np.ndarray:
+    """The smallest gram hash of each context's first string, which all its strings share."""
+    ends = np.cumsum([len(c) for c in contexts])
+    starts = np.r_[0, ends[:-1]]
     hashes = gram_hashes(np.frombuffer(b"".join(contexts), np.uint8), GRAM)
-    low = np.minimum.reduceat(np.r_[hashes, np.full(GRAM, U(2**64 - 1))], np.stack([ends - size, ends - size + SPAN - GRAM + 1], 1).ravel())[::2]
-    order = np.argsort(low, kind="stable")
-    same = low[order][1:] == low[order][:-1]
-    shared = np.zeros(len(contexts), bool)
-    shared[order[1:][same]] = shared[order[:-1][same]] = True
-    out: list[np.ndarray | int] = docs.tolist()
-    at = np.flatnonzero(shared)
-    if len(at):
-        at = at[np.argsort(docs[at], kind="stable")]
-        own = [contexts[i] for i in at]
-        found = RunLengthIndex(own, docs[at]).first_documents(own)
-        cut = np.cumsum([len(c) - SPAN + 1 for c in own])[:-1]
-        for i, part in zip(at.tolist(), np.split(found, cut)):
-            out[i] = part
-    return out
+    return np.minimum.reduceat(np.r_[hashes, np.full(GRAM, U(2**64 - 1))], np.stack([starts, starts + SPAN - GRAM + 1], 1).ravel())[::2]
+
+
+def _places_within(group: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The dense rank of each value within its group; rows are in order of both."""
+    other = np.r_[False, (group[1:] != group[:-1]) | (value[1:] != value[:-1])]
+    count = np.cumsum(other)
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    return count - np.repeat(count[first], np.diff(np.r_[first, len(group)]))
+
+
+def earlier_strings(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """For each string of different contexts, given with their first documents: whether it also starts in a context with a smaller document.
+
+    Contexts can only share a string if they share their minimizer. The documents of each minimizer are numbered, and for every binary digit of
+    the numbers, the highest first, the contexts whose digit is 0 are indexed and those whose digit is 1 are streamed
+    through the index; the digits above are their colour. So two documents meet once, the earlier one in the index. A context
+    whose strings are all found takes no further part: whatever it could show is in an earlier document too.
+    """
+    sizes = np.array([len(c) - SPAN + 1 for c in contexts], np.int64)
+    edges = np.r_[0, np.cumsum(sizes)]
+    known = np.zeros(edges[-1], bool)
+    group = np.unique(minimizers(contexts), return_inverse=True)[1]
+    left = np.lexsort((docs, group))
+    number = np.zeros(len(contexts), np.int64)
+    number[left] = _places_within(group[left], docs[left])
+    for digit in range(int(number.max(initial=0)).bit_length() - 1, -1, -1):
+        side, colour = number >> digit & 1, number >> digit + 1
+        # only where both sides of a colour are there
+        part = group[left] << 32 | colour[left]
+        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        length = np.diff(np.r_[heads, len(part)])
+        later = np.add.reduceat(side[left], heads)
+        both = np.repeat((later > 0) & (later < length), length)
+        own = left[both]
+        reference, asked = own[side[own] == 0], own[side[own] == 1]
+        if not len(asked):
+            continue
+        index = RunLengthIndex([contexts[i] for i in reference], colour[reference])
+        queries = [contexts[i] for i in asked]
+        matched, _ = index.matching_statistics(queries, colour[asked])
+        n = sizes[asked]
+        first = np.cumsum(n + SPAN - 1) - (n + SPAN - 1)
+        string = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        hit = matched[np.repeat(first, n) + string] >= SPAN
+        known[np.repeat(edges[asked], n) + string] |= hit
+        done = np.zeros(len(contexts), bool)
+        done[asked] = np.add.reduceat(known[np.repeat(edges[asked], n) + string].astype(np.int64), np.cumsum(n) - n) == n
+        left = left[~done[left]]
+    return known
 
 
 class Group:
-    """The documents of one group, in order of id, then length and bytes."""
+    """The documents of one group, in order of id, then length and bytes, cut into pieces that show the next one's first SPAN - 1 bytes."""
 
-    def __init__(self, rows: pa.Table):
-        ids, bodies = [], []
-        for doc_ids, lengths, packed in zip(*(rows.column(c).to_pylist() for c in ("ids", "lengths", "bodies"))):
+    def __init__(self, rows: pa.Table, piece: int = PIECE):
+        ids, texts, copies = [], [], []
+        for doc_ids, number, lengths, packed in zip(*(rows.column(c).to_pylist() for c in ("ids", "copies", "lengths", "bodies"))):
             body, at = zstandard.decompress(packed), 0
             ids += np.frombuffer(doc_ids, np.int64).tolist()
+            copies += np.frombuffer(number, np.int64).tolist()
             for n in np.frombuffer(lengths, np.int64).tolist():
-                bodies.append(body[at : at + n])
+                texts.append(body[at : at + n])
                 at += n
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], len(bodies[i]), bodies[i]))
-        self.ids, self.bodies = np.array([ids[i] for i in order], np.int64), [bodies[i] for i in order]
+        order = sorted(range(len(ids)), key=lambda i: (ids[i], len(texts[i]), texts[i]))
+        self.copies = [copies[i] for i in order]
+        self.texts = [texts[i] for i in order]
+        cut = [(k, at) for k, text in enumerate(self.texts) for at in range(0, max(len(text) - SPAN + 1, 1), piece)]
+        self.text_of, self.offset = ([c[i] for c in cut] for i in (0, 1))
+        self.bodies = [self.texts[k][at : at + piece + SPAN - 1] for k, at in cut]
+        self.ids = np.array([ids[order[k]] for k in self.text_of], np.int64)
 
     def contexts(self, repeated: np.ndarray, hot: np.ndarray) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Each chunk with the starts, counts, documents and minimizers of its contexts with a repeated minimizer, hot ones cut into strings."""
@@ -291,32 +378,42 @@ def _repeated(back: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], hot[order]
 
 
-def dedup(docs: DataFrame, group_docs: int = 1500, keep_text: bool = False, hot_docs: int = HOT) -> DataFrame:
+def sizes_for(total: int, least: int = 4 << 20, most: int = 48 << 20) -> int:
+    """Bytes of a group or bucket of text, so that a group's message to a bucket holds 64 minimizers or more as long as the bounds allow it."""
+    return min(max(least, math.isqrt(850 * total)), most)
+
+
+def dedup(docs: DataFrame, group_bytes: int | None = None, keep_text: bool = False, hot_docs: int = HOT, piece: int = PIECE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row; with ``keep_text`` also text_sha256 (of all bytes) and
     kept (the remaining bytes as text, without those of a character that was cut through)."""
     spark = docs.sparkSession
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary").alias("body"))
-    n_groups = max(shuffle_partitions(spark), -(-rows.count() // group_docs))
-    # a null id gets a group by its bytes; it is compared with nothing
-    pid = F.pmod(F.xxhash64(F.coalesce("doc_id", F.xxhash64("body"))), F.lit(n_groups)).cast("int")
+    total = rows.agg(F.sum(F.length("body").cast("long"))).first()[0] or 0
+    group_bytes = group_bytes or sizes_for(total)
+    n_groups = max(shuffle_partitions(spark), -(-total // group_bytes))
+    n_buckets = max(shuffle_partitions(spark), -(-total // (2 * group_bytes)))
+    # a repeated id isn't one group's alone; equal rows are few by the time they are sent
+    pid = F.pmod(F.xxhash64("doc_id", "body"), F.lit(n_groups)).cast("int")
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            out: dict[str, list] = {"pid": [], "ids": [], "lengths": [], "bodies": []}
+            out: dict[str, list] = {"pid": [], "ids": [], "copies": [], "lengths": [], "bodies": []}
             for p, at in _by(b.column("pid").to_numpy(), n_groups):
                 take = pa.array(at)
-                bodies = b.column("body").take(take).to_pylist()
+                different = Counter(zip(b.column("doc_id").take(take).to_pylist(), b.column("body").take(take).to_pylist()))
+                bodies = [body for _, body in different]
                 out["pid"].append(p)
-                out["ids"].append(np.array(b.column("doc_id").take(take).to_pylist(), np.int64).tobytes())
+                out["ids"].append(np.array([i for i, _ in different], np.int64).tobytes())
+                out["copies"].append(np.array(list(different.values()), np.int64).tobytes())
                 out["lengths"].append(np.array([len(x) for x in bodies], np.int64).tobytes())
                 out["bodies"].append(press.compress(b"".join(bodies)))
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("pid", pa.int32()), ("ids", pa.binary()), ("lengths", pa.binary()), ("bodies", pa.binary())]))
+            yield pa.RecordBatch.from_pydict(out, pa.schema([("pid", pa.int32()), *((c, pa.binary()) for c in ("ids", "copies", "lengths", "bodies"))]))
 
-    bundles = rows.where("doc_id is not null").withColumn("pid", pid).mapInArrow(bundle, "pid int, ids binary, lengths binary, bodies binary")
+    bundles = rows.where("doc_id is not null").withColumn("pid", pid).mapInArrow(bundle, "pid int, ids binary, copies binary, lengths binary, bodies binary")
 
     def send_keys(t: pa.Table) -> pa.Table:
-        group, p = Group(t), t.column("pid")[0].as_py()
+        group, p = Group(t, piece), t.column("pid")[0].as_py()
         keys, ids = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for chunk in chunks(group.bodies):
             keys.append(chunk.key)
@@ -330,7 +427,7 @@ def dedup(docs: DataFrame, group_docs: int = 1500, keep_text: bool = False, hot_
         count = np.minimum(np.add.reduceat(other.astype(np.int64), starts), 65535).astype("<u2") if len(starts) else np.zeros(0, "<u2")
         key = key[starts]
         out: dict[str, list] = {"bucket": [], "pid": [], "keys": [], "counts": []}
-        for q, at in _by((key % U(n_groups)).astype(np.int64), n_groups):
+        for q, at in _by((key % U(n_buckets)).astype(np.int64), n_buckets):
             out["bucket"].append(q)
             out["pid"].append(p)
             out["keys"].append(_six(key[at]))
@@ -360,10 +457,10 @@ def dedup(docs: DataFrame, group_docs: int = 1500, keep_text: bool = False, hot_
     def send_contexts(t: pa.Table, back: pa.Table) -> pa.Table:
         out: dict[str, list] = {"route": [], "pid": [], "lengths": [], "firsts": [], "contexts": []}
         if t.num_rows and back.num_rows:
-            group, p, press = Group(t), t.column("pid")[0].as_py(), zstandard.ZstdCompressor(level=3)
-            known, first, route, _ = group.places(*_repeated(back), n_groups)
+            group, p, press = Group(t, piece), t.column("pid")[0].as_py(), zstandard.ZstdCompressor(level=3)
+            known, first, route, _ = group.places(*_repeated(back), n_buckets)
             texts, first_id = list(known), group.ids[np.array(first, np.int64)]
-            for r, at in _by(np.array(route, np.int64), n_groups):
+            for r, at in _by(np.array(route, np.int64), n_buckets):
                 own = [texts[i] for i in at]
                 out["route"].append(r)
                 out["pid"].append(p)
@@ -391,17 +488,16 @@ def dedup(docs: DataFrame, group_docs: int = 1500, keep_text: bool = False, hot_
                     first[j] = d
                 own.append(j)
             asked.append((own, ids))
-        texts = list(known)
-        earliest = first_documents(texts, np.array(first, np.int64))
+        texts, first_id = list(known), np.array(first, np.int64)
         windows = np.array([len(x) - SPAN + 1 for x in texts])
         flat_at = np.cumsum(windows) - windows
-        flat = np.concatenate([e if isinstance(e, np.ndarray) else np.full(n, e) for e, n in zip(earliest, windows)])
+        flat = earlier_strings(texts, first_id)
         bits = []
         for own, ids in asked:
             own = np.array(own)
             n = windows[own]
             where = np.repeat(flat_at[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            bits.append(np.packbits(flat[where] < np.repeat(ids, n)).tobytes())
+            bits.append(np.packbits(flat[where] | np.repeat(first_id[own] < ids, n)).tobytes())
         k = t.num_rows
         return pa.table([t.column("pid").cast(pa.int32()), pa.array([1] * k, pa.int32()), t.column("route").cast(pa.int32()), pa.array(bits, pa.binary()), pa.array([b""] * k, pa.binary())], schema=_BACK)
 
@@ -416,15 +512,15 @@ def dedup(docs: DataFrame, group_docs: int = 1500, keep_text: bool = False, hot_
     def cut(t: pa.Table, back: pa.Table) -> pa.Table:
         out = []
         if t.num_rows:
-            group = Group(t)
-            _, first, route, seen = group.places(*_repeated(back), n_groups)
+            group = Group(t, piece)
+            _, first, route, seen = group.places(*_repeated(back), n_buckets)
             answers = {r["route"]: r["a"] for r in back.to_pylist() if r["kind"] == 1}
             n = np.zeros(len(first), np.int64)
             for _, _, count, _, number in seen:
                 n[number] = count
             flat_at = np.cumsum(n) - n
             bits = np.zeros(int(n.sum()), bool)
-            for r, at in _by(np.array(route, np.int64), n_groups):
+            for r, at in _by(np.array(route, np.int64), n_buckets):
                 m = n[at]
                 where = np.repeat(flat_at[at] - (np.cumsum(m) - m), m) + np.arange(m.sum())
                 bits[where] = np.unpackbits(np.frombuffer(answers[r], np.uint8), count=len(where))
@@ -439,13 +535,20 @@ def dedup(docs: DataFrame, group_docs: int = 1500, keep_text: bool = False, hot_
                 total = np.cumsum(mark[:-1])
                 covered = total > 0
                 covered[SPAN:] = total[SPAN:] > total[:-SPAN]
-                for i, (s, e) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist())):
-                    gone = covered[s:e]
+                for i, (s, e) in enumerate(zip(chunk.starts.tolist(), chunk.ends.tolist()), chunk.first):
+                    gone, text = covered[s:e], group.texts[group.text_of[i]]
+                    if e - s < len(text):  # a piece: bytes at its edge may be covered from either side
+                        if not group.offset[i]:
+                            whole = np.zeros(len(text), bool)
+                        whole[group.offset[i] : group.offset[i] + e - s] |= gone
+                        if group.offset[i] + e - s < len(text):
+                            continue
+                        gone = whole
                     k = int(np.count_nonzero(gone))
-                    kept = body[s:e][~gone].tobytes() if k else chunk.bytes[s:e]
+                    kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if k else text
                     spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if k else 0
-                    row = int(group.ids[chunk.first + i]), e - s, k, spans, hashlib.sha256(kept).hexdigest()
-                    out.append((*row, hashlib.sha256(chunk.bytes[s:e]).hexdigest(), kept.decode("utf-8", "ignore")) if keep_text else row)
+                    row = int(group.ids[i]), len(text), k, spans, hashlib.sha256(kept).hexdigest()
+                    out += [(*row, hashlib.sha256(text).hexdigest(), kept.decode("utf-8", "ignore")) if keep_text else row] * group.copies[group.text_of[i]]
         return pa.table([pa.array(c, kind) for c, kind in zip(list(zip(*out)) or [[]] * len(names), kinds)], schema=schema)
 
     out_sql = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", text_sha256 string, kept string" if keep_text else "")

@@ -194,7 +194,7 @@ def passages(seed):
 def test_suffix_dedup(spark, hot):
     docs = passages(hot)
     df = spark.createDataFrame([(d, t, "p", b"k") for d, t in docs], "doc_id long, text string, pid string, kept binary")
-    got = sorted([tuple(r) for r in suffix.dedup(df, group_docs=9, hot_docs=hot).collect()], key=str)
+    got = sorted([tuple(r) for r in suffix.dedup(df, group_bytes=3000, hot_docs=hot).collect()], key=str)
     assert got == brute_cut(docs)
 
 
@@ -209,20 +209,60 @@ def test_suffix_dedup_kept_text_and_empty(spark):
     assert suffix.dedup(df.limit(0)).count() == 0
 
 
-def test_run_length_index_against_search():
+@pytest.mark.parametrize("piece", [1 << 20, 1000])
+def test_very_long_and_repeated_texts(spark, piece):
+    r = random.Random(9)
+    long = " ".join(str(r.randrange(10**9)) for _ in range(8000))
+    docs = [(5, long), (1, long[900:1400]), (2, long[40_000:40_090]), (7, long), (7, long), (8, "".join(reversed(long))), *[(9, "a row that is there many times " * 3)] * 50]
+    got = sorted([tuple(x) for x in suffix.dedup(spark.createDataFrame(docs, "doc_id long, text string"), piece=piece).collect()], key=str)
+    assert got == brute_cut(docs)
+
+
+def matches(query, colour, texts, colours):
+    out = []
+    for i in range(len(query)):
+        n = 0
+        while i + n < len(query) and any(c == colour and query[i : i + n + 1] in t for t, c in zip(texts, colours)):
+            n += 1
+        out.append(n)
+    return out
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abcdef"])
+def test_matching_statistics_against_search(letters):
     r = random.Random(4)
-    texts = list(dict.fromkeys("".join(r.choice("ab") for _ in range(r.choice([50, 60, 90]))) if i % 3 else "ab" * r.randint(25, 40) for i in range(40)))
-    texts = [t.encode() for t in texts]
-    docs = np.array(sorted(r.randrange(100) for _ in texts))
-    index = suffix.RunLengthIndex(texts, docs)
-    asked = [*texts, b"ab" * 20 + b"c" + b"ab" * 40, b"short"]
-    want = []
-    for q in asked:
-        for i in range(len(q) - 49):
-            hits = [d for t, d in zip(texts, docs) if q[i : i + 50] in t]
-            want.append(min(hits) if hits else -1)
-    assert index.first_documents(asked).tolist() == want
-    assert len(index.run_size) < index.n
+    for _ in range(25):
+        texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 60))).encode() for _ in range(r.randint(1, 12))]
+        colours = np.array([r.randint(0, 2) for _ in texts])
+        asked = ["".join(r.choice(letters + "z") for _ in range(r.randint(1, 60))).encode() for _ in range(5)] + texts[:2]
+        own = np.array([r.randint(0, 3) for _ in asked])
+        index = suffix.RunLengthIndex(texts, colours)
+        lengths, places = index.matching_statistics(asked, own)
+        assert lengths.tolist() == [n for q, c in zip(asked, own) for n in matches(q, c, texts, colours)]
+        indexed, query = b"\0".join(texts), b"".join(asked)
+        assert all(indexed[p : p + n] == query[i : i + n] if n else p == -1 for i, (n, p) in enumerate(zip(lengths.tolist(), places.tolist())))
+    # a text and its near copies share runs
+    index = suffix.RunLengthIndex([b"one text that is there many times over" * 2] * 40, np.zeros(40))
+    assert len(index.run_start) < index.n / 10
+
+
+def test_earlier_strings_against_search():
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdefghijklmnop") for _ in range(400)) for _ in range(3)]
+    bodies = []
+    for _ in range(50):
+        b = list(r.choice(base))
+        for _ in range(r.randint(0, 6)):
+            b[r.randrange(400)] = r.choice("abcdefghijklmnop")
+        bodies.append("".join(b).encode())
+    chunk, first, starts = suffix.Chunk(bodies, 0), {}, {}
+    for s, k, d in zip(chunk.at.tolist(), chunk.count.tolist(), chunk.doc.tolist()):
+        first.setdefault(chunk.bytes[s : s + k + 49], d)
+    for d, b in enumerate(bodies):
+        for i in range(351):
+            starts.setdefault(b[i : i + 50], d)
+    got = suffix.earlier_strings(list(first), np.array(list(first.values())))
+    assert got.tolist() == [starts[t[i : i + 50]] < d for t, d in first.items() for i in range(len(t) - 49)]
 
 
 # --- packing ---
