@@ -8,8 +8,8 @@ meet where their minimizer is sent:
 2. Each group sends the minimizers it holds, once each, with the number of its documents that hold it, and learns which occur in more than one document.
 3. Contexts with such a minimizer, each different one once, go to that minimizer's bucket with their first document. A very common minimizer (over ``HOT`` documents) may have as
    many contexts as documents; its contexts are cut into single strings, each sent by a hash of its own, and equal ones meet.
-4. A bucket indexes the contexts of earlier documents, as a Burrows-Wheeler transform in runs with sampled run ends, and streams those of later documents
-   through it. Matching statistics of ``SPAN`` or more mark a string.
+4. A bucket indexes contexts of all but the last documents, as a Burrows-Wheeler transform in runs with sampled run ends, and streams those of all but the first
+   ones through it. Matching statistics of ``SPAN`` or more lead to a sampled position, which knows the first document with these bytes.
 5. Groups get one bit for each string and drop the covered bytes.
 
 Strings are compared byte by byte in step 4 and hashes only route, so the result is exact. Groups and buckets are bounded by bytes. A group sends
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import shuffle_partitions
 
-SPAN, GRAM, HOT, MOST_WINDOWS = 50, 25, 2048, 512
+SPAN, GRAM, HOT, MOST_WINDOWS = 50, 25, 2048, 63
 #: Bytes of a long text that are read at once.
 PIECE = 1 << 20
 U = np.uint64
@@ -121,30 +121,30 @@ def chunks(bodies: list[bytes], size: int = 150_000) -> Iterator[Chunk]:
         first = last
 
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """The dense rank of each key, and how many different keys there are."""
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The order of the keys, each one's dense rank, and how many different keys there are."""
     order = np.argsort(keys)
     ordered = keys[order]
     new = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
     rank = np.empty(len(keys), np.int64)
     rank[order] = new
-    return rank, int(new[-1]) + 1
+    return order, rank, int(new[-1]) + 1
 
 
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler transform of some texts, each with a colour, and the text positions at both ends of each run.
+    """Run-compressed Burrows-Wheeler transform of some texts, and the text positions at both ends of each run.
 
-    A byte of one colour equals no byte of another, so texts match within their colour only. Where a query's next byte isn't at its row, the
-    common prefixes of neighbouring rows (a table of range minima) tell which of the nearest runs of that byte shares more with what
-    is matched so far, and the query goes on from that run's sampled end.
+    Where a query's next byte isn't at its row, the common prefixes of neighbouring rows (a table of range minima) tell which of the
+    nearest runs of that byte shares more with what is matched so far, and the query goes on from that run's sampled end.
+    ``earliest`` holds, for each position with SPAN bytes, the smallest document of all positions with the same ones.
     """
 
-    def __init__(self, texts: list[bytes], colours: np.ndarray):
+    def __init__(self, texts: list[bytes], docs: np.ndarray):
         lengths = np.array([len(t) + 1 for t in texts], np.int64)
         stops = np.cumsum(lengths) - 1
         text = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
-        colour, stop, at = np.repeat(np.asarray(colours, np.int64), lengths), np.repeat(stops, lengths), np.arange(len(text))
-        text[stops] = colour[stops] = 0  # ends of texts sort before all bytes
+        text[stops] = 0  # ends of texts sort before all bytes
+        stop, at = np.repeat(stops, lengths), np.arange(len(text))
         self.n = n = len(text)
 
         def ahead(x: np.ndarray, k: int) -> np.ndarray:
@@ -153,16 +153,15 @@ class RunLengthIndex:
         seven = text
         for k in range(1, 7):
             seven = seven << 9 | ahead(text, k)
-        rank, classes = _ranks(seven)
-        rank, classes = _ranks(colour << 32 | rank)
+        # ends differ from each other, so that all suffixes do
+        order, rank, classes = _ranked(seven)
+        rank += len(stops)
+        rank[stops] = np.arange(len(stops))
         levels, k = [rank], 7
-        while k < lengths.max():
-            rank, more = _ranks(rank << 32 | ahead(rank, k))
-            if more == classes:
-                break
+        while classes < n:
+            order, rank, classes = _ranked(rank << 32 | ahead(rank, k))
             levels.append(rank)
-            classes, k = more, 2 * k
-        order = np.argsort(rank << 32 | at)
+            k *= 2
         i, j = order[:-1], order[1:]
         same = np.zeros(n - 1, np.int64)
         for k in range(len(levels) - 2, -1, -1):
@@ -170,14 +169,16 @@ class RunLengthIndex:
         apart = seven[np.minimum(i + same, stop[i])] ^ seven[np.minimum(j + same, stop[j])]
         for k in range(1, 7):
             same += apart >> 9 * (7 - k) == 0
-        # rows of one class at the last level are equal to their ends
-        same = np.where(levels[-1][i] == levels[-1][j], (stop - at)[i], np.where(colour[i] == colour[j], same, 0))
-        self.minima = [np.r_[0, same].astype(np.int32)]
-        while 2 << len(self.minima) - 1 <= n:
-            half, low = 1 << len(self.minima) - 1, self.minima[-1]
-            self.minima.append(np.minimum(low[: len(low) - half], low[half:]))
-        self.symbols, symbol = np.unique(colour << 9 | text, return_inverse=True)
-        bwt = symbol[order - 1]
+        same = np.minimum(same, np.minimum((stop - at)[i], (stop - at)[j]))
+        self.minima = np.zeros((n.bit_length(), n), np.uint8 if lengths.max() < 256 else np.int32)
+        self.minima[0, 1:] = same
+        for k in range(1, len(self.minima)):
+            half, low = 1 << k - 1, self.minima[k - 1]
+            np.minimum(low[: n - half], low[half:], out=self.minima[k, : n - half])
+        heads = np.flatnonzero(np.r_[True, same < SPAN])
+        self.earliest = np.empty(n, np.int64)
+        self.earliest[order] = np.repeat(np.minimum.reduceat(np.repeat(docs, lengths)[order], heads), np.diff(np.r_[heads, n]))
+        bwt = text[order - 1]
         starts = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         by = np.argsort(bwt[starts], kind="stable")
         self.run_start, self.run_end, self.run_symbol = starts[by], np.r_[starts[1:], n][by] - 1, bwt[starts][by]
@@ -188,24 +189,18 @@ class RunLengthIndex:
 
     def _common(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Bytes that rows low and high, low < high, have in common."""
-        out = np.zeros(len(low), np.int64)
-        level = np.frexp((high - low).astype(np.float64))[1] - 1
-        for k in np.unique(level):
-            own = np.flatnonzero(level == k)
-            out[own] = np.minimum(self.minima[k][low[own] + 1], self.minima[k][high[own] + 1 - (1 << int(k))])
-        return out
-
-    def matching_statistics(self, queries: list[bytes], colours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.frexp((high - low).astype(np.float64))[1] - 1
+        return np.minimum(self.minima[k, low + 1], self.minima[k, high + 1 - (1 << k)]).astype(np.int64)
+
+    def matching_statistics(self, queries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each byte of the queries, one after the other: the length of the longest match that starts there, and where the indexed texts hold it (-1: nowhere).
 
         Queries are streamed from right to left, all in step.
         """
         lengths = np.array([len(q) for q in queries], np.int64)
         ends = np.cumsum(lengths)
-        code = np.repeat(np.asarray(colours, np.int64) << 9, lengths) | np.frombuffer(b"".join(queries), np.uint8).astype(np.int64) + 1
-        symbols = np.minimum(np.searchsorted(self.symbols, code), len(self.symbols) - 1)
-        symbols[self.symbols[symbols] != code] = -1
-        matched, found = np.zeros(len(code), np.int64), np.full(len(code), -1, np.int64)
+        symbols = np.frombuffer(b"".join(queries), np.uint8).astype(np.int64) + 1
+        matched, found = np.zeros(len(symbols), np.int64), np.full(len(symbols), -1, np.int64)
         order = np.argsort(-lengths, kind="stable")
         row, place, length = np.zeros(len(order), np.int64), np.full(len(order), self.top_at), np.zeros(len(order), np.int64)
         last_run = len(self.run_key) - 1
@@ -223,10 +218,9 @@ class RunLengthIndex:
             if len(out):
                 up, down = above[out], np.minimum(run[out] + 1, last_run)
                 can_up, can_down = has_above[out], (self.run_symbol[down] == c[out]) & (run[out] < last_run)
-                by_up, by_down = np.full(len(out), -1), np.full(len(out), -1)
                 own = j[out]
-                by_up[can_up] = self._common(self.run_end[up[can_up]], own[can_up])
-                by_down[can_down] = self._common(own[can_down], self.run_start[down[can_down]])
+                by_up = np.where(can_up, self._common(np.where(can_up, self.run_end[up], 0), np.where(can_up, own, 1)), -1)
+                by_down = np.where(can_down, self._common(np.where(can_down, own, 0), np.where(can_down, self.run_start[down], 1)), -1)
                 rise = by_up >= by_down
                 none = ~(can_up | can_down)
                 target[out] = np.where(none, 0, np.where(rise, self.run_to[up] + self.run_end[up] - self.run_start[up], self.run_to[down]))
@@ -258,42 +252,28 @@ def _places_within(group: np.ndarray, value: np.ndarray) -> np.ndarray:
 def earlier_strings(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
     """For each string of different contexts, given with their first documents: whether it also starts in a context with a smaller document.
 
-    Contexts can only share a string if they share their minimizer. The documents of each minimizer are numbered, and for every binary digit of
-    the numbers, the highest first, the contexts whose digit is 0 are indexed and those whose digit is 1 are streamed
-    through the index; the digits above are their colour. So two documents meet once, the earlier one in the index. A context
-    whose strings are all found takes no further part: whatever it could show is in an earlier document too.
+    Contexts can only share a string if they share their minimizer. Those of all documents but a minimizer's last one are indexed, and those
+    of all but its first one are streamed through the index. A match of SPAN bytes or more leads to a position, and the smallest
+    document that has the same bytes is known there.
     """
     sizes = np.array([len(c) - SPAN + 1 for c in contexts], np.int64)
     edges = np.r_[0, np.cumsum(sizes)]
-    known = np.zeros(edges[-1], bool)
+    earlier = np.zeros(edges[-1], bool)
     group = np.unique(minimizers(contexts), return_inverse=True)[1]
-    left = np.lexsort((docs, group))
+    order = np.lexsort((docs, group))
     number = np.zeros(len(contexts), np.int64)
-    number[left] = _places_within(group[left], docs[left])
-    for digit in range(int(number.max(initial=0)).bit_length() - 1, -1, -1):
-        side, colour = number >> digit & 1, number >> digit + 1
-        # only where both sides of a colour are there
-        part = group[left] << 32 | colour[left]
-        heads = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        length = np.diff(np.r_[heads, len(part)])
-        later = np.add.reduceat(side[left], heads)
-        both = np.repeat((later > 0) & (later < length), length)
-        own = left[both]
-        reference, asked = own[side[own] == 0], own[side[own] == 1]
-        if not len(asked):
-            continue
-        index = RunLengthIndex([contexts[i] for i in reference], colour[reference])
-        queries = [contexts[i] for i in asked]
-        matched, _ = index.matching_statistics(queries, colour[asked])
+    number[order] = _places_within(group[order], docs[order])
+    last = np.zeros(len(contexts), np.int64)
+    np.maximum.at(last, group, number)
+    reference, asked = np.flatnonzero(number < last[group]), np.flatnonzero(number > 0)
+    if len(asked):
+        index = RunLengthIndex([contexts[i] for i in reference], docs[reference])
+        matched, place = index.matching_statistics([contexts[i] for i in asked])
         n = sizes[asked]
-        first = np.cumsum(n + SPAN - 1) - (n + SPAN - 1)
-        string = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = matched[np.repeat(first, n) + string] >= SPAN
-        known[np.repeat(edges[asked], n) + string] |= hit
-        done = np.zeros(len(contexts), bool)
-        done[asked] = np.add.reduceat(known[np.repeat(edges[asked], n) + string].astype(np.int64), np.cumsum(n) - n) == n
-        left = left[~done[left]]
-    return known
+        first, string = np.cumsum(n + SPAN - 1) - (n + SPAN - 1), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(first, n) + string
+        earlier[np.repeat(edges[asked], n) + string] = (matched[at] >= SPAN) & (index.earliest[place[at]] < np.repeat(docs[asked], n))
+    return earlier
 
 
 class Group:
