@@ -11,19 +11,28 @@ from pyspark.sql import DataFrame, functions as F
 from .common import checkpointed
 
 
-def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index in the component of each of n nodes, for links a-b."""
-    label = np.arange(n)
-    while len(a):
-        la, lb = label[a], label[b]
-        low, high = np.minimum(la, lb), np.maximum(la, lb)
-        apart = low != high
-        if not apart.any():
-            break
-        np.minimum.at(label, high[apart], low[apart])
-        while (label[label] != label).any():
-            label = label[label]
-    return label
+class Roots:
+    """Union-find over arrays: each node's root is the smallest node it is joined to. Only nodes that are named in a call are touched by it."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, nodes: np.ndarray) -> np.ndarray:
+        root = self.parent[nodes]
+        while ((up := self.parent[root]) != root).any():
+            root = up
+        self.parent[nodes] = root
+        return root
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+    def all(self) -> np.ndarray:
+        return self.find(np.arange(len(self.parent)))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -74,3 +83,34 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
         held = [batch.slice(at[-1])]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def split_runs(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[pa.Table, bool]]:
+    """(whole runs of equal keys with up to ``most`` rows each, False) and (rows of a longer run, True), from batches sorted by the key; never holds more than ``most`` rows and a batch."""
+    held: pa.Table | None = None
+    last, long = None, False
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if long and rows.num_rows:
+            other = rows.column(key).to_numpy() != last
+            n = int(other.argmax()) if other.any() else rows.num_rows
+            if n:
+                yield rows.slice(0, n), True
+            rows, long = rows.slice(n), n == rows.num_rows
+        if not rows.num_rows:
+            continue
+        rows = pa.concat_tables([held, rows]) if held else rows
+        x = rows.column(key).to_numpy()
+        starts = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
+        sizes = np.diff(np.r_[starts, len(x)])
+        over = np.repeat(sizes > most, sizes)
+        done, tail = over.copy(), int(starts[-1])
+        done[:tail] = True
+        for hot in (False, True):
+            own = done & (over == hot)
+            if own.any():
+                yield rows.filter(pa.array(own)), hot
+        last, long = x[-1], bool(over[-1])
+        held = None if long else rows.slice(tail)
+    if held is not None:
+        yield held, False

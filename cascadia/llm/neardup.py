@@ -1,14 +1,17 @@
 """Near-duplicate vectors: random-hyperplane sign hashing in several tables, exact cosines, connected components.
 
 ``bits`` hyperplanes give one table's key. It follows from the number of rows, so that buckets keep their size as the
-input grows; the number of tables then follows from ``miss``, the allowed chance that a pair exactly at the
+input grows (up to 16 bits); the number of tables then follows from ``miss``, the allowed chance that a pair exactly at the
 threshold shares no bucket. Vectors of every length are compared, each with those of its own length; a shorter one is hashed by the first
-components of the same hyperplanes. Equal vectors of a label are one class before anything is compared, so copies cost no pairs. Keys
-alone are counted first, and only the members of buckets with two classes or more are sent there with their vectors.
-A pair is compared in the first table in which it collides and skipped in the others, so links are counted
-once and pairs never leave a task. Buckets of over ``block`` classes are cut into blocks by a hash, and every
-pair of blocks is a task's work of its own, so no bucket has to fit in one task. Each task returns one row per linked
-class: its links there and the smallest vec_id of its component there.
+components of the same hyperplanes. Equal vectors of a label are one class before anything is compared, so copies cost no pairs.
+
+No vector goes to a bucket. Its members are ids with a sketch, ``SKETCH`` words of further sign bits; those whose sketches differ in no more
+bits than a pair at the threshold may (with a chance of ``miss`` / 10 to differ in more) are candidates, and a bucket returns one candidate link for each member at most.
+The components of these links are found first. A true link never leaves such a component, so each vector is sent once, to its
+component, where all pairs are compared exactly: links are counted there, and the components of the links found.
+
+Buckets and components of over ``block`` classes are cut into blocks by a hash, and every pair of blocks is a task's work of its own, so none has to fit
+in one task. Pairs never leave a task.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do rows whose
 label or vec_id is null; each still gets a row. Repeated vec_ids are told apart while links are counted and share
@@ -27,9 +30,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import FloatType
 
 from .common import checkpointed
-from .graph import components, whole_runs
+from .graph import Roots, components, split_runs, whole_runs
 
-TILE = 1024
+TILE, SKETCH = 512, 3
 #: Components whose hyperplanes are held at once.
 PLANE_ROWS = 256
 
@@ -60,18 +63,18 @@ def packed_vectors(column: pa.Array, kind: str = "<f8") -> tuple[np.ndarray, lis
     return np.concatenate(places), packed
 
 
-def sign_keys(x: np.ndarray, tables: int, bits: int, seed: int, planes: dict[int, np.ndarray]) -> np.ndarray:
-    """A key for each row and table; ``planes`` keeps the hyperplanes' first components between calls."""
-    dots = np.zeros((len(x), tables * bits))
+def sign_bits(x: np.ndarray, n: int, seed: int, planes: dict[int, np.ndarray]) -> np.ndarray:
+    """On which side of ``n`` hyperplanes each row lies; ``planes`` keeps the hyperplanes' first components between calls."""
+    dots = np.zeros((len(x), n))
     for first in range(0, x.shape[1], PLANE_ROWS):
         part = planes.get(first)
         if part is None:
-            part = np.random.default_rng([seed, first]).standard_normal((PLANE_ROWS, tables * bits))
+            part = np.random.default_rng([seed, first]).standard_normal((PLANE_ROWS, n))
             if len(planes) < 16:
                 planes[first] = part
         own = x[:, first : first + PLANE_ROWS]
         dots += own @ part[: own.shape[1]]
-    return ((dots > 0).reshape(len(x), tables, bits) @ (1 << np.arange(bits))).astype(np.int32)
+    return dots > 0
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -84,60 +87,49 @@ def tables_for(bits: int, threshold: float, miss: float) -> int:
     return math.ceil(math.log(miss) / math.log(1 - p))
 
 
-def _tile_links(x: np.ndarray, y: np.ndarray, sx: np.ndarray, sy: np.ndarray, table: int, threshold: float) -> np.ndarray:
-    """Links between two tiles that collide in no earlier table."""
-    links = x @ y.T >= threshold
-    i, j = np.nonzero(links)
-    for t in range(table):
-        if not len(i):
-            break
-        met = sx[i, t] == sy[j, t]
-        links[i[met], j[met]] = False
-        i, j = i[~met], j[~met]
-    return links
+def sketch_distance(threshold: float, miss: float) -> int:
+    """The most bits in which the sketches of a pair at the threshold differ, but for a chance of ``miss``."""
+    n, p = 64 * SKETCH, math.acos(threshold) / math.pi
+    left = 1.0
+    for far in range(n):
+        left -= math.comb(n, far) * p**far * (1 - p) ** (n - far)
+        if left <= miss:
+            return far
+    return n
 
 
-class _Links:
+class _Links(Roots):
     """Counts and components of the rows of a chunk; a row that stands for ``copies`` vectors counts as often for the rows it is linked to."""
 
     def __init__(self, copies: np.ndarray):
-        self.copies, self.count, self.label = copies, np.zeros(len(copies), np.int64), np.arange(len(copies))
-
-    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
-        while True:
-            la, lb = self.label[a], self.label[b]
-            low, high = np.minimum(la, lb), np.maximum(la, lb)
-            apart = low != high
-            if not apart.any():
-                return
-            np.minimum.at(self.label, high[apart], low[apart])
-            while (self.label[self.label] != self.label).any():
-                self.label = self.label[self.label]
+        super().__init__(len(copies))
+        self.copies, self.count = copies, np.zeros(len(copies), np.int64)
 
     def pairs(self, a: np.ndarray, b: np.ndarray) -> None:
         np.add.at(self.count, a, self.copies[b])
         np.add.at(self.count, b, self.copies[a])
-        self._join(a, b)
+        self.join(a, b)
 
     def tile(self, at: np.ndarray, bt: np.ndarray, links: np.ndarray) -> None:
         self.count[at] += links @ self.copies[bt]
         self.count[bt] += self.copies[at] @ links
-        while True:  # the smallest label that each row sees in the other tile, until nothing changes
-            la, lb = self.label[at], self.label[bt]
-            seen_a = np.where(links, lb[None, :], len(self.label)).min(1, initial=len(self.label))
-            seen_b = np.where(links, la[:, None], len(self.label)).min(0, initial=len(self.label))
-            a, b = np.flatnonzero(seen_a < la), np.flatnonzero(seen_b < lb)
-            if not len(a) + len(b):
-                return
-            self._join(np.r_[at[a], bt[b]], np.r_[seen_a[a], seen_b[b]])
+        i, j = np.nonzero(links)
+        self.join(at[i], bt[j])
+
+
+def in_blocks(rows: DataFrame, counts: DataFrame, key: str, block: int) -> DataFrame:
+    """The rows once for each pair of blocks that theirs belongs to: ``lo`` and ``hi`` are the pair, ``own`` is the row's."""
+    cut = rows.join(counts.select(key, F.ceil(F.col("count") / block).cast("int").alias("blocks")), key)
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return cut.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
 
 
-def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = None, miss: float = 1e-6, block: int = 8192, seed: int = 7) -> DataFrame:
+def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = None, miss: float = 1e-6, block: int = 2048, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     n = rows.count()
-    bits = bits or min(24, max(12, round(math.log2(max(2, n)) - 4)))
-    tables = tables_for(bits, threshold, miss)
+    bits = bits or min(16, max(8, round(math.log2(max(2, n)) - 8)))
+    tables, far = tables_for(bits, threshold, miss), sketch_distance(threshold, miss / 10)
     kind = "<f4" if rows.schema["embedding"].dataType.elementType == FloatType() else "<f8"
     usable = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0))
 
@@ -160,30 +152,53 @@ def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = N
                 b = whole.slice(k, 512)
                 v = b.column("v").to_pylist()
                 sizes = np.array([len(x) for x in v])
-                keys = np.zeros((len(v), tables), np.int32)
+                signs = np.zeros((len(v), tables * bits + 64 * SKETCH), bool)
                 for size in np.unique(sizes):
                     at = np.flatnonzero(sizes == size)
                     x = np.frombuffer(b"".join([v[i] for i in at]), kind).reshape(len(at), -1).astype(np.float64)
-                    keys[at] = sign_keys(x, tables, bits, seed, planes)
-                signs = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*b.columns, signs], [*b.schema.names, "signs"])
-
-    signed = classes.mapInArrow(sign, "k binary, label string, v binary, first long, copies long, signs array<int>")
+                    signs[at] = sign_bits(x, signs.shape[1], seed, planes)
+                keys = (signs[:, : tables * bits].reshape(-1, tables, bits) @ (1 << np.arange(bits))).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
+                words = np.packbits(signs[:, tables * bits :], axis=1).view("<i8")
+                yield pa.RecordBatch.from_arrays([*b.columns, keys, *[pa.array(np.ascontiguousarray(words[:, j])) for j in range(SKETCH)]], [*b.schema.names, "keys", *sketch])
+
+    sketch = [f"s{j}" for j in range(SKETCH)]
+    words = ", ".join(f"{s} long" for s in sketch)
+    signed = classes.mapInArrow(sign, f"k binary, label string, v binary, first long, copies long, keys array<int>, {words}")
     signed = checkpointed(signed.withColumn("rid", F.monotonically_increasing_id()))
-    # a bucket's number may stand for two buckets now and then; then both get the blocks of their sum
-    keys = signed.select("rid", "label", F.length("v").alias("size"), F.posexplode("signs").alias("t", "key"))
-    keys = keys.select("rid", "t", "key", F.xxhash64("label", "size", "t", "key").alias("bucket"))
-    shared = keys.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    members = keys.join(shared, "bucket").select("rid", "t", "key", "blocks")
-    cut = members.join(signed.drop("k"), "rid").withColumn("size", F.length("v")).withColumn("own", F.pmod(F.xxhash64("rid"), "blocks").cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    g = F.xxhash64("label", "size", "t", "key", F.least("own", "other"), F.greatest("own", "other"))
-    routed = cut.select(g.alias("g"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "label", "size", "t", "key", "rid", "first", "copies", "v", "signs")
-    routed = routed.repartition("g").sortWithinPartitions("g", "label", "size", "t", "key", "lo", "hi")
+    members = signed.select("rid", "label", F.length("v").alias("size"), F.posexplode("keys").alias("t", "key"), *sketch)
+    members = members.select(F.xxhash64("label", "size", "t", "key").alias("bucket"), "rid", *sketch).repartition("bucket").sortWithinPartitions("bucket")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["bucket", "a", "b", *sketch]
+        for part, hot in split_runs(batches, "bucket", block):
+            if hot:
+                own = {c: part.column(c).combine_chunks() for c in ("bucket", "rid", *sketch)}
+                yield pa.RecordBatch.from_arrays([own["bucket"], own["rid"], pa.nulls(part.num_rows, pa.int64()), *[own[c] for c in sketch]], names)
+            else:
+                a, b = _candidates(part, ["bucket"], far, sketch)
+                none = pa.nulls(len(a), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, pa.array(a), pa.array(b), *[none] * SKETCH], names)
+
+    met = checkpointed(members.mapInArrow(meet, f"bucket long, a long, b long, {words}"))
+    hot = met.where("b is null").select("bucket", F.col("a").alias("rid"), *sketch)
+    hot = in_blocks(hot, hot.groupBy("bucket").count(), "bucket", block).withColumn("g", F.xxhash64("bucket", "lo", "hi"))
+    hot = hot.repartition("g").sortWithinPartitions("g", "bucket", "lo", "hi")
+
+    def meet_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in whole_runs(batches, ["g"]):
+            a, b = _candidates(part, ["g", "bucket", "lo", "hi"], far, sketch)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    candidates = met.where("b is not null").select("a", "b").union(hot.mapInArrow(meet_blocks, "a long, b long"))
+    parts = checkpointed(components(candidates).select(F.col("node").alias("rid"), F.col("root").alias("part")))
+    own = signed.select("rid", "label", F.length("v").alias("size"), "first", "copies", "v").join(parts, "rid")
+    routed = in_blocks(own, parts.groupBy("part").count(), "part", block).withColumn("g", F.xxhash64("part", "label", "size", "lo", "hi"))
+    routed = routed.repartition("g").sortWithinPartitions("g", "part", "label", "size", "lo", "hi")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in whole_runs(batches, ["g"]):
-            yield from _link_chunk(chunk, threshold, tables, kind)
+            yield from _link_chunk(chunk, threshold, kind)
 
     found = checkpointed(routed.mapInArrow(link, "rid long, n long, first long, root long"))
     links = found.groupBy("rid").agg(F.sum("n").alias("n"))
@@ -197,62 +212,93 @@ def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = N
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _link_chunk(chunk: pa.Table, threshold: float, tables: int, kind: str) -> Iterator[pa.RecordBatch]:
-    n = chunk.num_rows
-    col = {k: chunk.column(k).to_numpy() for k in ("g", "lo", "hi", "own", "size", "t", "key", "rid", "first", "copies")}
-    label = np.unique(chunk.column("label").to_numpy(), return_inverse=True)[1]
-    new = np.ones(n, bool)
-    new[1:] = label[1:] != label[:-1]
-    for k in ("g", "lo", "hi", "size", "t", "key"):
-        new[1:] |= col[k][1:] != col[k][:-1]
+def _groups(chunk: pa.Table, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, number of rows) of each run of equal keys."""
+    new = np.ones(chunk.num_rows, bool)
+    if chunk.num_rows:
+        new[1:] = False
+    for k in keys:
+        x = chunk.column(k).to_numpy()
+        new[1:] |= x[1:] != x[:-1]
     starts = np.flatnonzero(new)
-    sizes = np.diff(np.r_[starts, n])
-    group = np.repeat(np.arange(len(starts)), sizes)
-    v = chunk.column("v").to_pylist()
-    signs = np.concatenate([part.flatten().to_numpy() for part in chunk.column("signs").chunks]).reshape(n, tables)
+    return starts, np.diff(np.r_[starts, chunk.num_rows])
 
-    def rows_of(at: np.ndarray) -> np.ndarray:
-        return unit(np.frombuffer(b"".join([v[i] for i in at]), kind).reshape(len(at), -1).astype(np.float64))
 
-    out = _Links(col["copies"])
-    few = np.flatnonzero(sizes[group] <= 48)
-    for size in np.unique(col["size"][few]):
-        small = few[col["size"][few] == size]
-        x = rows_of(small)
-        gs, own = group[small], col["own"][small]
-        one = col["lo"][small] == col["hi"][small]
-        for shift in range(1, 48):
-            a = np.flatnonzero(gs[shift:] == gs[:-shift])
-            if not len(a):
-                break
-            b = a + shift
-            fit = one[a] | (own[a] != own[b])
+def _pairs_in_runs(chunk: pa.Table, keys: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """Rows to be compared, each pair once: (a, b, False) one with one, or (a, b, True) all of a with all of b, where a is b for the pairs of a tile with itself.
+
+    With columns ``lo`` and ``hi`` a run is a pair of blocks, and only rows of different blocks are compared.
+    """
+    starts, sizes = _groups(chunk, keys)
+    blocks = "lo" in chunk.column_names
+    lo, hi, own = (chunk.column(c).to_numpy() for c in ("lo", "hi", "own")) if blocks else (None, None, None)
+    group = np.repeat(np.arange(len(starts)), sizes)
+    small = np.flatnonzero(sizes[group] <= 48)
+    gs = group[small]
+    for shift in range(1, 48):
+        a = np.flatnonzero(gs[shift:] == gs[:-shift])
+        if not len(a):
+            break
+        a, b = small[a], small[a + shift]
+        if blocks:
+            fit = (lo[a] == hi[a]) | (own[a] != own[b])
             a, b = a[fit], b[fit]
-            near = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
-            a, b = small[a[near]], small[b[near]]
-            earlier = (signs[a] == signs[b]) & (np.arange(tables) < col["t"][a][:, None])
-            first = ~earlier.any(1)
-            out.pairs(a[first], b[first])
+        yield a, b, False
     for s, size in zip(starts[sizes > 48], sizes[sizes > 48]):
         at = np.arange(s, s + size)
-        same = col["lo"][s] == col["hi"][s]
-        left, right = (at, at) if same else (at[col["own"][at] == col["lo"][s]], at[col["own"][at] == col["hi"][s]])
-        t = int(col["t"][s])
+        same = not blocks or lo[s] == hi[s]
+        left, right = (at, at) if same else (at[own[at] == lo[s]], at[own[at] == hi[s]])
         for i in range(0, len(left), TILE):
-            p = left[i : i + TILE]
-            x = rows_of(p)
             for j in range(i if same else 0, len(right), TILE):
-                q = right[j : j + TILE]
-                links = _tile_links(x, rows_of(q), signs[p], signs[q], t, threshold)
-                if same and i == j:
-                    links = np.triu(links, 1)
-                out.tile(p, q, links)
+                yield left[i : i + TILE], right[j : j + TILE], True
+
+
+def _candidates(chunk: pa.Table, keys: list[str], far: int, sketch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Links (rid, rid) that span the rows of each run whose sketches differ in ``far`` bits at most."""
+    rid = chunk.column("rid").to_numpy()
+    s = [chunk.column(c).to_numpy().view(np.uint64) for c in sketch]
+    out = Roots(chunk.num_rows)
+    for a, b, tile in _pairs_in_runs(chunk, keys):
+        if tile:
+            apart = sum(np.bitwise_count(x[a][:, None] ^ x[b][None, :]).astype(np.int16) for x in s)
+            i, j = np.nonzero(apart <= far)
+            a, b = a[i], b[j]
+        else:
+            near = sum(np.bitwise_count(x[a] ^ x[b]).astype(np.int16) for x in s) <= far
+            a, b = a[near], b[near]
+        out.join(a, b)
+    root = out.all()
+    linked = np.flatnonzero(root != np.arange(len(rid)))
+    return rid[linked], rid[root[linked]]
+
+
+def _link_chunk(chunk: pa.Table, threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
+    n = chunk.num_rows
+    names = np.unique(chunk.column("label").to_numpy(), return_inverse=True)[1]
+    chunk = chunk.set_column(chunk.column_names.index("label"), "label", pa.array(names))
+    rid, first, size = (chunk.column(c).to_numpy() for c in ("rid", "first", "size"))
+    v = chunk.column("v").to_pylist()
+
+    def rows_of(at: np.ndarray) -> np.ndarray:
+        return unit(np.frombuffer(b"".join([v[i] for i in at]), kind).reshape(len(at), -1).astype(np.float64))
+
+    out = _Links(chunk.column("copies").to_numpy())
+    for a, b, tile in _pairs_in_runs(chunk, ["g", "part", "label", "size", "lo", "hi"]):
+        if tile:
+            links = rows_of(a) @ rows_of(b).T >= threshold
+            out.tile(a, b, np.triu(links, 1) if a[0] == b[0] else links)
+            continue
+        for width in np.unique(size[a]):
+            own = size[a] == width
+            p, q = a[own], b[own]
+            near = np.einsum("ij,ij->i", rows_of(p), rows_of(q)) >= threshold
+            out.pairs(p[near], q[near])
     linked = np.flatnonzero(out.count)
     if not len(linked):
         return
-    order = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(order, out.label, col["first"])
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (col["rid"][linked], out.count[linked], col["first"][linked], order[out.label[linked]])], ["rid", "n", "first", "root"])
+    order, root = np.full(n, np.iinfo(np.int64).max), out.all()
+    np.minimum.at(order, root, first)
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[linked], out.count[linked], first[linked], order[root[linked]])], ["rid", "n", "first", "root"])
 
 
 #: Brute force over all pairs of a label.

@@ -2,7 +2,8 @@
 
 A fingerprint has a bit set where over half of the XXH64 values (seed 42) of a text's word shingles have it. Equal
 fingerprints are one class before anything is compared. Two fingerprints within ``distance`` bits agree on two of
-four segments, so each distinct one is routed six times, by every pair of segments. A task sorts what it got by Gray
+four segments, so each distinct one is routed six times, by every pair of segments; a pair that very many share is routed by three finer keys,
+one of which two differing bits leave equal. A task sorts what it got by Gray
 rank, with the shared segments leading, and builds the index: a leaf holds ``FANOUT`` neighbours; the mask and the
 pattern of the bits in which they agree go into its parent, without the bits its own parents factor out. A search
 descends with accumulated differences and drops a whole group as soon as they exceed the distance. Links found in a
@@ -16,6 +17,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import checkpointed, shuffle_partitions
-from .graph import components, local_components
+from .graph import Roots, components
 
 FANOUT = 8
 #: Fewest differing segments allowed: 4 segments, 2 differing bits.
@@ -120,14 +122,35 @@ def _lead(pair: tuple[int, int]) -> int:
     return sum(((1 << width) - 1) << (width * s) for s in pair)
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
-    """(a, b): spanning links between the distinct fingerprints ``fp`` of a table."""
+def routes() -> tuple[list[int], list[list[int]]]:
+    """The bits of each pair of segments, and for each pair those bits with a third of the others: two differing bits leave one third equal."""
+    leads = [_lead(p) for p in combinations(range(SEGMENTS), 2)]
+    finer = []
+    for lead in leads:
+        rest = [b for b in range(64) if not lead >> b & 1]
+        finer.append([lead | sum(1 << b for b in rest[k::3]) for k in range(3)])
+    return leads, finer
+
+
+def _key(mask: int) -> Column:
+    return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+
+
+def fingerprint_links(distinct: DataFrame, distance: int = 2, hot: int = 1 << 16) -> DataFrame:
+    """(a, b): spanning links between the distinct fingerprints ``fp`` of a table. A pair of segments that more than ``hot`` fingerprints share is routed by finer keys."""
     if not 0 <= distance <= 2:
         raise ValueError("four segments guarantee distances up to 2")
-    leads = [_lead(p) for p in combinations(range(SEGMENTS), 2)]
-    signed = [x - (1 << 64) if x >> 63 else x for x in leads]
-    routes = F.array(*[F.struct(F.lit(i).alias("lead"), F.col("fp").bitwiseAND(F.lit(x)).alias("key")) for i, x in enumerate(signed)])
-    routed = distinct.select("fp", F.explode(routes).alias("r")).select("fp", "r.lead", "r.key").repartition(shuffle_partitions(distinct.sparkSession), "lead", "key")
+    coarse, finer = routes()
+    leads = [*coarse, *(mask for masks in finer for mask in masks)]
+
+    def routed(masks: list[tuple[int, int]]) -> Column:
+        return F.array(*[F.struct(F.lit(i).alias("lead"), _key(mask).alias("key")) for i, mask in masks])
+
+    first = distinct.select("fp", F.explode(routed(list(enumerate(coarse)))).alias("r")).select("fp", "r.lead", "r.key")
+    common = first.groupBy("lead", "key").count().where(F.col("count") > hot).select("lead", "key", F.lit(True).alias("common"))
+    split = F.when(F.col("common"), reduce(lambda rest, i: F.when(F.col("lead") == i, routed([(len(coarse) + 3 * i + k, mask) for k, mask in enumerate(finer[i])])).otherwise(rest), range(len(coarse)), F.array(F.struct("lead", "key"))))
+    sent = first.join(common, ["lead", "key"], "left").select("fp", F.explode(split.otherwise(F.array(F.struct("lead", "key")))).alias("r"))
+    routed_rows = sent.select("fp", "r.lead", "r.key").repartition(shuffle_partitions(distinct.sparkSession), "lead", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list[np.ndarray]] = {}
@@ -137,15 +160,14 @@ def fingerprint_links(distinct: DataFrame, distance: int = 2) -> DataFrame:
                 got.setdefault(int(x), []).append(fp[lead == x])
         for lead, parts in got.items():
             codes = np.unique(np.concatenate(parts).view(np.uint64))
-            label = np.arange(len(codes))
+            joined = Roots(len(codes))
             for q, c in GrayIndex(codes, np.uint64(leads[lead])).pairs(codes, distance):
-                more = q < c
-                a, b = label[q[more]], label[c[more]]
-                label = local_components(len(codes), a, b)[label]
+                joined.join(q[q < c], c[q < c])
+            label = joined.all()
             linked = np.flatnonzero(label != np.arange(len(codes)))
             yield pa.RecordBatch.from_arrays([pa.array(codes[linked].view(np.int64)), pa.array(codes[label[linked]].view(np.int64))], ["a", "b"])
 
-    return routed.mapInArrow(run, "a long, b long")
+    return routed_rows.mapInArrow(run, "a long, b long")
 
 
 def grouped(docs: DataFrame, words_each: int = 3, distance: int = 2, key: Column | None = None) -> DataFrame:

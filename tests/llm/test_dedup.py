@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -40,11 +41,28 @@ def test_components_of_chains_stars_and_hubs(spark):
     assert graph.components(df.limit(0)).count() == 0
 
 
-def test_local_components():
+def test_roots_of_arrays():
     r = np.random.default_rng(0)
     a, b = r.integers(0, 200, 150), r.integers(0, 200, 150)
     want = union_find(range(200), zip(a.tolist(), b.tolist()))
-    assert graph.local_components(200, a, b).tolist() == [want[i] for i in range(200)]
+    roots = graph.Roots(200)
+    for i in range(0, 150, 40):
+        roots.join(a[i : i + 40], b[i : i + 40])
+    assert roots.all().tolist() == [want[i] for i in range(200)]
+    roots.join(a[:0], b[:0])
+
+
+def test_split_runs_are_whole_or_long():
+    r = np.random.default_rng(3)
+    for _ in range(30):
+        x = np.repeat(np.arange(40), r.choice([0, 1, 2, 9, 30], 40))
+        cuts = np.sort(r.integers(0, len(x) + 1, 6))
+        batches = [pa.RecordBatch.from_arrays([pa.array(p)], ["k"]) for p in np.split(x, cuts)]
+        got, size = {False: [], True: []}, np.bincount(x, minlength=40)
+        for part, hot in graph.split_runs(iter(batches), "k", 8):
+            got[hot] += part.column("k").to_pylist()
+            assert hot or all(size[v] == n for v, n in Counter(part.column("k").to_pylist()).items())
+        assert got[False] == [v for v in x if size[v] <= 8] and sorted(got[True]) == [v for v in x if size[v] > 8]
 
 
 # --- vectors ---
@@ -74,7 +92,7 @@ def vector_rows(seed=0, n=120, dim=16):
     return rows
 
 
-@pytest.mark.parametrize("block", [8192, 20])
+@pytest.mark.parametrize("block", [2048, 20])
 def test_near_vectors(spark, block):
     odd = [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] + [1.0] * 15, 1), (2003, [None] + [1.0] * 15, 1), (2004, [1.0] * 16, None), (2005, [float("inf")] * 16, 1), (2006, [1.0] * 3, 1)]
     rows = vector_rows() + odd
@@ -83,7 +101,7 @@ def test_near_vectors(spark, block):
     assert got == near_brute(rows[:-1]) | {2006: (0, 2006, True)}
 
 
-@pytest.mark.parametrize("block", [8192, 20])
+@pytest.mark.parametrize("block", [2048, 20])
 def test_near_vectors_of_several_lengths(spark, block):
     most = vector_rows()
     short = [(3000 + i, v[:5], k) for i, v, k in most[:60]] + [(3900, most[0][1][:5], most[0][2])]
@@ -218,32 +236,24 @@ def test_very_long_and_repeated_texts(spark, piece):
     assert got == brute_cut(docs)
 
 
-def matches(query, colour, texts, colours):
-    out = []
-    for i in range(len(query)):
-        n = 0
-        while i + n < len(query) and any(c == colour and query[i : i + n + 1] in t for t, c in zip(texts, colours)):
-            n += 1
-        out.append(n)
-    return out
-
-
 @pytest.mark.parametrize("letters", ["a", "ab", "abcdef"])
 def test_matching_statistics_against_search(letters):
     r = random.Random(4)
     for _ in range(25):
         texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 60))).encode() for _ in range(r.randint(1, 12))]
-        colours = np.array([r.randint(0, 2) for _ in texts])
         asked = ["".join(r.choice(letters + "z") for _ in range(r.randint(1, 60))).encode() for _ in range(5)] + texts[:2]
-        own = np.array([r.randint(0, 3) for _ in asked])
-        index = suffix.RunLengthIndex(texts, colours)
-        lengths, places = index.matching_statistics(asked, own)
-        assert lengths.tolist() == [n for q, c in zip(asked, own) for n in matches(q, c, texts, colours)]
-        indexed, query = b"\0".join(texts), b"".join(asked)
-        assert all(indexed[p : p + n] == query[i : i + n] if n else p == -1 for i, (n, p) in enumerate(zip(lengths.tolist(), places.tolist())))
+        index = suffix.RunLengthIndex(texts, np.arange(len(texts)))
+        lengths, places = index.matching_statistics(asked)
+        indexed, query, at = b"\0".join(texts), b"".join(asked), 0
+        for q in asked:
+            for i in range(len(q)):
+                n = max(n for n in range(len(q) - i + 1) if any(q[i : i + n] in t for t in texts))
+                assert lengths[at] == n and (indexed[places[at] : places[at] + n] == q[i : i + n] if n else places[at] == -1)
+                at += 1
+        assert at == len(query)
     # a text and its near copies share runs
-    index = suffix.RunLengthIndex([b"one text that is there many times over" * 2] * 40, np.zeros(40))
-    assert len(index.run_start) < index.n / 10
+    index = suffix.RunLengthIndex([b"one text that is there many times over" * 2] * 40, np.arange(40))
+    assert len(index.run_start) < index.n / 10 and index.earliest[:20].max() == index.earliest[77 * 30 : 77 * 30 + 20].max() == 0
 
 
 def test_earlier_strings_against_search():
