@@ -1,10 +1,12 @@
 """Approximate nearest neighbours on robust-pruned directed graphs.
 
-Rows are dealt to shards of about ``shard_rows`` by a hash of their id, so shards stay the same size as the table grows. Each shard builds a
-graph: it starts with random edges; batches of points are searched for greedily on the graph so far, and relaxed distance
+Rows are dealt by a hash of their id to shards of about ``shard_bytes`` of single-precision vectors. A shard is one task's work: it reads its
+vectors first and builds a graph, then the queries stream through it in blocks, so no graph is sent or copied anywhere. A graph starts
+with random edges; batches of points are searched for greedily on the graph so far, and relaxed distance
 pruning picks their out-edges from what the search met, dropping a candidate that an edge kept reaches ``alpha``
-times closer; reverse edges are added and pruned alike. Every query is searched by a beam on every shard, in blocks of
-queries, and the best of all shards are kept, with cosines computed anew in double precision.
+times closer; reverse edges are added and pruned alike. Every query is searched by a beam on every shard of its length,
+each shard returns its best, and the best of all shards are kept, with cosines computed anew in double precision. A shard's search
+grows with the logarithm of its size, so large shards keep the work of a query small; recall against shard size is in the README.
 
 Every row is indexed, and vectors of every length are: a length has shards and queries of its own, as cosines exist only within a length.
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id. Repeated ids are separate candidates of the same id; a row is no candidate for its own id. Ties go to the smaller id. An empty table
@@ -19,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import checkpointed
 from .neardup import packed_vectors, unit
 
 SEEDS = 32
@@ -28,10 +29,10 @@ SEEDS = 32
 class PrunedGraph:
     """Directed graph over unit vectors; distances are Euclidean, so the order is that of cosines."""
 
-    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, passes: int = 1, seed: int = 9):
+    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, passes: int = 1, spare: int = 16, seed: int = 9):
         self.x, self.degree, self.alpha = x.astype(np.float32), degree, alpha
         n, rng = len(x), np.random.default_rng(seed)
-        self.edges = np.full((n, degree), -1, np.int64)
+        self.edges = np.full((n, degree + spare), -1, np.int64)
         if n > 1:
             self.edges[:, : degree // 2] = (np.arange(n)[:, None] + rng.integers(1, n, (n, degree // 2))) % n
         centre = np.argmin(((self.x - self.x.mean(0)) ** 2).sum(1)) if n else 0
@@ -64,23 +65,30 @@ class PrunedGraph:
 
     def _insert(self, points: np.ndarray, beam: int) -> None:
         met, _ = self.search(self.x[points], beam)
-        self.edges[points] = self._prune(points, np.concatenate([met, self.edges[points]], 1))
-        source = np.repeat(points, self.degree)
-        target = self.edges[points].ravel()
+        self.edges[points, : self.degree] = self._prune(points, np.concatenate([met, self.edges[points]], 1))
+        self.edges[points, self.degree :] = -1
+        source, target = np.repeat(points, self.degree), self.edges[points, : self.degree].ravel()
         source, target = source[target >= 0], target[target >= 0]
         order = np.argsort(target, kind="stable")
         source, target = source[order], target[order]
-        starts = np.flatnonzero(np.r_[True, target[1:] != target[:-1]]) if len(target) else np.zeros(0, np.int64)
-        rank = np.arange(len(target)) - np.repeat(starts, np.diff(np.r_[starts, len(target)]))
+        hubs, starts, more = np.unique(target, return_index=True, return_counts=True)
+        rank = np.arange(len(target)) - np.repeat(starts, more)
+        self.edges[hubs] = -np.sort(-self.edges[hubs], 1)  # free places last
+        have = (self.edges[hubs] >= 0).sum(1)
+        # reverse edges go to free places; only a point without enough of them is pruned
+        fit = np.repeat(have + more <= self.edges.shape[1], more)
+        self.edges[target[fit], (np.repeat(have, more) + rank)[fit]] = source[fit]
+        source, target, rank = source[~fit], target[~fit], rank[~fit]
         for first in range(0, int(rank.max(initial=-1)) + 1, 2 * self.degree):
             part = (rank >= first) & (rank < first + 2 * self.degree)
             hubs, row = np.unique(target[part], return_inverse=True)
-            more = np.full((len(hubs), 2 * self.degree), -1, np.int64)
-            more[row, rank[part] - first] = source[part]
+            new = np.full((len(hubs), 2 * self.degree), -1, np.int64)
+            new[row, rank[part] - first] = source[part]
             for i in range(0, len(hubs), 512):
                 h = hubs[i : i + 512]
-                both = np.concatenate([self.edges[h], more[i : i + 512]], 1)
-                self.edges[h] = self._prune(h, both[:, (both >= 0).any(0)])
+                both = np.concatenate([self.edges[h], new[i : i + 512]], 1)
+                self.edges[h, : self.degree] = self._prune(h, both[:, (both >= 0).any(0)])
+                self.edges[h, self.degree :] = -1
 
     def search(self, queries: np.ndarray, beam: int, width: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) of the ``beam`` nearest met for each query, -1 where there are fewer; all queries in lockstep."""
@@ -116,12 +124,12 @@ class PrunedGraph:
         return ids, sims
 
 
-def nearest(frame: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 4096, query_block: int = 1024, beam: int = 96) -> DataFrame:
+def nearest(frame: DataFrame, k: int = 5, every: int = 50, shard_bytes: int = 8 << 20, query_block: int = 256, beam: int = 96) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by ``every``."""
     rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     rows = rows.where(F.size("embedding") > 0)
     # there are no more lengths than the longest vector has components
-    dealt = {r["size"]: (-(-r["count"] // shard_rows), -(-r["count"] // (every * query_block))) for r in rows.groupBy(F.size("embedding").alias("size")).count().collect()}
+    shards = {r["size"]: -(-r["count"] * 4 * r["size"] // shard_bytes) for r in rows.groupBy(F.size("embedding").alias("size")).count().collect()}
 
     def blob(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -129,58 +137,54 @@ def nearest(frame: DataFrame, k: int = 5, every: int = 50, shard_rows: int = 409
                 b = whole.slice(first, 1024)
                 places, v = packed_vectors(b.column("embedding"))
                 sizes = [len(x) // 8 for x in v]
-                shards, blocks = ([dealt[size][i] for size in sizes] for i in (0, 1))
-                columns = [pa.array(x, pa.int32()) for x in (sizes, shards, blocks)]
-                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(places)), *columns, pa.array(v, pa.binary())], ["vec_id", "size", "shards", "blocks", "v"])
-
-    blobs = rows.mapInArrow(blob, "vec_id long, size int, shards int, blocks int, v binary")
-
-    def gather(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(t.column("vec_id").to_numpy(), kind="stable")
-        v = t.column("v").to_pylist()
-        return t.column("vec_id").to_numpy()[order], np.frombuffer(b"".join([v[i] for i in order]), np.float64).reshape(len(order), -1)
-
-    def build(t: pa.Table) -> pa.Table:
-        ids, x = gather(t)
-        graph = PrunedGraph(unit(x))
-        columns = {k: [t.column(k)[0].as_py()] for k in ("size", "shard", "blocks")}
-        columns |= {"ids": [ids.tobytes()], "x": [x.tobytes()], "edges": [graph.edges.astype(np.int32).tobytes()], "seeds": [graph.seeds.tobytes()]}
-        return pa.table(columns, pa.schema([("size", pa.int32()), ("shard", pa.int32()), ("blocks", pa.int32()), ("ids", pa.binary()), ("x", pa.binary()), ("edges", pa.binary()), ("seeds", pa.binary())]))
-
-    shard = F.pmod(F.xxhash64("vec_id"), "shards").cast("int")
-    graphs = checkpointed(blobs.withColumn("shard", shard).groupBy("size", "shard").applyInArrow(build, "size int, shard int, blocks int, ids binary, x binary, edges binary, seeds binary"))
-
-    def bundle(t: pa.Table) -> pa.Table:
-        ids, x = gather(t)
-        columns = {k: [t.column(k)[0].as_py()] for k in ("size", "block", "shards")} | {"q_ids": [ids.tobytes()], "q": [x.tobytes()]}
-        return pa.table(columns, pa.schema([("size", pa.int32()), ("block", pa.int32()), ("shards", pa.int32()), ("q_ids", pa.binary()), ("q", pa.binary())]))
-
-    block = F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int")
-    queries = checkpointed(blobs.where(F.col("vec_id") % every == 0).withColumn("block", block).groupBy("size", "block").applyInArrow(bundle, "size int, block int, shards int, q_ids binary, q binary"))
-    left = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    right = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    pairs = left.join(right.hint("shuffle_hash"), ["size", "shard", "block"])
+                columns = [pa.array(x, pa.int32()) for x in (sizes, [shards[size] for size in sizes])]
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(places)), *columns, pa.array(v, pa.binary())], ["vec_id", "size", "shards", "v"])
+
+    blobs = rows.mapInArrow(blob, "vec_id long, size int, shards int, v binary")
+    points = blobs.withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).withColumn("query", F.lit(False))
+    queries = blobs.where(F.col("vec_id") % every == 0).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("query", F.lit(True))
+    # a shard's points come before its queries
+    both = points.union(queries).select("size", "shard", "query", "vec_id", "v").repartition("size", "shard").sortWithinPartitions("size", "shard", "query", "vec_id", "v")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                ids, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["x"]).reshape(-1, r["size"])
-                graph = PrunedGraph.__new__(PrunedGraph)
-                ux = unit(x)
-                graph.x, graph.edges, graph.seeds = ux.astype(np.float32), np.frombuffer(r["edges"], np.int32).reshape(len(ids), -1), np.frombuffer(r["seeds"], np.int64)
-                q_ids, q = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q"]).reshape(-1, r["size"])
-                for first in range(0, len(q), 256):
-                    part, part_ids = q[first : first + 256], q_ids[first : first + 256]
-                    met, _ = graph.search(unit(part), beam)
-                    score = np.einsum("qd,qcd->qc", unit(part), ux[met])
-                    score = np.clip(score, -1, 1)
-                    score[(met < 0) | (ids[met] == part_ids[:, None])] = -np.inf
-                    order = np.lexsort((ids[met], -score))[:, :k]
-                    best = np.take_along_axis(score, order, 1)
-                    found = np.take_along_axis(ids[met], order, 1)
-                    real = np.isfinite(best).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part_ids, order.shape[1])[real]), pa.array(found.ravel()[real]), pa.array(best.ravel()[real])], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(look, "query_id long, vec_id long, score double")
+        shard, points, graph = None, [], None
+        for size, number, is_query, part in _parts(batches, query_block):
+            if (size, number) != shard:
+                shard, points, graph = (size, number), [], None
+            if not is_query:
+                points.append(part)
+                continue
+            if graph is None and not points:
+                continue  # no vector was dealt to this shard
+            if graph is None:
+                ids, x = (np.concatenate(c) for c in zip(*points))
+                points, x = [], unit(x)
+                graph = PrunedGraph(x)
+            yield _best(graph, ids, x, *part, k, beam)
+
+    found = both.mapInArrow(look, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, bool, tuple[np.ndarray, np.ndarray]]]:
+    """(size, shard, query, (ids, vectors)) of rows in a row that have all three in common, ``most`` at a time."""
+    for b in batches:
+        size, shard, query, ids = (b.column(c).to_numpy(zero_copy_only=False) for c in ("size", "shard", "query", "vec_id"))
+        v = b.column("v").to_pylist()
+        edges = np.flatnonzero((size[1:] != size[:-1]) | (shard[1:] != shard[:-1]) | (query[1:] != query[:-1])) + 1
+        for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(ids)]):
+            for i in range(start, stop, most):
+                j = min(i + most, stop)
+                yield int(size[i]), int(shard[i]), bool(query[i]), (ids[i:j], np.frombuffer(b"".join(v[i:j])).reshape(j - i, -1))
+
+
+def _best(graph: PrunedGraph, ids: np.ndarray, x: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+    q = unit(q)
+    met, _ = graph.search(q, beam)
+    score = np.clip(np.einsum("qd,qcd->qc", q, x[met]), -1, 1)
+    score[(met < 0) | (ids[met] == q_ids[:, None])] = -np.inf
+    order = np.lexsort((ids[met], -score))[:, :k]
+    best, found = np.take_along_axis(score, order, 1), np.take_along_axis(ids[met], order, 1)
+    real = np.isfinite(best).ravel()
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, order.shape[1])[real]), pa.array(found.ravel()[real]), pa.array(best.ravel()[real])], ["query_id", "vec_id", "score"])
