@@ -1,47 +1,62 @@
-"""Language identification by a byte convolutional network.
+r"""Language identification by a byte convolutional network.
 
 Bytes are embedded, filters of several widths slide over a window, each filter's maximum over the window is kept, and a softmax
-gives the language. Training is numpy on the driver: Adam on windows cut from a bounded sample of labelled documents. A whole
+gives the language. Training is numpy on the driver: Adam on windows that executors cut from a bounded sample of labelled documents. A whole
 text is read in fixed-length windows, in batches; its log probabilities are averaged over its windows by their bytes. As the
 first layer is linear in the bytes, prediction reads each filter's response to two bytes at a time from tables
 of all byte pairs, which gives the same sums.
 
-Null texts and texts without a letter are ``und`` with score 1. Null languages are not learned from; where no language can be
+Null texts and texts without a letter (``\p{L}``) are ``und`` with score 1. Null languages are not learned from; where no language can be
 learned, every text is ``und``. Rows whose id is null are predicted with ``held_out`` null and not learned from. Repeated rows
 get equal results. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import regex
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import doc_columns, fold, hash_share
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 WIDTHS, FILTERS, EMBEDDING, WINDOW = (2, 4, 6), 12, 8, 512
+#: Windows of a document that are learnt from, and their bytes.
+SHOWN, SHOWN_BYTES = 8, 160
 
 
-def training_sample(docs: DataFrame, per_language: int, most_languages: int = 200) -> list[tuple[bytes, str]]:
-    """(text, lang) of at most ``per_language`` documents of each language, those with the smallest hash of their id; of rows with the same id and language the smallest text."""
+def shown(text: bytes, seed: int) -> list[bytes]:
+    """Windows of a text: all of it, or ``SHOWN`` places drawn by the seed."""
+    if len(text) <= SHOWN_BYTES:
+        return [text]
+    at = np.random.default_rng(seed).integers(0, len(text) - SHOWN_BYTES + 1, SHOWN)
+    return [text[i : i + SHOWN_BYTES] for i in at.tolist()]
+
+
+def training_sample(docs: DataFrame, per_language: int, most: int = 120_000) -> list[tuple[list[bytes], str]]:
+    """(windows, lang) of at most ``per_language`` documents of each language, those with the smallest hash of their id; of rows with the same id and language the smallest text.
+
+    Where there are so many languages that this would be over ``most`` documents, each has an equal share of those, and one at least.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     usable = rows.where((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    if not counts:
-        return []
-    place, n = F.xxhash64("doc_id", F.lit(2)), F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])[F.col("lang")]
-    drawn = usable.where(hash_share(place, n, per_language)).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).withColumn("place", place).collect()
-    by_lang: dict[str, list] = {lang: [] for lang in sorted(counts)}
-    for r in sorted(drawn, key=lambda r: (r["place"], r["doc_id"])):
-        if r["lang"] in by_lang and len(by_lang[r["lang"]]) < per_language:
-            by_lang[r["lang"]].append((r["text"].encode(), r["lang"]))
-    return [x for own in by_lang.values() for x in own]
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).persist()
+    wanted = min(per_language, max(1, most // max(1, counts.count())))
+    place = F.xxhash64("doc_id", F.lit(2))
+    near = usable.join(counts, "lang").where(hash_share(place, F.col("n"), wanted)).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    ranked = near.withColumn("place", place).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            windows = [shown(text.encode(), place & 0x7FFFFFFF) for text, place in zip(b.column("text").to_pylist(), b.column("place").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("rank"), pa.array(windows, pa.list_(pa.binary()))], ["lang", "rank", "windows"])
+
+    drawn = ranked.where(F.col("rank") <= wanted).mapInArrow(cut, "lang string, rank int, windows array<binary>").collect()
+    counts.unpersist()
+    return [([bytes(w) for w in r["windows"]], r["lang"]) for r in sorted(drawn, key=lambda r: (r["lang"], r["rank"]))]
 
 
 class ByteConvNet:
@@ -95,15 +110,19 @@ class ByteConvNet:
         grads["e"] = de
         return loss, grads
 
-    def fit(self, sample: list[tuple[bytes, str]], steps: int = 400, batch: int = 64, window: int = 160, seed: int = 4) -> ByteConvNet:
+    def fit(self, sample: list[tuple[list[bytes], str]], steps: int = 400, batch: int = 64, window: int = SHOWN_BYTES, seed: int = 4) -> ByteConvNet:
         rng = np.random.default_rng(seed)
-        by_class = [[np.frombuffer(t, np.uint8) for t, lang in sample if lang == c] for c in self.classes]
+        own: dict[str, list] = {c: [] for c in self.classes}
+        for windows, lang in sample:
+            own[lang].append([np.frombuffer(w, np.uint8) for w in windows])
+        by_class = [own[c] for c in self.classes]
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         for t in range(1, steps + 1):
             y = rng.integers(len(self.classes), size=batch)
             x, lengths = np.zeros((batch, window), np.uint8), np.zeros(batch, np.int64)
             for i, c in enumerate(y):
-                text = by_class[c][rng.integers(len(by_class[c]))]
+                document = by_class[c][rng.integers(len(by_class[c]))]
+                text = document[rng.integers(len(document))]
                 n = min(len(text), int(rng.choice([6, 12, 24, 48, 96, window])))
                 at = rng.integers(len(text) - n + 1)
                 x[i, :n], lengths[i] = text[at : at + n], n
