@@ -33,9 +33,11 @@ def hash_share(place: Column, n: Column, wanted: int) -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Eager reliable checkpoint in spark.checkpoint.dir; a folder of its own only where that is unset."""
+    """Eager reliable checkpoint in spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own, and a cluster an error."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 

@@ -4,9 +4,9 @@ Words are runs of letters and digits, lower-cased; a shingle is five words. A te
 For each class a text is cut into windows of 2c shingles, each starting c after the last, so every passage of c shingles lies whole in a window. A window and a template whose
 containment is 0.8 or more have a Jaccard similarity of 0.19 at least; of 64 bands of one MinHash each they share one with a chance over 1 - 2e-6. A match has containment >=
 ``threshold``: that share of the template's distinct shingles lies in the window. A window without any shingle of a template can share no band
-with one, so texts and windows without one are set aside before any MinHash is computed; nothing else is.
+with one, so texts and windows without one are set aside before any MinHash is computed; nothing else is. A window and a template are verified once, in the first band they share.
 
-Built-in functions only. The templates are a bounded library (``MOST_SHINGLES``), checked before they are broadcast or written into the plan. Null and short texts match nothing. Rows with
+Built-in functions only. A library of up to ``MOST_SHINGLES`` shingles is written into the plan and broadcast; a larger one is joined like any table, with the same rows. Null and short texts match nothing. Rows with
 a null id are reported under a null id, repeated rows are counted together. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -68,32 +68,37 @@ def _templates(spark: SparkSession, templates: dict[str, str]) -> list[tuple[str
         if not h:
             raise ValueError(f"template {r['name']!r} has fewer than {WORDS} words")
         out.append((r["name"], 1 << (len(h) - 1).bit_length(), h))
-    if sum(len(h) for _, _, h in out) > MOST_SHINGLES:
-        raise ValueError(f"templates have over {MOST_SHINGLES} shingles")
     return out
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, most_shingles: int = MOST_SHINGLES) -> DataFrame:
     """doc_id, license, containment (the best window's, to 6 digits) and n_windows that match."""
     spark = docs.sparkSession
     known = _templates(spark, templates)
     library = spark.createDataFrame(known, "license string, class int, t array<long>")
-    every = F.lit(sorted({x for _, _, h in known for x in h}))
-    texts = shingled(doc_columns(docs)).where(F.arrays_overlap("h", every))
+    small = sum(len(h) for _, _, h in known) <= most_shingles
+    every = F.lit(sorted({x for _, _, h in known for x in h})) if small else None
+
+    def near(rows: DataFrame, column: str) -> DataFrame:
+        return rows.where(F.arrays_overlap(column, every)) if small else rows
+
+    texts = near(shingled(doc_columns(docs)).where(F.size("h") > 0), "h")
     classes = sorted({c for _, c, _ in known})
     windows = F.explode(F.array(*[F.struct(F.lit(c).alias("class")) for c in classes])).alias("k")
     cut = texts.select("doc_id", "h", windows).select("doc_id", "h", F.col("k.class").alias("class"))
     cut = cut.select("doc_id", "class", "h", F.posexplode(F.sequence(F.lit(0), F.size("h") - 1, F.col("class"))).alias("n", "start"))
-    cut = cut.select("doc_id", "class", "n", F.explode(F.array(F.slice("h", F.col("start") + 1, 2 * F.col("class")))).alias("w")).where(F.arrays_overlap("w", every))
+    cut = near(cut.select("doc_id", "class", "n", F.explode(F.array(F.slice("h", F.col("start") + 1, 2 * F.col("class")))).alias("w")), "w")
 
-    def bands(column: str) -> Column:
+    def banded(rows: DataFrame, column: str, lows: str) -> DataFrame:
         seeds = F.sequence(F.lit(1), F.lit(BANDS))
-        return F.transform(seeds, lambda s: F.struct(s.alias("band"), F.array_min(F.transform(F.col(column), lambda x: F.xxhash64(x, s))).alias("low")))
-
-    def banded(rows: DataFrame, column: str) -> DataFrame:
-        return rows.withColumn("b", F.explode(bands(column))).withColumns({"band": F.col("b.band"), "low": F.col("b.low")}).drop("b")
-
-    hits = banded(cut, "w").join(F.broadcast(banded(library, "t")), ["class", "band", "low"])
+        minima = F.transform(seeds, lambda s: F.array_min(F.transform(F.col(column), lambda x: F.xxhash64(x, s))))
+        rows = rows.withColumn(lows, F.explode(F.array(minima)))
+        return rows.select(*rows.columns, F.posexplode(lows).alias("band", "low"))
+
+    table = banded(library, "t", "t_lows")
+    hits = banded(cut, "w", "w_lows").join(F.broadcast(table) if small else table, ["class", "band", "low"])
+    first = F.array_position(F.zip_with("w_lows", "t_lows", lambda a, b: a == b), True) - 1
+    hits = hits.where(F.col("band") == first)
     share = F.size(F.array_intersect("w", "t")) / F.size("t")
     hits = hits.select("doc_id", "license", "class", "n", share.alias("containment")).where(F.col("containment") >= threshold)
     # a window of a repeated row is one window; the same number of it in every band counts once

@@ -74,6 +74,8 @@ class WordEncoder:
         if not (core.isalpha() and max(core) < "\u0250"):
             return self._whole(word)
         tail, core = word[len(core) :], unicodedata.normalize("NFC", core).lower()
+        if not core.isalpha():  # a capital whose small form is a letter and a sign
+            return self._whole(word)
         if (ids := self.known.get(core)) is None:
             spelt = core if core.isascii() else core.encode().decode("latin-1").translate(self.letters)
             self.known[core] = ids = array("I", [t.id for t in self.tokenizer.model.tokenize(spelt)]).tobytes()

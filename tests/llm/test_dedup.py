@@ -326,6 +326,15 @@ def test_packing_loses_no_id(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_ids_of_random_strings_equal_the_tokenizers():
+    r = random.Random(10)
+    own = packing.encoder(packing.default_tokenizer())
+    letters = "aeionrstlb" * 4 + "ABCİıŞßéÉñÜœŒŉſǅ" + "'.,!?-$#&" + "1٣ \t\n\u00a0\u2009" + "字яΣςή🎉\u0301\u0307\u200d"
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) for _ in range(100_000)] + ["İstanbul", "İ", " İİ İ.", "DİYARBAKIR!!"]
+    want = [e.ids for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in own.encode(texts)] == want
+
+
 def test_repeated_rows_are_packed_twice(spark):
     df = spark.createDataFrame([(1, "a b c")] * 3, "doc_id long, text string")
     assert sum(r["length"] for r in packing.pack(df).collect()) == 12

@@ -2,12 +2,14 @@
 
 import math
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
 
 from cascadia.llm import ann, language, licenses, pieces, quality, queries, toxicity
+from cascadia.llm.text import bare
 
 SF = "/root/testdata/sf0.001"
 SF01 = "/root/testdata/sf0.01"
@@ -37,29 +39,57 @@ def test_language_held_out(spark):
     assert language.identify(df.limit(0)).count() == 0
 
 
+def test_whole_predictions_against_brute_force(spark):
+    r = random.Random(5)
+    net = language.ByteConvNet(["aa", "bb", "cc"])
+    texts = ["".join(r.choice("abc é字½") for _ in range(n)) for n in (1, 3, 6, 500, 512, 513, 3000)] + [None, "", "½ ²", "Ⅷ", "x½", "12 !"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    out = language.identify(docs, (net.classes, net)).collect()
+    assert len(out) == 2 * len(texts)
+    for row in out:
+        text = texts[row["doc_id"]]
+        if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+            assert (row["lang_pred"], row["score"]) == ("und", 1.0)
+            continue
+        q = np.exp(plain_log_probs(net, np.frombuffer(text.encode(), np.uint8)))
+        assert row["lang_pred"] == net.classes[q.argmax()] and row["score"] == pytest.approx(q.max() / q.sum(), abs=1e-4)
+
+
+def test_many_languages_share_the_sample(spark):
+    rows = [(i, f"text {i}", f"l{i % 300}") for i in range(3000)]
+    got = language.training_sample(spark.createDataFrame(rows * 2, "doc_id long, text string, lang string"), 5, most=600)
+    assert {lang for _, lang in got} == {f"l{i}" for i in range(300)} and len(got) == 600
+    assert all(len(w) <= language.SHOWN_BYTES for windows, _ in got for w in windows)
+    assert [len(w) for w in language.shown(b"a" * 1000, 1)] == [160] * 8 and language.shown(b"ab", 1) == [b"ab"]
+
+
 def test_language_without_anything_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None), (2, "abc", None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language.identify(df).collect()} == {"und"}
 
 
+def plain_log_probs(net, text):
+    n, total = len(text), np.zeros(len(net.classes))
+    for s in range(0, n, language.WINDOW):
+        part = text[s : s + language.WINDOW]
+        x = np.zeros(max(len(part), 6) if n <= language.WINDOW else language.WINDOW, np.uint8)
+        x[: len(part)] = part
+        pooled = []
+        for w in language.WIDTHS:
+            e = net.p["e"][x]
+            z = [np.concatenate(e[i : i + w]) @ net.p[f"w{w}"] + net.p[f"c{w}"] for i in range(max(len(part) - w + 1, 1))]
+            pooled.append(np.maximum(np.max(z, 0), 0))
+        logits = np.concatenate(pooled) @ net.p["out"] + net.p["b"]
+        total += len(part) / n * (logits - np.log(np.exp(logits).sum()))
+    return total
+
+
 def test_pair_tables_equal_the_plain_convolution():
     net = language.ByteConvNet(["a", "b", "c"])
     rng = np.random.default_rng(0)
     for n in (1, 5, 6, 300, 512, 1300):
         text = rng.integers(1, 256, n).astype(np.uint8)
-        total = np.zeros(3)
-        for s in range(0, n, language.WINDOW):
-            part = text[s : s + language.WINDOW]
-            x = np.zeros(max(len(part), 6) if n <= language.WINDOW else language.WINDOW, np.uint8)
-            x[: len(part)] = part
-            pooled = []
-            for w in language.WIDTHS:
-                e = net.p["e"][x]
-                z = [np.concatenate(e[i : i + w]) @ net.p[f"w{w}"] + net.p[f"c{w}"] for i in range(max(len(part) - w + 1, 1))]
-                pooled.append(np.maximum(np.max(z, 0), 0))
-            logits = np.concatenate(pooled) @ net.p["out"] + net.p["b"]
-            total += len(part) / n * (logits - np.log(np.exp(logits).sum()))
-        assert np.allclose(net.log_probs(text, net.pair_tables()), total, atol=1e-4)
+        assert np.allclose(net.log_probs(text, net.pair_tables()), plain_log_probs(net, text), atol=1e-4)
 
 
 def test_convolution_gradients():
@@ -83,13 +113,16 @@ def test_convolution_gradients():
 def test_attention_gradients():
     rng = np.random.default_rng(2)
     net = quality.AttentionNet(np.zeros(quality.WIDTH), np.ones(quality.WIDTH))
-    x, starts, y = rng.normal(size=(7, quality.WIDTH)), np.array([0, 2, 3]), np.array([1.0, 0.0, 1.0])
+    net.p["e"][:40] = rng.normal(size=(40, quality.EMBEDDING))
+    sizes = [np.array([2, 3]), np.array([1]), np.array([4, 1, 2, 6])]
+    bags = [(rng.normal(size=(len(n), quality.WIDTH)), rng.integers(0, 40, n.sum()), n) for n in sizes]
+    y = np.array([1.0, 0.0, 1.0])
 
     def loss():
-        q, _ = net.forward(x, starts)
+        q, _ = net.forward(bags)
         return -np.mean(y * np.log(q) + (1 - y) * np.log(1 - q))
 
-    grads = net.gradients(x, starts, y, 0.0)
+    grads = net.gradients(bags, y, 0.0)
     for k in net.p:
         at = np.unravel_index(np.abs(grads[k]).argmax(), grads[k].shape)
         net.p[k][at] += 1e-5
@@ -100,6 +133,54 @@ def test_attention_gradients():
         assert (up - down) / 2e-5 == pytest.approx(grads[k][at], rel=1e-3, abs=1e-8)
 
 
+def brute_quality(net, text):
+    """The score of a text, word by word and passage by passage."""
+    p, words, hs, es = net.p, (text or "").split(), [], []
+    for k in range(0, max(len(words), 1), quality.PASSAGE):
+        part, x, meaning = words[k : k + quality.PASSAGE], np.zeros(quality.WIDTH), np.zeros(quality.EMBEDDING)
+        for i, w in enumerate(part):
+            letters = sum(c.isalpha() for c in w)
+            x[zlib.crc32(quality.shape(w).encode()) % quality.SHAPES] += 1
+            again = i and part[i - 1] == w or not i and k and words[k - 1] == w
+            x[quality.SHAPES :] += [w.isupper() and letters > 1, 0 < letters < len(w), letters == 0, min(len(w), 32) / 16, letters / len(w), w in part[:i], bool(again), 0]
+            meaning += p["e"][zlib.crc32((bare(w) or w).encode()) % quality.WORDS]
+        if part:
+            x, meaning = x / len(part), meaning / len(part)
+            x[-1] = min(len(part), quality.PASSAGE) / quality.PASSAGE
+        h = np.tanh(np.r_[(x - net.mean) / net.scale, meaning] @ p["w"] + p["wb"])
+        hs.append(h)
+        es.append(p["u"] @ (np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["g"])))))
+    a = np.exp(np.array(es) - max(es))
+    z = (a / a.sum()) @ np.array(hs)
+    return 1 / (1 + np.exp(-(z @ p["c"] + p["cb"][0])))
+
+
+def test_quality_scores_against_brute_force(spark):
+    rng, r = np.random.default_rng(4), random.Random(4)
+    net = quality.AttentionNet(rng.normal(0, 0.1, quality.WIDTH), rng.uniform(0.5, 1, quality.WIDTH))
+    net.p = {k: rng.normal(0, 0.3, v.shape) for k, v in net.p.items()}
+    net.p["e"][quality.WORDS] = 0
+    texts = [" ".join(r.choice(["The", "CODE", "x1y", "###", "(word)", "größe", "größe", "12"]) for _ in range(n)) for n in (1, 5, 64, 65, 200, 5000)] + [None, "", "12 " * 130, "12 " * 130]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    out = quality.score_quality(docs, None, model=net).collect()
+    assert len(out) == 2 * len(texts)
+    for row in out:
+        assert row["score"] == pytest.approx(brute_quality(net, texts[row["doc_id"]]), abs=1e-5)
+        assert row["predicted"] == int(row["score"] >= 0.5)
+
+
+def test_quality_learns_what_words_mean(spark):
+    """Good and bad words of the same shape."""
+    r = random.Random(6)
+    good, bad = ["molo", "nuri", "seta", "vabo"], ["pidu", "gezo", "hawi", "joku"]
+    rows = [(i, " ".join(r.choice(good + bad) if k > 20 else r.choice(good if i % 2 else bad) for k in range(r.choice([30, 90])))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    out = {x["doc_id"]: x for x in quality.score_quality(docs, labels).collect()}
+    held = [i for i in out if out[i]["held_out"]]
+    assert len(held) > 60 and np.mean([out[i]["predicted"] == i % 2 for i in held]) > 0.9
+
+
 def test_quality_finds_a_bad_passage(spark):
     r = random.Random(3)
 
@@ -154,6 +235,29 @@ def test_toxicity_held_out(spark):
     assert len({x["score"] for x in toxicity.score_toxicity(docs, labels.limit(0)).collect()}) == 1
 
 
+def test_toxicity_scores_against_brute_force(spark):
+    model = {"idiot": 2.5, "trash*": 1.25, "kind": -1.0, "größ*": 0.5}, -1.5
+    texts = ["You IDIOT!", "trashy trash, trash", "kind kind größe idiots", "nothing", None, "", "idiot. " * 5000, "an_idiot"]
+
+    def brute(text):
+        forms = {w.strip(toxicity.EDGE).lower() for w in (text or "").split()}
+        own = {f for w in forms if w[:1].isalpha() for f in [w, *(w[:n] + "*" for n in (4, 5, 6, 7) if len(w) > n)]}
+        return 1 / (1 + math.exp(-(model[1] + sum(v for f, v in model[0].items() if f in own))))
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")
+    out = toxicity.score_toxicity(docs, None, model=model).collect()
+    assert len(out) == 2 * len(texts)
+    for row in out:
+        assert row["score"] == pytest.approx(brute(texts[row["doc_id"]])) and row["predicted"] == int(row["score"] >= 0.3)
+
+
+def test_examples_are_bounded():
+    text = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(5000)) + ". women went." * 50
+    found, swaps = toxicity.example(text)
+    assert len(found) == toxicity.MOST_FEATURES and len(swaps) == toxicity.MOST_SWAPS and set(found) < toxicity.features(text)
+    assert toxicity.example("") == ([], [])
+
+
 def test_counterfactual_penalty_protects_neutral_mentions():
     r = random.Random(5)
     terms = ["muslims", "women", "europeans"]
@@ -164,7 +268,7 @@ def test_counterfactual_penalty_protects_neutral_mentions():
         sample.append((f"some {group} went to {r.choice('abc')}x." + (" what an idiot." if bad and i % 2 else ""), int(bad)))
 
     def gap(fairness):
-        w, b = toxicity.fit(sample, terms, fairness=fairness)
+        w, b = toxicity.fit([(toxicity.example(t, terms), y) for t, y in sample], fairness=fairness)
         s = toxicity.Scorer(w, b)
         return s.score("some muslims went there") - s.score("some women went there")
 
@@ -175,8 +279,8 @@ def test_counterfactual_penalty_protects_neutral_mentions():
 
 def test_number_of_swaps_is_logged(caplog):
     caplog.set_level("INFO", "cascadia.llm.toxicity")
-    toxicity.fit([("Some women went.", 0), ("All bad.", 1)] * 4, ["women", "muslims", "europeans"])
-    toxicity.fit([("Some went.", 0), ("All bad.", 1)] * 4)
+    toxicity.fit([(toxicity.example(t, ["women", "muslims", "europeans"]), y) for t, y in [("Some women went.", 0), ("All bad.", 1)] * 4])
+    toxicity.fit([(toxicity.example(t), y) for t, y in [("Some went.", 0), ("All bad.", 1)] * 4])
     assert [r.args for r in caplog.records] == [(8, 8), (0, 8)]
 
 
@@ -259,6 +363,8 @@ def test_license_scan(spark):
     got = {(x["doc_id"], x["license"]): x["containment"] for x in licenses.scan(df).collect()}
     assert {k for k in got if k[0] != 2} == {(0, "mit"), (1, "mit"), (4, "mit-notice"), (5, "mit-notice"), (None, "mit")}
     assert 0.8 <= got.get((2, "mit"), 0.9) < 1
+    joined = {(x["doc_id"], x["license"]): x["containment"] for x in licenses.scan(df.where("doc_id in (0, 2, 4, 7)"), most_shingles=0).collect()}
+    assert joined == {k: v for k, v in got.items() if k[0] in (0, 2, 4)}
     assert licenses.scan(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         licenses.scan(df, {"short": "four words are few"})
@@ -293,7 +399,7 @@ def test_nearest_recall_and_scores(spark):
     rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(5000, None), (5050, [0.0] * 24), (5100, [float("nan")] * 24), (5150, [1.0]), (None, x[0].tolist())]
     df = spark.createDataFrame([(*r, 1, 1.0) for r in rows], "vec_id long, embedding array<float>, rank int, score double")
     got = {}
-    for r in ann.nearest(df, shard_rows=800, query_block=20).collect():
+    for r in ann.nearest(df, shard_bytes=800 * 24 * 4, query_block=20).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     want = brute_nearest(rows[:3000], 5, 50)
     assert set(got) == set(want)
@@ -321,7 +427,7 @@ def test_nearest_of_several_lengths(spark):
     lengths = {8: range(200), 5: range(200, 300), 300: range(300, 340), 9: [350]}
     rows = [(i, rng.normal(size=d).tolist()) for d, ids in lengths.items() for i in ids]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted(tuple(r) for r in ann.nearest(df, shard_rows=64, query_block=2).collect())
+    got = sorted(tuple(r) for r in ann.nearest(df, shard_bytes=64 * 8 * 4, query_block=2).collect())
     want = {}
     for ids in lengths.values():
         want |= brute_nearest([r for r in rows if r[0] in ids], 5, 50)
@@ -353,28 +459,68 @@ def test_ann_recall_on_the_table(spark):
     assert np.mean([(q, i) in got for q, found in want.items() for i, _ in found]) >= 0.9
 
 
-def test_pipeline_stages(spark):
+def plain(docs):
+    return sorted(((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in docs), key=str)
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on what the one before it kept: kept rows, kept texts and packed ids as its operator's rule gives them, worked out row by row."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(90001, None, None, None, None), (90002, "", "en", "s", 0), (90003, "123 456", "en", "s", 7), (None, "The words are here and there", "en", "s", 28)], docs.schema)
-    docs = docs.union(odd)
-    sizes = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, SF)
-        rows = out.collect()
-        sizes.append(len(rows))
-        ids = {r["doc_id"] for r in docs.collect()}
-        assert {r["doc_id"] for r in rows} <= ids
-        if name != "packing":
-            assert out.columns == docs.columns
-            docs = spark.createDataFrame(rows, docs.schema)
-        if name == "language":
-            assert not {90001, 90002, 90003} & {r["doc_id"] for r in rows} and None in {r["doc_id"] for r in rows}
-        if name == "suffix":
-            assert all(r["n_chars"] == len(r["text"]) for r in rows)
-    assert sizes[1] <= sizes[0] and sizes[2] <= sizes[1] and sizes[3] <= sizes[2] and sizes[4] == sizes[3]
-    assert math.isclose(sum(r["length"] for r in rows), sum({r["doc_id"]: r["doc_tokens"] for r in rows}.values()))
+    from cascadia.llm import packing
+    from test_dedup import brute_print, check_packing, union_find
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(90001, None, None, None, None), (90002, "", "en", "s", 0), (90003, "123 456", "en", "s", 7), (None, "The words are here and there", "en", "s", 28)]
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    docs, stages = table.union(spark.createDataFrame(odd, table.schema)), dict(corpus_pipeline.STAGES)
+
+    def step(name, docs):
+        out = stages[name](spark, docs, SF)
+        assert name == "packing" or out.columns == docs.columns
+        return out.collect()
+
+    before = docs.collect()
+    scorer = toxicity.Scorer(*toxicity.learn(docs, labels))
+    rows = step("toxicity", docs)
+    assert plain(rows) == plain([r for r in before if scorer.score(r["text"]) < 0.3]) and len(rows) > 100
+
+    before, docs = rows, spark.createDataFrame(rows, table.schema)
+    identifier = language.Identifier(*language.learn(docs))
+    rows = step("language", docs)
+    found = [identifier.identify(r["text"]) for r in before]
+    assert plain(rows) == plain([r for r, (lang, score) in zip(before, found) if lang != "und" and score >= corpus_pipeline.LEAST_SCORE])
+    assert not {90001, 90002, 90003} & {r["doc_id"] for r in rows} and None in {r["doc_id"] for r in rows}
+
+    before, docs = rows, spark.createDataFrame(rows, table.schema)
+    rows = step("simhash", docs)
+    prints = {r["doc_id"]: brute_print(r["text"]) for r in before}
+    near = [(a, b) for a in prints for b in prints if None not in (a, b) and a < b and bin(prints[a] ^ prints[b]).count("1") <= 2]
+    root = union_find([i for i in prints if i is not None], near)
+    assert plain(rows) == plain([r for r in before if r["doc_id"] is None or root[r["doc_id"]] == r["doc_id"]])
+
+    before, docs = rows, spark.createDataFrame(rows, table.schema)
+    rows = step("suffix", docs)
+    first, kept = {}, {}
+    for r in sorted((r for r in before if r["doc_id"] is not None), key=lambda r: r["doc_id"]):
+        b = r["text"].encode()
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], r["doc_id"])
+    for r in before:
+        b = r["text"].encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49 if r["doc_id"] is not None else 0):
+            if first[b[i : i + 50]] < r["doc_id"]:
+                gone[i : i + 50] = True
+        kept[r["doc_id"]] = bytes(np.frombuffer(b, np.uint8)[~gone]).decode("utf-8", "ignore") if gone.any() else r["text"]
+    assert {r["doc_id"]: r["text"] for r in rows} == kept and len(rows) == len(before)
+    assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+    ids = {i: len(packing.encoder(packing.default_tokenizer())._whole(t)) // 4 + 1 for i, t in kept.items()}
+    packed = packing.pack(spark.createDataFrame(rows, table.schema), with_ids=True).collect()
+    check_packing(packed, ids, 4096)
+    got = step("packing", spark.createDataFrame(rows, table.schema))
+    assert sorted(tuple(r)[:5] for r in got if r["doc_id"] is not None) == sorted(tuple(r)[:5] for r in packed if r["doc_id"] is not None)
 
 
 def test_simhash_stage_keeps_one_row_of_each_group(spark):
