@@ -10,7 +10,7 @@ bits than a pair at the threshold may (with a chance of ``miss`` / 10 to differ
 The components of these links are found first. A true link never leaves such a component, so each vector is sent once, to its
 component, where all pairs are compared exactly: links are counted there, and the components of the links found.
 
-Buckets and components of over ``block`` classes are cut into blocks by a hash, and every pair of blocks is a task's work of its own, so none has to fit
+Buckets of over ``block`` classes and components of over ``part_block`` are cut into blocks by a hash, and every pair of blocks is a group of its own, so none has to fit
 in one task. Pairs never leave a task.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and so do rows whose
@@ -124,7 +124,7 @@ def in_blocks(rows: DataFrame, counts: DataFrame, key: str, block: int) -> DataF
     return cut.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("other", "blocks")
 
 
-def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = None, miss: float = 1e-6, block: int = 2048, seed: int = 7) -> DataFrame:
+def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = None, miss: float = 1e-6, block: int = 2048, part_block: int = 256, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of (vec_id, embedding, label)."""
     rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), "embedding")
     n = rows.count()
@@ -193,7 +193,7 @@ def near_vectors(frame: DataFrame, threshold: float = 0.98, bits: int | None = N
     candidates = met.where("b is not null").select("a", "b").union(hot.mapInArrow(meet_blocks, "a long, b long"))
     parts = checkpointed(components(candidates).select(F.col("node").alias("rid"), F.col("root").alias("part")))
     own = signed.select("rid", "label", F.length("v").alias("size"), "first", "copies", "v").join(parts, "rid")
-    routed = in_blocks(own, parts.groupBy("part").count(), "part", block).withColumn("g", F.xxhash64("part", "label", "size", "lo", "hi"))
+    routed = in_blocks(own, parts.groupBy("part").count(), "part", part_block).withColumn("g", F.xxhash64("part", "label", "size", "lo", "hi"))
     routed = routed.repartition("g").sortWithinPartitions("g", "part", "label", "size", "lo", "hi")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,7 +97,7 @@ def test_near_vectors(spark, block):
     odd = [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [float("nan")] + [1.0] * 15, 1), (2003, [None] + [1.0] * 15, 1), (2004, [1.0] * 16, None), (2005, [float("inf")] * 16, 1), (2006, [1.0] * 3, 1)]
     rows = vector_rows() + odd
     df = spark.createDataFrame([(*r, "x", 5) for r in rows], "vec_id long, embedding array<float>, label int, component_id string, n_links int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_vectors(df, block=block).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_vectors(df, block=block, part_block=block).collect()}
     assert got == near_brute(rows[:-1]) | {2006: (0, 2006, True)}
 
 
@@ -108,7 +108,7 @@ def test_near_vectors_of_several_lengths(spark, block):
     wide = [(5000 + i, v * 40, k) for i, v, k in most[:20]]
     longer = [(4000, [*most[0][1], 1.0], most[0][2])]
     df = spark.createDataFrame([*most, *short, *wide, *longer], "vec_id long, embedding array<float>, label int")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_vectors(df, block=block).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in neardup.near_vectors(df, block=block, part_block=block).collect()}
     want = near_brute(most) | near_brute(short) | near_brute(wide) | {4000: (0, 4000, True)}
     assert got == want and sum(n for n, _, _ in near_brute(short).values()) > 0
 
