@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .ranks import bounded
+
 
 def binop(a: Column, op: str, b: Column, kind: str = "double") -> Column:
     """Both sides are cast first; division by 0 gives null."""
@@ -56,8 +58,8 @@ def linear_vector(vector: Column, weights: Sequence[float], intercept: float) ->
 
 
 def linear_sparse(rows: DataFrame, row_id: str, features: DataFrame, weights: DataFrame, intercept: float) -> DataFrame:
-    """(row_id, score) for every row, also those without a feature. ``weights`` is (idx, weight), bounded by the vocabulary."""
-    sums = features.join(F.broadcast(weights), "idx").groupBy(row_id).agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
+    """(row_id, score) for every row, also those without a feature. ``weights`` is (idx, weight), broadcast if its plan bounds it."""
+    sums = features.join(bounded(weights), "idx").groupBy(row_id).agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
     return rows.select(row_id).join(sums, row_id, "left").select(row_id, (F.coalesce("s", F.lit(0.0)) + float(intercept)).alias("score"))
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
+from .ranks import running_totals
+
 AGGREGATES = {
     "min": F.min,
     "max": F.max,
@@ -124,18 +126,25 @@ def only(condition: Column, column: Column) -> Column:
 
 
 def one_hot(df: DataFrame, column: str, most: int = 1000) -> DataFrame:
-    """A 0/1 column for each value, in order of value, and COLUMN_nan for null. Fails over ``most`` values."""
+    """A 0/1 column for each value, in order of value, and COLUMN_nan for null. A table can't have columns without end: over ``most`` values take ``one_hot_sparse``."""
     values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()]
     if len(values) > most:
-        raise ValueError(f"{column} has more than {most} values")
+        raise ValueError(f"{column} has more than {most} values; one_hot_sparse takes any number")
     made = {f"{column}_{v}": F.col(column).eqNullSafe(F.lit(v)).cast("int") for v in sorted(values)}
     return df.withColumns(made | {f"{column}_nan": F.col(column).isNull().cast("int")})
 
 
+def one_hot_sparse(df: DataFrame, column: str, row_id: str) -> DataFrame:
+    """(row_id, idx, value): the same block in long form for any number of values. idx is 0 for null, and 1 and up in order of value."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_one", F.lit(1))
+    codes = running_totals(values, column, "_one", "idx").drop("_one")
+    return df.select(row_id, column).join(codes, column, "left").select(row_id, F.coalesce("idx", F.lit(0)).alias("idx"), F.lit(1).alias("value"))
+
+
 def factorize(df: DataFrame, column: str, row_id: str, out: str) -> DataFrame:
-    """Codes from 0 in order of each value's first row; null is -1. The distinct values are ranked, not the rows."""
-    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(row_id).alias("_first"))
-    codes = first.select(column, (F.row_number().over(Window.orderBy("_first", column)) - 1).alias(out))
+    """Codes from 0 in order of each value's first row; null is -1. The distinct values are ranked, not the rows, range by range."""
+    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(row_id).alias("_first")).withColumn("_one", F.lit(1))
+    codes = running_totals(first, "_first", "_one", out, [column]).select(column, (F.col(out) - 1).alias(out))
     return df.join(codes, column, "left").fillna(-1, subset=[out])
 
 
@@ -189,7 +198,17 @@ def cast_all(df: DataFrame, kind: str, without: Sequence[str] = ()) -> DataFrame
     return df.select(*[F.col(f"`{c}`") if c in without else F.col(f"`{c}`").cast(kind).alias(c) for c in df.columns])
 
 
+def digest(c: Column, seed: int) -> Column:
+    """32 hex digits of a value as text and a seed; null counts as empty. Any engine can work them out."""
+    return F.md5(F.concat(F.coalesce(c.cast("string"), F.lit("")), F.lit(f":{seed}")))
+
+
+def digest_bucket(c: Column, seed: int, buckets: Column | int) -> Column:
+    """A bucket number from the first eight digits."""
+    return F.conv(F.substring(digest(c, seed), 1, 8), 16, 10).cast("long") % buckets
+
+
 def hash_split(df: DataFrame, row_id: str, percent: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Two parts by a hash of the id: the same rows on every run and every cluster."""
-    part = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(100))
+    part = digest_bucket(F.col(row_id), seed, 100)
     return df.where(part < percent), df.where(part >= percent)

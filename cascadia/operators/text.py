@@ -1,15 +1,19 @@
 """Character and word n-gram features in long form: (row_id, idx, value).
 
-Grams meet the vocabulary right behind their explode, so grams outside it never reach a shuffle, and counts are
-pre-aggregated. The vocabulary is bounded by ``max_features`` and therefore broadcast.
+Where the vocabulary is given, only its own grams are looked for (``known_grams``) or grams meet it right behind their explode, so others never reach
+a shuffle. Where it is learnt, grams are counted by document once (``document_counts``), and both the vocabulary and the values come from these counts.
+A vocabulary is broadcast only if its plan bounds its rows, as a fitted one's ``max_features`` does.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .ranks import bounded, most_rows, small_table
+
 MOST_FEATURES, CHUNK = 1_000_000, 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -69,30 +73,76 @@ def grams(df: DataFrame, row_id: str, column: str, analyzer: str, ngram_range: t
     return made
 
 
+def _one_of(terms: Sequence[str]) -> str:
+    """A pattern of the terms as a tree of their signs."""
+    heads: dict[str, list[str]] = {}
+    for t in terms:
+        heads.setdefault(t[:1], []).append(t[1:])
+    return "|".join(re.escape(head) + (f"(?:{_one_of(tails)})" if any(tails) else "") for head, tails in sorted(heads.items()))
+
+
+def known_grams(df: DataFrame, row_id: str, column: str, terms: Sequence[str], lowercase: bool = False) -> DataFrame:
+    """(row_id, term) for every occurrence of the terms, overlapping ones too, as the character grams of a text that are among them. Terms are bounded by the caller.
+
+    One pattern for each length looks ahead from every position, so a row yields only the grams that count.
+    """
+    by_length: dict[int, list[str]] = {}
+    for t in terms:
+        if t:
+            by_length.setdefault(len(t), []).append(t)
+    text = collapse_spaces(ascii_lower(F.col(column)) if lowercase else F.col(column))
+    found = [F.regexp_extract_all("_t", F.lit(f"(?=({_one_of(own)}))"), F.lit(1)) for _, own in sorted(by_length.items())]
+    # the array of one keeps the text from being cleaned for each pattern
+    return df.select(F.col(row_id), F.explode(F.array(text)).alias("_t")).where("_t is not null").select(row_id, F.explode(F.concat(*found)).alias("term"))
+
+
+def document_counts(occurrences: DataFrame, row_id: str) -> DataFrame:
+    """(row_id, term, n): how often each term occurs in each document."""
+    return occurrences.where("term is not null").groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("n"))
+
+
 def vocabulary(spark: SparkSession, terms: Sequence[str]) -> DataFrame:
     """(term, idx) in the order given."""
-    return spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, idx int")
+    return small_table(spark, [(t, i) for i, t in enumerate(terms)], "term string, idx int")
+
+
+def smooth_idf(n_docs: Column | int, df: Column) -> Column:
+    return F.log((1.0 + n_docs) / (1.0 + df)) + 1.0
+
 
+def with_idf(vocab: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idx, idf): the terms of a vocabulary with their document frequency in the counts."""
+    found = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    made = bounded(vocab).join(found, "term", "left").select("term", "idx", smooth_idf(n_docs, F.coalesce("df", F.lit(0))).alias("idf"))
+    rows = most_rows(vocab)
+    return made if rows is None else made.limit(rows)  # a term has one frequency, which the plan doesn't know
 
-def fit_vocabulary(occurrences: DataFrame, row_id: str, n_docs: int, min_df: int = 1, max_features: int = MOST_FEATURES, stop_words: Sequence[str] = ()) -> DataFrame:
-    """(term, df, tf, idf, idx): terms in at least ``min_df`` documents, the most frequent ``max_features``, numbered alphabetically."""
-    kept = occurrences.where(~F.col("term").isin(list(stop_words))) if stop_words else occurrences
-    per_doc = kept.groupBy(row_id, "term").agg(F.count(F.lit(1)).alias("n"))
-    stats = per_doc.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).where(F.col("df") >= min_df)
+
+def fit_vocabulary(counts: DataFrame, row_id: str, n_docs: int, min_df: int = 1, max_features: int = MOST_FEATURES, stop_words: Sequence[str] = ()) -> DataFrame:
+    """(term, df, tf, idf, idx): terms in at least ``min_df`` documents, the most frequent ``max_features``, numbered alphabetically. Takes counts or occurrences."""
+    counts = counts if "n" in counts.columns else document_counts(counts, row_id)
+    kept = counts.where(~F.col("term").isin(list(stop_words))) if stop_words else counts
+    stats = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).where(F.col("df") >= min_df)
     top = stats.orderBy(F.desc("tf"), "term").limit(max_features)
-    idf = F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
     # ranked after the limit: max_features rows at most
-    return top.select("term", "df", "tf", idf.alias("idf"), (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))
+    return top.select("term", "df", "tf", smooth_idf(n_docs, F.col("df")).alias("idf"), (F.row_number().over(Window.orderBy("term")) - 1).alias("idx"))
+
+
+def _in_vocabulary(found: DataFrame, row_id: str, vocab: DataFrame, columns: list[str]) -> DataFrame:
+    """(row_id, the vocabulary's columns, n) from counts, or from occurrences, which are counted behind the join."""
+    joined = found.join(bounded(vocab.select("term", *columns), MOST_FEATURES), "term")
+    if "n" in found.columns:
+        return joined.select(row_id, *columns, "n")
+    return joined.groupBy(row_id, *columns).agg(F.count(F.lit(1)).alias("n"))
 
 
-def count_vectorize(occurrences: DataFrame, row_id: str, vocab: DataFrame) -> DataFrame:
-    """(row_id, idx, value): how often each vocabulary term occurs."""
-    return occurrences.join(F.broadcast(vocab.select("term", "idx")), "term").groupBy(row_id, "idx").agg(F.count(F.lit(1)).alias("value"))
+def count_vectorize(found: DataFrame, row_id: str, vocab: DataFrame) -> DataFrame:
+    """(row_id, idx, value): how often each vocabulary term occurs. Takes counts or occurrences."""
+    return _in_vocabulary(found, row_id, vocab, ["idx"]).select(row_id, "idx", F.col("n").alias("value"))
 
 
-def tfidf(occurrences: DataFrame, row_id: str, vocab: DataFrame) -> DataFrame:
-    """(row_id, idx, value): counts times idf, with L2 norm 1 for each row that has a term."""
-    counts = occurrences.join(F.broadcast(vocab.select("term", "idx", "idf")), "term").groupBy(row_id, "idx", "idf").agg(F.count(F.lit(1)).alias("n"))
-    raw = counts.select(row_id, "idx", (F.col("n") * F.col("idf")).alias("raw"))
+def tfidf(found: DataFrame, row_id: str, vocab: DataFrame) -> DataFrame:
+    """(row_id, idx, value): counts times idf, with L2 norm 1 for each row that has a term. Takes counts or occurrences."""
+    raw = _in_vocabulary(found, row_id, vocab, ["idx", "idf"]).select(row_id, "idx", (F.col("n") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(row_id)))
     return raw.select(row_id, "idx", (F.col("raw") / norm).alias("value"))

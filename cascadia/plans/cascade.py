@@ -57,9 +57,25 @@ def linear_callbacks(score: Callable[[DataFrame, str], float] | None = None) ->
 
 class CascadeExecutor:
     def __init__(self, plan: FeaturePlan, callbacks: Callbacks, cascade: Cascade, threshold: float | None = None):
-        self.plan, self.callbacks, self.cascade = plan, callbacks, cascade
+        self.plan, self.callbacks, self.cascade, self.held = plan, callbacks, cascade, []
         self.threshold = cascade.threshold if threshold is None else threshold
 
+    def hold(self, df: DataFrame) -> DataFrame:
+        """Stores a frame that more than one branch reads, on executors' disks where memory is short; a lost copy is computed again."""
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
+    def release(self) -> None:
+        """Frees what is stored; frames made before stay right, but are computed anew."""
+        while self.held:
+            self.held.pop().unpersist()
+
+    def __enter__(self) -> CascadeExecutor:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.release()
+
     def small(self, rows: DataFrame) -> DataFrame:
         """The rows with the important features and the small model's probability."""
         return self.callbacks.predict_proba(self.cascade.small_model, self.plan.build(rows, self.cascade.important))
@@ -72,11 +88,8 @@ class CascadeExecutor:
         return self.small(rows).withColumn("small_label", tri_state(F.col("predict_proba"), self.threshold))
 
     def batch(self, rows: DataFrame, keep: bool = True, detail: bool = False) -> DataFrame:
-        """row_id, predict (and answered_by) for each row. ``keep`` stores the small model's result, which both branches read, on executors' disks
-        where memory is short; a lost copy is computed again."""
-        scored = self.labelled(rows)
-        if keep:
-            scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+        """row_id, predict (and answered_by) for each row. ``keep`` stores the small model's result, which both branches read, until ``release``."""
+        scored = self.hold(self.labelled(rows)) if keep else self.labelled(rows)
         hard = scored.where(F.col("small_label") == UNSURE).drop("predict_proba", "small_label")
         big = self.big(hard)
         sure = scored.where(F.col("small_label") != UNSURE).select(self.plan.row_id, F.col("small_label").cast("double").alias("predict"))
@@ -86,7 +99,7 @@ class CascadeExecutor:
 
     def point(self, row: DataFrame) -> DataFrame:
         """One row; the full plan isn't even started where the small model is sure."""
-        scored = self.labelled(row).cache()
+        scored = self.hold(self.labelled(row))
         found = scored.select("small_label").first()
         if found is None or found[0] != UNSURE:
             return scored.select(self.plan.row_id, F.col("small_label").cast("double").alias("predict"))
@@ -94,7 +107,7 @@ class CascadeExecutor:
 
     def top_k(self, rows: DataFrame, k: int, ratio: int | None = None) -> DataFrame:
         """row_id, score: pruned rows score 0, candidates get the full model's probability."""
-        scored = self.small(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        scored = self.hold(self.small(rows))
         chosen = candidates(scored, "predict_proba", self.plan.row_id, k * (ratio or self.cascade.ratio or 1))
         full = self.callbacks.predict_proba(self.cascade.big_model, self.plan.build(chosen.drop("predict_proba")))
         rest = scored.join(chosen.select(self.plan.row_id), self.plan.row_id, "left_anti")

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..operators.models import Callbacks
-from ..operators.relational import hash_split
+from ..operators.relational import digest, digest_bucket, hash_split
 from .cascade import Cascade, UNSURE, tri_state
 from .plan import FeaturePlan
 
@@ -20,16 +20,16 @@ THRESHOLDS = (0.6, 0.7, 0.8, 0.9, 1.0)
 LOSS_BUDGET, PRECISION, SAMPLES, NEEDED = 0.001, 0.95, 100, 99
 
 
-def permuted(df: DataFrame, row_id: str, columns: Sequence[str], seed: int) -> DataFrame:
+def permuted(df: DataFrame, row_id: str, columns: Sequence[str], seed: int, bucket_rows: int = 200_000) -> DataFrame:
     """The rows with the named columns taken from other rows, by a seeded order.
 
-    Rows get places within hash buckets, once by the id and once by another seed, so no single task orders the table.
+    Rows are dealt to buckets of about ``bucket_rows`` by a digest of their id and get places within them, once by one seed and once by another, so no single task orders a large table.
     """
-    n = df.rdd.getNumPartitions() if df.isStreaming else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(n))
+    buckets = max(1, -(-df.count() // bucket_rows))
+    bucket = digest_bucket(F.col(row_id), seed, buckets)
 
     def placed(key: int) -> DataFrame:
-        own = Window.partitionBy("_b").orderBy(F.xxhash64(F.col(row_id), F.lit(key)), row_id)
+        own = Window.partitionBy("_b").orderBy(digest(F.col(row_id), key), row_id)
         return df.withColumn("_b", bucket).withColumn("_at", F.row_number().over(own))
 
     moved = placed(seed + 2).select("_b", "_at", *columns)

@@ -5,15 +5,18 @@ Every query reads its whole tables; a limit stands only in top-k reports.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import metrics, udf
 from .operators import linalg, models, ranks, relational as rel, text
-from .operators.models import LinearModel
-from .plans import cascade, train
+from .operators.models import LinearModel, VectorModel
+from .plans import blocks, cascade, train
 from .plans.plan import FeatureGroup, FeaturePlan
+from .sources import io
 from .sources.io import read_table, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,10 +88,10 @@ def lookup_join_multi(spark, d):
     return joined.select("o_orderkey", "n", F.round("spent", 2).alias("spent"))
 
 
-@query("SELECT o_orderkey, o_custkey, coalesce(c_acctbal, 0) AS c_acctbal FROM orders LEFT JOIN (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey, o_custkey, coalesce(c_acctbal, 0) AS c_acctbal FROM orders LEFT JOIN (SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey")
 def lookup_join_missing_zero(spark, d):
-    # a third of the keys is taken away to have look-ups that miss
-    some = read_table(spark, d, "customer").where(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
+    # look-ups of customers in debt miss
+    some = read_table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal")
     return rel.lookup_join(read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), some, "o_custkey")
 
 
@@ -137,14 +140,14 @@ def point_row(spark, d):
 
 
 @query(
-    "SELECT o_custkey, min(o_totalprice) AS \"ORD_O_TOTALPRICE_MIN\", max(o_totalprice) AS \"ORD_O_TOTALPRICE_MAX\", round(avg(o_totalprice) + 1e-5, 4) AS \"ORD_O_TOTALPRICE_MEAN\", round(sum(o_totalprice), 2) AS \"ORD_O_TOTALPRICE_SUM\", "
+    "SELECT o_custkey, min(o_totalprice) AS \"ORD_O_TOTALPRICE_MIN\", max(o_totalprice) AS \"ORD_O_TOTALPRICE_MAX\", avg(o_totalprice)::FLOAT AS \"ORD_O_TOTALPRICE_MEAN\", round(sum(o_totalprice), 2) AS \"ORD_O_TOTALPRICE_SUM\", "
     "round(var_samp(o_totalprice), 2) AS \"ORD_O_TOTALPRICE_VAR\", count(DISTINCT o_orderstatus) AS \"ORD_O_ORDERSTATUS_NUNIQUE\", count(*) AS \"ORD_SIZE\" FROM orders GROUP BY o_custkey"
 )
 def agg_features_multi(spark, d):
     made = rel.agg_features(read_table(spark, d, "orders"), ["o_custkey"], {"o_totalprice": ["min", "max", "mean", "sum", "var"], "o_orderstatus": ["nunique"]}, "ord", "size")
-    # means of prices in cents often lie half-way between two roundings, which engines settle differently
-    made = made.withColumn("ORD_O_TOTALPRICE_MEAN", F.col("ORD_O_TOTALPRICE_MEAN") + 1e-5)
-    digits = {"ORD_O_TOTALPRICE_MEAN": 4, "ORD_O_TOTALPRICE_SUM": 2, "ORD_O_TOTALPRICE_VAR": 2}
+    # in single precision: means of prices in cents often lie half-way between two decimal roundings, which engines settle differently
+    made = made.withColumn("ORD_O_TOTALPRICE_MEAN", F.col("ORD_O_TOTALPRICE_MEAN").cast("float"))
+    digits = {"ORD_O_TOTALPRICE_SUM": 2, "ORD_O_TOTALPRICE_VAR": 2}
     return made.select(*[F.round(c, digits[c]).alias(c) if c in digits else c for c in made.columns])
 
 
@@ -181,6 +184,11 @@ def factorize_first_seen(spark, d):
     return rel.factorize(read_table(spark, d, "customer").select("c_custkey", segment), "segment", "c_custkey", "code").select("c_custkey", "code")
 
 
+@query("WITH t AS (SELECT p_partkey, nullif(p_name, '') AS s FROM part), c AS (SELECT s, row_number() OVER (ORDER BY encode(s)) AS idx FROM (SELECT DISTINCT s FROM t WHERE s IS NOT NULL)) SELECT p_partkey, coalesce(idx, 0) AS idx, 1 AS value FROM t LEFT JOIN c USING (s)")
+def one_hot_any_number(spark, d):
+    return rel.one_hot_sparse(read_table(spark, d, "part").select("p_partkey", F.nullif(F.col("p_name"), F.lit("")).alias("name")), "name", "p_partkey")
+
+
 @query("SELECT p_partkey, nullif(p_size, 1) AS p_size FROM part WHERE p_brand IS DISTINCT FROM 'Brand#11'")
 def sentinel_null(spark, d):
     return rel.nullify(read_table(spark, d, "part").where(rel.not_equal(F.col("p_brand"), "Brand#11")).select("p_partkey", "p_size"), "p_size", 1)
@@ -237,18 +245,13 @@ _TERM_SQL = "(VALUES " + ", ".join(f"('{t}', {i})" for i, t in enumerate(_TERMS)
 _COUNTS_SQL = rf"SELECT doc_id, idx, CAST((length(t) - length(replace(t, term, ''))) // length(term) AS BIGINT) AS value FROM (SELECT doc_id, regexp_replace(text, '\s\s+', ' ', 'g') AS t FROM documents), {_TERM_SQL} WHERE t LIKE '%' || term || '%'"
 
 
-@query(_COUNTS_SQL)
-def char_count_vectorize(spark, d):
-    return text.count_vectorize(text.grams(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", "char", (1, 3)), "doc_id", text.vocabulary(spark, _TERMS))
+def _char_hits(spark, d) -> DataFrame:
+    return text.known_grams(spread(read_table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", _TERMS)
 
 
-def _char_vocabulary(spark, docs: DataFrame) -> DataFrame:
-    """The terms with idf over all documents."""
-    seen = text.grams(docs, "doc_id", "text", "char", (1, 3)).join(F.broadcast(text.vocabulary(spark, _TERMS)), "term")
-    found = seen.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = docs.count()
-    idf = F.log((1.0 + n) / (1.0 + F.coalesce("df", F.lit(0)))) + 1.0
-    return text.vocabulary(spark, _TERMS).join(found, "term", "left").select("term", "idx", idf.alias("idf"))
+@query(_COUNTS_SQL)
+def char_count_vectorize(spark, d):
+    return text.count_vectorize(_char_hits(spark, d), "doc_id", text.vocabulary(spark, _TERMS))
 
 
 @query(
@@ -256,9 +259,29 @@ def _char_vocabulary(spark, docs: DataFrame) -> DataFrame:
     "SELECT doc_id, idx, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS value FROM w"
 )
 def char_tfidf(spark, d):
+    counts = text.document_counts(_char_hits(spark, d), "doc_id")
+    vocab = text.with_idf(text.vocabulary(spark, _TERMS), counts, read_table(spark, d, "documents").count())
+    return text.tfidf(counts, "doc_id", vocab).select("doc_id", "idx", F.round("value", 6).alias("value"))
+
+
+_MOST_GRAMS = 300
+
+
+@query(
+    r"WITH t AS (SELECT doc_id, regexp_replace(text, '\s\s+', ' ', 'g') AS t FROM documents), n AS (SELECT count(*) AS n FROM documents), "
+    "p AS (SELECT doc_id, regexp_extract_all(t, '(?s).') AS p FROM t), g AS (SELECT doc_id, unnest(list_concat(p, list_transform(range(1, len(p)), lambda i: p[i] || p[i + 1]), list_transform(range(1, len(p) - 1), lambda i: p[i] || p[i + 1] || p[i + 2]))) AS term FROM p), "
+    "c AS (SELECT doc_id, term, count(*) AS n FROM g GROUP BY doc_id, term), s AS (SELECT term, count(*) AS df, sum(c.n) AS tf FROM c GROUP BY term), "
+    f"top AS (SELECT term, df FROM s, n WHERE df >= ceil(n * 0.02) ORDER BY tf DESC, encode(term) LIMIT {_MOST_GRAMS}), "
+    "vocab AS (SELECT term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf, (row_number() OVER (ORDER BY encode(term)) - 1)::INT AS idx FROM top, n), "
+    "w AS (SELECT doc_id, idx, n * idf AS raw FROM c JOIN vocab USING (term)) SELECT doc_id, idx, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS value FROM w"
+)
+def char_tfidf_fitted(spark, d):
+    """The vocabulary is learnt from all documents; grams are counted once for it and for the values."""
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
-    made = text.tfidf(text.grams(docs, "doc_id", "text", "char", (1, 3)), "doc_id", _char_vocabulary(spark, docs))
-    return made.select("doc_id", "idx", F.round("value", 6).alias("value"))
+    n = docs.count()
+    counts = text.document_counts(text.grams(docs, "doc_id", "text", "char", (1, 3)), "doc_id")
+    vocab = text.fit_vocabulary(counts, "doc_id", n, math.ceil(n * 0.02), _MOST_GRAMS)
+    return text.tfidf(counts, "doc_id", vocab).select("doc_id", "idx", F.round("value", 6).alias("value"))
 
 
 _MIN_SHARE, _MOST_TERMS = 0.02, 500
@@ -271,11 +294,9 @@ _VOCAB_SQL = (
 
 
 def _word_vocabulary(spark, d) -> tuple[DataFrame, DataFrame]:
-    import math
-
     docs = spread(read_table(spark, d, "documents").select("doc_id", "text"))
     n = docs.count()
-    made = text.grams(docs, "doc_id", "text", "word", (1, 1))
+    made = text.document_counts(text.grams(docs, "doc_id", "text", "word", (1, 1)), "doc_id")
     return made, text.fit_vocabulary(made, "doc_id", n, math.ceil(n * _MIN_SHARE), _MOST_TERMS)
 
 
@@ -345,7 +366,7 @@ _TEXT_WEIGHTS = [0.01, -0.02, 0.03, 0.05, -0.04, 0.02, 0.01, 0.06, -0.001]
     + ") AS v(idx, w) USING (idx) GROUP BY doc_id) USING (doc_id)"
 )
 def linear_score_text(spark, d):
-    weights = spark.createDataFrame(list(enumerate(_TEXT_WEIGHTS)), "idx int, weight double")
+    weights = ranks.small_table(spark, list(enumerate(_TEXT_WEIGHTS)), "idx int, weight double")
     return linalg.linear_sparse(read_table(spark, d, "documents"), "doc_id", _blocks(spark, d), weights, 0.25).withColumn("score", F.round("score", 6))
 
 
@@ -445,6 +466,211 @@ def topk_precision(spark, d):
     return metrics.precision_at_k(topk_cascade_fixed(spark, d), topk_exact(spark, d), "o_orderkey", _K)
 
 
+# --- cascades over text and dense blocks -------------------------------------------------------------------------
+
+_CHAR_IDF = [1.2, 1.1, 1.5, 2.0, 1.3, 1.4, 1.6, 2.2]
+_CHAR_BLOCK, _WORD_BLOCK = [0.9, -0.7, 0.4, 0.8, -0.5, 0.6, -0.3, 1.0], [0.2, -0.1, 0.15, 0.1, -0.2]
+_LENGTH_WEIGHT, _SMALL_INTERCEPT, _BLOCK_INTERCEPT = -0.0012, 1.1, 0.4
+_LENGTHS_SQL = "SELECT doc_id, n_chars::DOUBLE AS v FROM documents"
+_WORD_COUNTS_SQL = (
+    r"SELECT doc_id, idx, count(*) AS value FROM (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM (SELECT doc_id, list_filter(string_split(regexp_replace(text, '[^\p{L}\p{N}_]+', ' ', 'g'), ' '), lambda x: length(x) >= 1) AS w FROM documents)) JOIN (VALUES "
+    + ", ".join(f"('{t}', {i})" for i, t in enumerate(_BIGRAMS))
+    + ") AS v(term, idx) USING (term) GROUP BY doc_id, idx"
+)
+_BLOCK_SQL = (
+    f"WITH lengths AS ({_LENGTHS_SQL}), small AS (SELECT doc_id, 1 / (1 + exp(-({_SMALL_INTERCEPT} + {_LENGTH_WEIGHT} * v))) AS p FROM lengths), c AS ({_COUNTS_SQL}), "
+    f"raw AS (SELECT doc_id, idx, value * idf AS raw FROM c JOIN (VALUES {', '.join(f'({i}, {x})' for i, x in enumerate(_CHAR_IDF))}) AS v(idx, idf) USING (idx)), "
+    "chars AS (SELECT doc_id, idx, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS v FROM raw), "
+    f"cs AS (SELECT doc_id, sum(v * w) AS s FROM chars JOIN (VALUES {', '.join(f'({i}, {x})' for i, x in enumerate(_CHAR_BLOCK))}) AS v(idx, w) USING (idx) GROUP BY doc_id), "
+    f"ws AS (SELECT doc_id, sum(value * w) AS s FROM ({_WORD_COUNTS_SQL}) JOIN (VALUES {', '.join(f'({i}, {x})' for i, x in enumerate(_WORD_BLOCK))}) AS v(idx, w) USING (idx) GROUP BY doc_id), "
+    f"big AS (SELECT doc_id, {_BLOCK_INTERCEPT} + {_LENGTH_WEIGHT} * v + coalesce(cs.s, 0) + coalesce(ws.s, 0) AS score FROM lengths LEFT JOIN cs USING (doc_id) LEFT JOIN ws USING (doc_id)) "
+)
+
+
+def _block_plan(spark) -> blocks.BlockPlan:
+    vocab = ranks.small_table(spark, [(t, i, x) for i, (t, x) in enumerate(zip(_TERMS, _CHAR_IDF))], "term string, idx int, idf double")
+    bigrams = text.vocabulary(spark, _BIGRAMS)
+    return blocks.BlockPlan(
+        "doc_id",
+        (
+            blocks.Block("length", lambda rows: rows.select("doc_id", F.lit(0).alias("idx"), F.col("n_chars").alias("value")), 1),
+            blocks.Block("characters", lambda rows: text.tfidf(text.known_grams(rows, "doc_id", "text", _TERMS), "doc_id", vocab), len(_TERMS)),
+            blocks.Block("words", lambda rows: text.count_vectorize(text.grams(rows, "doc_id", "text", "word", (2, 2), least_length=1), "doc_id", bigrams), len(_BIGRAMS)),
+        ),
+    )
+
+
+def _block_cascade(spark, threshold: float = _THRESHOLD) -> blocks.BlockCascade:
+    def model(weights: list[float], intercept: float) -> blocks.SparseModel:
+        return blocks.SparseModel(ranks.small_table(spark, list(enumerate(weights)), "idx int, weight double"), intercept)
+
+    return blocks.BlockCascade(_block_plan(spark), ["length"], model([_LENGTH_WEIGHT], _SMALL_INTERCEPT), model([_LENGTH_WEIGHT, *_CHAR_BLOCK, *_WORD_BLOCK], _BLOCK_INTERCEPT), threshold)
+
+
+@query(
+    f"{_BLOCK_SQL} SELECT doc_id, (CASE WHEN p > {_THRESHOLD} THEN 1 WHEN p < 1 - {_THRESHOLD} THEN 0 ELSE (score > 0)::INT END)::INT AS predict, CASE WHEN p > {_THRESHOLD} OR p < 1 - {_THRESHOLD} THEN 'small' ELSE 'big' END AS answered_by FROM small JOIN big USING (doc_id)"
+)
+def cascade_text_blocks(spark, d):
+    """Character TF-IDF and word bigrams are built and stacked for documents that their length leaves unsure."""
+    return _block_cascade(spark).batch(spread(read_table(spark, d, "documents").select("doc_id", "text", "n_chars")))
+
+
+@query(f"{_BLOCK_SQL} SELECT doc_id, (score > 0)::INT AS predict, 'big' AS answered_by FROM big")
+def cascade_text_blocks_full(spark, d):
+    return _block_cascade(spark, 1.0).batch(spread(read_table(spark, d, "documents").select("doc_id", "text", "n_chars")))
+
+
+_DENSE_SMALL, _DENSE_REST = [round(0.9 - 0.1 * i, 1) for i in range(16)], [round(0.02 * (i % 5) - 0.03, 2) for i in range(48)]
+
+
+def _dot_sql(weights: list[float], first: int) -> str:
+    return f"list_sum(list_transform(range(1, {len(weights) + 1}), lambda i: embedding[{first} + i]::DOUBLE * {weights}[i]))"
+
+
+@query(
+    f"WITH s AS (SELECT vec_id, 1 / (1 + exp(-(2 * {_dot_sql(_DENSE_SMALL, 0)}))) AS p, {_dot_sql(_DENSE_SMALL, 0)} + {_dot_sql(_DENSE_REST, 16)} + 0.05 AS score FROM embeddings) "
+    f"SELECT vec_id, (CASE WHEN p > {_THRESHOLD} THEN 1 WHEN p < 1 - {_THRESHOLD} THEN 0 ELSE (score > 0)::INT END)::DOUBLE AS predict, CASE WHEN p > {_THRESHOLD} OR p < 1 - {_THRESHOLD} THEN 'small' ELSE 'big' END AS answered_by FROM s"
+)
+def cascade_dense_blocks(spark, d):
+    """Two dense blocks of one vector: the second is cut out and stacked for unsure rows."""
+    vector = F.col("embedding").cast("array<double>")
+    plan = FeaturePlan(
+        "vec_id",
+        (
+            FeatureGroup("head", lambda rows: rows.withColumn("head", F.slice(vector, 1, 16)), ["head"], 0.2),
+            FeatureGroup("rest", lambda rows: rows.withColumn("rest", F.slice(vector, 17, 48)), ["rest"], 0.8),
+        ),
+    )
+    small, big = VectorModel({"head": [2 * w for w in _DENSE_SMALL]}), VectorModel({"head": _DENSE_SMALL, "rest": _DENSE_REST}, 0.05)
+    run = cascade.CascadeExecutor(plan, cascade.linear_callbacks(), cascade.fixed(small, big, ["head"], _THRESHOLD))
+    return run.batch(read_table(spark, d, "embeddings").select("vec_id", "embedding"), detail=True)
+
+
+# --- what training looks for, with fixed models ----------------------------------------------------------------------
+
+_TRUTH_SQL = "(o_totalprice * 1.4e-5 + c_acctbal * 0.9e-4 - 0.03 * n_lines > 1.4)::INT"
+_BASE_SQL = f"f AS (SELECT o_orderkey, o_totalprice, c_acctbal, n_lines, qty FROM {_FACTS_SQL}), labelled AS (SELECT *, {_TRUTH_SQL} AS truth FROM f)"
+_COSTS = {"price": 0.05, "customer": 0.1, "lines": 0.3}
+_GROUPS = {"price": ["o_totalprice"], "customer": ["c_acctbal"], "lines": ["n_lines", "qty"]}
+
+
+def _labelled(spark, d) -> DataFrame:
+    truth = (F.col("o_totalprice") * 1.4e-5 + F.col("c_acctbal") * 0.9e-4 - 0.03 * F.col("n_lines") > 1.4).cast("int")
+    return _plan(spark, d).build(_orders(spark, d)).withColumn("truth", truth)
+
+
+def _accuracy(df: DataFrame, label: str) -> float:
+    return float(df.agg(metrics.accuracy(F.col(label), F.col("predict"))).first()[0])
+
+
+def _permuted_sql(columns: list[str], seed: int) -> str:
+    kept = [c for own in _GROUPS.values() for c in own if c not in columns]
+    bucket = f"('0x' || substr(md5(o_orderkey || ':{seed}'), 1, 8))::BIGINT % (SELECT ceil(count(*) / 200000.0)::BIGINT FROM labelled)"
+
+    def placed(wanted: list[str], key: int) -> str:
+        return f"(SELECT {', '.join(wanted)}, {bucket} AS b, row_number() OVER (PARTITION BY {bucket} ORDER BY md5(o_orderkey || ':{key}'), o_orderkey) AS place FROM labelled)"
+
+    return f"(SELECT * FROM {placed(['truth', *kept], seed + 1)} JOIN {placed(columns, seed + 2)} USING (b, place))"
+
+
+_IMPORTANCES_SQL = f"{_BASE_SQL}, base AS (SELECT avg((({_LINEAR_SQL} > 0)::INT = truth)::INT) AS a FROM labelled), imp AS (" + " UNION ALL ".join(
+    f"SELECT '{g}' AS feature_group, {i} AS nr, (SELECT a FROM base) - avg((({_LINEAR_SQL} > 0)::INT = truth)::INT) AS importance FROM {_permuted_sql(columns, 42 + i)}" for i, (g, columns) in enumerate(_GROUPS.items())
+) + ")"
+_WEIGHTS = {g: round(c * 1000 / sum(_COSTS.values())) for g, c in _COSTS.items()}
+
+
+@query(
+    f"WITH {_IMPORTANCES_SQL}, pick AS (SELECT a, b, c FROM (VALUES (0), (1)) x(a), (VALUES (0), (1)) y(b), (VALUES (0), (1)) z(c) WHERE a * {_WEIGHTS['price']} + b * {_WEIGHTS['customer']} + c * {_WEIGHTS['lines']} <= 500 "
+    "ORDER BY a * (SELECT importance FROM imp WHERE nr = 0) + b * (SELECT importance FROM imp WHERE nr = 1) + c * (SELECT importance FROM imp WHERE nr = 2) DESC, a + b + c LIMIT 1) "
+    "SELECT feature_group, round(importance, 6) AS importance, (CASE nr WHEN 0 THEN a WHEN 1 THEN b ELSE c END) = 1 AS chosen FROM imp, pick"
+)
+def importance_knapsack_fixed(spark, d):
+    """Importances of a fixed model's groups by permutation, and which a cutoff of a half of the cost takes."""
+    plan, callbacks = _plan(spark, d), cascade.linear_callbacks(_accuracy)
+    values = train.importances(_labelled(spark, d), plan, callbacks, _BIG, "truth")
+    chosen, _ = train.knapsack(values, plan.costs(_orders(spark, d)), 0.5)
+    return spark.createDataFrame([(g, round(float(v), 6), g in chosen) for g, v in values.items()], "feature_group string, importance double, chosen boolean")
+
+
+@query(
+    f"WITH {_BASE_SQL}, s AS (SELECT truth, {_SMALL_P} AS p, ({_LINEAR_SQL} > 0)::INT AS big FROM labelled), base AS (SELECT avg((big = truth)::INT) AS a FROM s), "
+    "t AS (SELECT v AS threshold, avg((p > v OR p < 1 - v)::INT) AS sure, avg(((CASE WHEN p > v THEN 1 WHEN p < 1 - v THEN 0 ELSE big END) = truth)::INT) AS a FROM s, (VALUES (0.6::DOUBLE), (0.7), (0.8), (0.9), (1.0)) x(v) GROUP BY v), "
+    f"fit AS (SELECT threshold, sure * {_WEIGHTS['price'] + _WEIGHTS['customer']} + (1 - sure) * 1000 AS cost FROM t, base WHERE t.a > base.a - 0.001 UNION ALL SELECT 1.0, 1000.0) SELECT threshold, round(cost, 4) AS cost FROM fit ORDER BY fit.cost, threshold LIMIT 1"
+)
+def threshold_search_fixed(spark, d):
+    """The threshold with the least expected cost whose cascade loses next to nothing."""
+    rows, callbacks = _labelled(spark, d), cascade.linear_callbacks(_accuracy)
+    small, big = callbacks.predict_proba(_SMALL, rows), callbacks.predict(_BIG, rows)
+    found = train.threshold_cost(small, big, "o_orderkey", "truth", callbacks, _accuracy(big, "truth") - train.LOSS_BUDGET, _WEIGHTS["price"] + _WEIGHTS["customer"], 1000)
+    return spark.createDataFrame([(found[0], round(float(found[1]), 4))], "threshold double, cost double")
+
+
+@query(f"SELECT o_orderkey, round(1 / (1 + exp(-(-1.0 + 1.5 * {_SMALL_P} + 0.8 * {_BIG_P}))), 6) AS p FROM {_FACTS_SQL}")
+def stacked_fixed(spark, d):
+    """A meta model over the probabilities of two base models."""
+    callbacks = cascade.linear_callbacks()
+    made = models.Stacked({"a": (callbacks, _SMALL.columns), "b": (callbacks, _BIG.columns)}, callbacks, {"a": _SMALL, "b": _BIG, "_meta": LinearModel({"_base_a": 1.5, "_base_b": 0.8}, -1.0)})
+    return made.predict_proba(_plan(spark, d).build(_orders(spark, d))).select("o_orderkey", F.round("predict_proba", 6).alias("p"))
+
+
+@query("SELECT o_orderkey, CASE WHEN ('0x' || substr(md5(o_orderkey || ':42'), 1, 8))::BIGINT % 100 < 75 THEN 'train' ELSE 'valid' END AS part FROM orders")
+def hash_split_rows(spark, d):
+    parts = rel.hash_split(read_table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 75)
+    return parts[0].withColumn("part", F.lit("train")).unionByName(parts[1].withColumn("part", F.lit("valid")))
+
+
+@query(
+    "WITH m AS (SELECT covar_pop(p_size, p_size) AS a, covar_pop(p_size, ln(p_retailprice)) AS b, covar_pop(ln(p_retailprice), ln(p_retailprice)) AS c FROM part), "
+    "e AS (SELECT b AS x, (c - a + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS y FROM m), z AS (SELECT p_partkey, p_size * x + ln(p_retailprice) * y AS z FROM part, e) "
+    "SELECT p_partkey, round(abs(z - avg(z) OVER ()) / stddev_pop(z) OVER (), 4) AS component FROM z"
+)
+def scaled_component(spark, d):
+    """The first principal component, centred and scaled; its sign is free, so its size is shown."""
+    rows = read_table(spark, d, "part").select("p_partkey", "p_size", F.log("p_retailprice").alias("price"))
+    made = models.scaled_components(rows, ["p_size", "price"], 1).transform(rows)
+    return made.select("p_partkey", F.round(F.abs(vector_to_array("components")[0]), 4).alias("component"))
+
+
+# --- text sources and the feature store ---------------------------------------------------------------------------
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def csv_typed(spark, d):
+    """Written as separated text and read with types."""
+    place = io.shared_folder(spark)
+    io.write_csv(read_table(spark, d, "supplier"), place)
+    return io.read_csv(spark, place, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def tsv_headerless(spark, d):
+    place = io.shared_folder(spark)
+    read_table(spark, d, "nation").write.csv(place, sep="\t")
+    return io.read_tsv(spark, place, "n_nationkey int, n_name string, n_regionkey int", header=False)
+
+
+@query("SELECT p_name AS term FROM part")
+def lines_of_text(spark, d):
+    place = io.shared_folder(spark)
+    read_table(spark, d, "part").select("p_name").write.text(place)
+    return io.read_lines(spark, place)
+
+
+@query("SELECT label, count(*) AS n FROM (SELECT quality AS label FROM labels) GROUP BY label")
+def labels_of_lines(spark, d):
+    place = io.shared_folder(spark)
+    read_table(spark, d, "labels").select(F.col("quality").cast("string")).write.text(place)
+    return io.read_labels(spark, place).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey, c_nationkey, c_acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def feature_store_batch(spark, d):
+    """Batch look-ups in a bucketed table of features."""
+    store = io.FeatureStore(spark, folder=io.shared_folder(spark))
+    store.load("customer", read_table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey", "c_acctbal"), "o_custkey")
+    return store.batch("customer", read_table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey").select("o_orderkey", "o_custkey", "c_nationkey", "c_acctbal")
+
+
 # --- metrics --------------------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
@@ -65,21 +67,35 @@ def load_json(spark: SparkSession, path: str) -> object:
     return json.loads(spark.read.text(path).first()[0])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir for tables that a query writes and reads. Where that is unset, a local session gets a folder of its own, and a cluster an error."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the cluster shares")
+        place = tempfile.mkdtemp(prefix="shared-")
+    return f"{place.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 class FeatureStore:
     """Feature tables by key, bucketed so that look-ups of large tables need no shuffle of the store.
 
     Batch look-ups are left joins; point look-ups read the buckets of their keys. ``queries`` counts the rows looked up.
     """
 
-    def __init__(self, spark: SparkSession, database: str = "default", buckets: int = 64):
-        self.spark, self.database, self.buckets = spark, database, buckets
+    def __init__(self, spark: SparkSession, database: str = "default", buckets: int = 64, folder: str | None = None):
+        """``folder`` holds the tables' files, which the cluster must share; None: the warehouse."""
+        self.spark, self.database, self.buckets, self.folder = spark, database, buckets, folder
 
     def _name(self, table: str) -> str:
         return f"{self.database}.features_{table}"
 
     def load(self, table: str, features: DataFrame, key: str) -> None:
         """Replaces the table; keys must be unique."""
-        features.write.mode("overwrite").bucketBy(self.buckets, key).sortBy(key).saveAsTable(self._name(table))
+        writer = features.write.mode("overwrite").bucketBy(self.buckets, key).sortBy(key)
+        if self.folder:
+            writer = writer.option("path", f"{self.folder}/{table}-{uuid.uuid4().hex}")
+        writer.saveAsTable(self._name(table))
 
     def table(self, table: str) -> DataFrame:
         return self.spark.table(self._name(table))

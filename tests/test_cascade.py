@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cascadia.functions import metrics
 from cascadia.operators import models, ranks
 from cascadia.operators.models import Callbacks, LinearModel
-from cascadia.plans import cascade, train
+from cascadia.plans import blocks, cascade, train
 from cascadia.plans.plan import FeatureGroup, FeaturePlan
 
 
@@ -185,7 +185,80 @@ def test_ml_models_and_stack(spark):
     stacked = models.Stacked({"one": (lr, ["a"]), "two": (lr, ["b"])}, lr).fit(df, "y")
     out = stacked.predict_proba(df)
     assert out.columns == [*df.columns, "predict_proba"] and metrics.auc(out, "y", "predict_proba") > 0.95
-    assert models.scaled_components(["a", "b"], 1).fit(df).transform(df).count() == 400
+    scaled = np.array([r[0][0] for r in models.scaled_components(df, ["a", "b"], 1).transform(df).select("components").collect()])
+    assert len(scaled) == 400 and scaled.mean() == pytest.approx(0, abs=1e-9) and scaled.std() == pytest.approx(1)
+
+
+def test_models_without_probabilities_are_refused(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, float(a), float(b), float(a > b), float(3 * a - b)) for i, (a, b) in enumerate(rng.normal(size=(300, 2)))], "row_id long, a double, b double, y double, z double")
+    accuracy = lambda d, label: float(d.agg(metrics.accuracy(F.col(label), F.col("predict"))).first()[0])
+    svc = models.ml_callbacks(models.support_vectors(), accuracy)
+    model = svc.train(df, ["a", "b"], "y")
+    assert svc.score(svc.predict(model, df), "y") > 0.95
+    with pytest.raises(TypeError):
+        svc.predict_proba(model, df)
+    net = models.ml_callbacks(models.perceptron([2, 4, 2]), accuracy)
+    model = net.train(df, ["a", "b"], "y")
+    assert net.score(net.predict(model, df), "y") > 0.9 and net.predict_proba(model, df).where("predict_proba between 0 and 1").count() == 300
+    loss = lambda d, label: -float(d.agg(metrics.rmse(F.col(label), F.col("predict"))).first()[0])
+    trees = models.ml_callbacks(models.boosted_regressor(10, 4), loss)
+    model = trees.train(df, ["a", "b"], "z")
+    assert trees.score(trees.predict(model, df), "z") > -1.2 and "predict_proba" in trees.predict_proba(model, df).columns
+
+
+def test_neural_regressor(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, float(a), float(b), float(np.maximum(a, 0) * 2 + b * b)) for i, (a, b) in enumerate(rng.normal(size=(2000, 2)))] + [(5000, None, 1.0, None)], "row_id long, a double, b double, z double")
+    loss = lambda d, label: -float(d.agg(metrics.rmse(F.col(label), F.col("predict"))).first()[0])
+    net = models.neural_regressor([16, 8], loss)
+    model = net.train(df, ["a", "b"], "z")
+    x = rng.normal(size=(4, 2))
+    h = (x - model.mean) / model.scale
+    for w, b in model.layers[:-1]:
+        h = np.maximum(h @ w + b, 0)
+    want = (h @ model.layers[-1][0] + model.layers[-1][1])[:, 0]
+    got = net.predict(model, spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double")).collect()
+    assert [r["predict"] for r in got] == pytest.approx(want.tolist())
+    assert net.score(net.predict(model, df), "z") > -0.3 and net.predict(model, df).count() == 2001
+    assert net.predict(model, df.limit(0)).count() == 0
+
+
+def test_cascade_over_blocks_builds_the_rest_for_unsure_rows_alone(spark):
+    rows = spark.createDataFrame([(i, float(i), float(i % 7)) for i in range(100)], "row_id long, a double, b double")
+    seen = spark.sparkContext.accumulator(0)
+
+    def second(given):
+        def count(x):
+            seen.add(1)
+            return x
+
+        counted = given.withColumn("b", F.udf(count, "double")("b"))
+        return counted.select("row_id", F.lit(1).alias("idx"), F.col("b").alias("value"))
+
+    plan = blocks.BlockPlan("row_id", (blocks.Block("a", lambda r: r.select("row_id", F.lit(0).alias("idx"), F.col("a").alias("value")), 1), blocks.Block("b", second, 3)))
+
+    def model(weights, intercept):
+        return blocks.SparseModel(spark.createDataFrame(weights, "idx int, weight double"), intercept)
+
+    made = blocks.BlockCascade(plan, ["a"], model([(0, 0.1)], -5.0), model([(0, 0.1), (2, -1.0)], -3.0), 0.7)
+    got = {r["row_id"]: (r["predict"], r["answered_by"]) for r in made.batch(rows).collect()}
+    unsure = [i for i in range(100) if 0.3 <= 1 / (1 + np.exp(5 - 0.1 * i)) <= 0.7]
+    assert seen.value == len(unsure) > 0 and len(got) == 100
+    for i in range(100):
+        want = (int(0.1 * i - i % 7 - 3.0 > 0), "big") if i in unsure else (int(i > 50), "small")
+        assert got[i] == want
+    assert made.held and made.release() is None and not made.held
+    with pytest.raises(ValueError):
+        plan.stack(rows, [])
+
+
+def test_stored_frames_are_freed(trained, easy_and_hard):
+    with cascade.CascadeExecutor(toy_plan(), toy_callbacks(), trained) as run:
+        out = run.batch(easy_and_hard)
+        assert out.count() == 1000 and run.held[0].is_cached
+        held = run.held[0]
+    assert not held.is_cached and not run.held and out.count() == 1000
 
 
 def test_auc_with_ties_and_one_class(spark):
@@ -194,6 +267,50 @@ def test_auc_with_ties_and_one_class(spark):
     assert np.isnan(metrics.auc(df.where("y = 1"), "y", "s"))
 
 
+def exact_auc(y, s):
+    order = np.argsort(s, kind="stable")
+    _, inverse, n = np.unique(s, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(n) - (n - 1) / 2)[inverse]
+    p = y.sum()
+    return (rank[y == 1].sum() - p * (p + 1) / 2) / (p * (len(y) - p)) if len(order) else np.nan
+
+
+def test_auc_of_a_million_scores_is_exact_and_stable(spark, tmp_path):
+    u = F.pmod(F.xxhash64("id"), F.lit(2**40)) / 2.0**40
+    rows = spark.range(1_200_000).select(F.when(F.col("id") % 6 == 0, F.round(u, 2)).otherwise(u).alias("s"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1000)) < 200 + 300 * u).cast("int").alias("y"))
+    rows.write.parquet(str(tmp_path / "scores"))
+    df = spark.read.parquet(str(tmp_path / "scores"))
+    got = df.toArrow()
+    want = exact_auc(got.column("y").to_numpy(), got.column("s").to_numpy())
+    assert df.select("s").distinct().count() > 10**6
+    for parts in ("4", "23", "4"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert metrics.auc(df, "y", "s") == pytest.approx(want, abs=1e-12)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_ranges_follow_from_values(spark):
+    values = [-1.5, 0.0, 0.0, 2.0, 7.5, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for bounds in ([], [0.0], [-1.0, 0.0, 2.0, 3.0, 8.0], [float(i) / 8 for i in range(100)]):
+        got = [r[0] for r in df.select(ranks.range_number(F.col("v"), bounds)).collect()]
+        assert got == [0 if v is None else len(bounds) if v != v else sum(b <= v for b in bounds) for v in values]
+    assert ranks.range_bounds(df.where("v < 9").distinct(), "v", 2, 2) in ([0.0], [2.0], [7.5]) and ranks.range_bounds(df.limit(0), "v", 4) == []
+    texts = spark.createDataFrame([(c,) for c in "hgfedcba"], "v string")
+    assert len(ranks.range_bounds(texts, "v", 4, 2)) == 3
+
+
+def test_broadcast_only_of_what_the_plan_bounds(spark):
+    def hinted(df):
+        return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+    assert hinted(ranks.bounded(ranks.small_table(spark, [(1,), (2,)], "a int"))) and hinted(ranks.bounded(spark.range(10**7).limit(5)))
+    assert not hinted(ranks.bounded(spark.range(10**7))) and not hinted(ranks.bounded(spark.range(10**7).limit(50), 49))
+    assert not hinted(ranks.bounded(spark.range(100).groupBy((F.col("id") % 7).alias("a")).count(), 10))
+
+
 def test_running_totals(spark):
     df = spark.range(1000).selectExpr("id as k", "1 as v")
     assert [r[0] for r in ranks.running_totals(df, "k", "v", "t").orderBy("k").select("t").collect()] == list(range(1, 1001))

@@ -109,3 +109,17 @@ def test_empty_tables(data, meta):
     assert [r[0] for r in rel.lookup_join(data, meta.limit(0), "key").select("m1").collect()] == [0.0] * 5
     assert rel.agg_features(none, ["key"], {"data1": ["sum"]}, "p").count() == 0
     assert rel.popularity_features(none, "key", F.lit(True), "p").count() == 0
+
+
+def test_factorize_and_sparse_one_hot_of_many_values(spark):
+    rows = [(i, None if i % 50 == 0 else f"v{(i * 7919) % 997}") for i in range(5000)]
+    df = spark.createDataFrame(rows, "id long, v string").repartition(7)
+    codes, want = {}, {}
+    for i, v in rows:
+        want[i] = -1 if v is None else codes.setdefault(v, len(codes))
+    assert {r["id"]: r["code"] for r in rel.factorize(df, "v", "id", "code").collect()} == want
+    place = {v: i for i, v in enumerate(sorted(codes), 1)}
+    assert {r["id"]: (r["idx"], r["value"]) for r in rel.one_hot_sparse(df, "v", "id").collect()} == {i: (place.get(v, 0), 1) for i, v in rows}
+    with pytest.raises(ValueError):
+        rel.one_hot(df, "v", most=100)
+    assert rel.one_hot_sparse(df.limit(0), "v", "id").count() == 0

@@ -39,6 +39,14 @@ def test_feature_store(spark):
     assert store.point("users", "k", 2) == {"k": 2, "f": 0.7} and store.point("users", "k", 9) is None
 
 
+def test_feature_store_in_a_folder(spark):
+    store = io.FeatureStore(spark, folder=io.shared_folder(spark))
+    for shift in (0, 5):
+        store.load("shifted", spark.range(10).selectExpr("id as k", f"id + {shift} as v"), "k")
+    assert store.point("shifted", "k", 3)["v"] == 8 and store.point("shifted", "k", 99) is None
+    assert store.batch("shifted", spark.createDataFrame([(1,), (77,)], "k long"), "k").where("v is null").count() == 1
+
+
 def test_cached_map_calls_once_per_argument(spark):
     calls = spark.sparkContext.accumulator(0)
 

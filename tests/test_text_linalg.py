@@ -43,6 +43,27 @@ def test_char_counts_overlap(docs, spark):
     assert got == want
 
 
+@pytest.mark.parametrize("terms", [["th", "he", "the", "o", "  ", "é ", "\n", "aa", "a", ".*", "x|y", "[", "\\Q"], ["dog"], ["é", "èé"]])
+def test_known_grams_are_the_grams_in_the_vocabulary(spark, terms):
+    texts = [*MESSY, "aaaa aa", "x|y .* [\\Q", "🎉aa🎉", "the" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, t string")
+    vocab = text.vocabulary(spark, terms)
+    got = sparse(text.count_vectorize(text.known_grams(df, "row_id", "t", terms), "row_id", vocab))
+    assert got == sparse(text.count_vectorize(text.grams(df, "row_id", "t", "char", (1, 3)), "row_id", vocab))
+    lower = [t for t in terms if t == t.lower()]
+    assert text.known_grams(df, "row_id", "t", lower, lowercase=True).count() >= text.known_grams(df, "row_id", "t", lower).count()
+
+
+def test_counts_give_what_occurrences_give(docs):
+    grams = text.grams(docs, "row_id", "t", "char", (1, 2))
+    counts = text.document_counts(grams, "row_id")
+    vocab = text.fit_vocabulary(counts, "row_id", len(MESSY), max_features=20)
+    assert vocab.collect() == text.fit_vocabulary(grams, "row_id", len(MESSY), max_features=20).collect()
+    assert sparse(text.count_vectorize(counts, "row_id", vocab)) == sparse(text.count_vectorize(grams, "row_id", vocab))
+    one, other = (sparse(text.tfidf(x, "row_id", vocab)) for x in (counts, grams))
+    assert one == pytest.approx(other)
+
+
 def test_fitted_tfidf_against_plain_python(docs):
     grams = text.grams(docs, "row_id", "t", "char", (2, 3))
     vocab = text.fit_vocabulary(grams, "row_id", len(MESSY), min_df=2)
