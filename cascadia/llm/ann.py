@@ -5,8 +5,8 @@ vectors first and builds a graph, then the queries stream through it in blocks,
 with random edges; batches of points are searched for greedily on the graph so far, and relaxed distance
 pruning picks their out-edges from what the search met, dropping a candidate that an edge kept reaches ``alpha``
 times closer; reverse edges are added and pruned alike. Every query is searched by a beam on every shard of its length,
-each shard returns its best, and the best of all shards are kept, with cosines computed anew in double precision. A shard's search
-grows with the logarithm of its size, so large shards keep the work of a query small; recall against shard size is in the README.
+each shard returns its best, and the best of all shards are kept, with cosines computed anew in double precision. Larger shards need a wider
+beam for the same recall; the README has recall against both.
 
 Every row is indexed, and vectors of every length are: a length has shards and queries of its own, as cosines exist only within a length.
 Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows without an id. Repeated ids are separate candidates of the same id; a row is no candidate for its own id. Ties go to the smaller id. An empty table
@@ -29,7 +29,7 @@ SEEDS = 32
 class PrunedGraph:
     """Directed graph over unit vectors; distances are Euclidean, so the order is that of cosines."""
 
-    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 48, alpha: float = 1.2, passes: int = 1, spare: int = 16, seed: int = 9):
+    def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 24, alpha: float = 1.2, passes: int = 1, spare: int = 16, seed: int = 9):
         self.x, self.degree, self.alpha = x.astype(np.float32), degree, alpha
         n, rng = len(x), np.random.default_rng(seed)
         self.edges = np.full((n, degree + spare), -1, np.int64)
@@ -94,15 +94,16 @@ class PrunedGraph:
         """(ids, similarities) of the ``beam`` nearest met for each query, -1 where there are fewer; all queries in lockstep."""
         q, n = queries.astype(np.float32), len(self.x)
         m, rows = len(q), np.arange(len(q))
-        seen = np.zeros((m, n + 1), bool)
-        seen[:, -1] = True  # id -1
+        at_row = (rows * (n + 1))[:, None]
+        seen = np.zeros(m * (n + 1), bool)
+        seen[at_row.ravel() + n] = True  # id -1
         ids = np.full((m, beam), -1, np.int64)
         sims = np.full((m, beam), -np.inf, np.float32)
         done = np.ones((m, beam), bool)
         fresh = np.broadcast_to(self.seeds, (m, len(self.seeds)))
         while True:
-            seen[rows[:, None], fresh] = True
-            s = np.einsum("qd,qcd->qc", q, self.x[fresh])
+            seen[(at_row + np.where(fresh < 0, n, fresh)).ravel()] = True
+            s = np.einsum("qd,qcd->qc", q, self.x.take(fresh, 0, mode="wrap"))
             s[fresh < 0] = -np.inf
             ids, sims = np.concatenate([ids, fresh], 1), np.concatenate([sims, s], 1)
             done = np.concatenate([done, fresh < 0], 1)
@@ -114,17 +115,16 @@ class PrunedGraph:
             at = np.argpartition(-open_sims, width - 1, 1)[:, :width] if beam > width else np.argsort(-open_sims, 1)[:, :width]
             chosen = np.where(np.take_along_axis(done, at, 1), -1, np.take_along_axis(ids, at, 1))
             np.put_along_axis(done, at, True, 1)
-            fresh = np.where(chosen[:, :, None] >= 0, self.edges[chosen], -1).reshape(m, -1)
-            fresh = np.where(seen[rows[:, None], fresh], -1, fresh)
+            fresh = np.where(chosen[:, :, None] >= 0, self.edges.take(chosen, 0, mode="wrap"), -1).reshape(m, -1)
+            fresh = np.where(seen.take((at_row + np.where(fresh < 0, n, fresh)).ravel()).reshape(fresh.shape), -1, fresh)
             fresh = np.sort(fresh, 1)
             fresh[:, 1:][fresh[:, 1:] == fresh[:, :-1]] = -1
-            fresh = fresh[:, (fresh >= 0).any(0)]
-            if not fresh.shape[1]:
-                fresh = np.full((m, 1), -1, np.int64)
+            # as few columns as the query with the most new points needs
+            fresh = np.sort(fresh, 1)[:, fresh.shape[1] - max(1, int((fresh >= 0).sum(1).max())) :]
         return ids, sims
 
 
-def nearest(frame: DataFrame, k: int = 5, every: int = 50, shard_bytes: int = 8 << 20, query_block: int = 256, beam: int = 96) -> DataFrame:
+def nearest(frame: DataFrame, k: int = 5, every: int = 50, shard_bytes: int = 2 << 20, query_block: int = 256, beam: int = 96) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by ``every``."""
     rows = frame.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
     rows = rows.where(F.size("embedding") > 0)
