@@ -170,6 +170,31 @@ def test_simhash_groups(spark):
     assert simhash.simhash_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 3])
+def test_links_of_fingerprints_that_share_segments(spark, hot):
+    """Many fingerprints with equal halves: the pair of segments is a hot key."""
+    r = np.random.default_rng(7)
+    low = np.unique(r.integers(0, 2**32, 150).astype(np.uint64))
+    low = np.unique(np.r_[low, low[:60] ^ np.uint64(1 << 5), low[:40] ^ np.uint64(1 << 31 | 1), low[:30] ^ np.uint64(7)])
+    codes = np.unique(np.r_[low | np.uint64(0xABCD123400000000), r.integers(0, 2**63, 40).astype(np.uint64)])
+    df = spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")
+    got = {(r["a"], r["b"]) for r in simhash.fingerprint_links(df, hot=hot).collect()}
+    signed = codes.view(np.int64).tolist()
+    near = [(a, b) for i, a in enumerate(signed) for b in signed[:i] if bin((a ^ b) & (2**64 - 1)).count("1") <= 2]
+    assert near and got and all(bin((a ^ b) & (2**64 - 1)).count("1") > 0 for a, b in got)
+    assert union_find(signed, got) == union_find(signed, near)
+    coarse, finer = simhash.routes()
+    assert all((f & c) == c and bin(f).count("1") in (42, 43) for c, own in zip(coarse, finer) for f in own)
+
+
+def test_simhash_of_a_very_long_text(spark):
+    r = random.Random(11)
+    long = " ".join(str(r.randrange(10**6)) for _ in range(200_000))
+    docs = [(3, long), (1, long + " tail"), (2, "short")]
+    out = {x["doc_id"]: (x["fingerprint"], x["component_id"]) for x in simhash.simhash_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert out[3] == (f"{brute_print(long):016x}", 1) and out[1][1] == 1 and out[2][1] == 2
+
+
 # --- repeated passages ---
 
 

@@ -422,6 +422,19 @@ def test_nearest_small_and_empty(spark):
     assert got == want
 
 
+def test_nearest_of_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 60, rng.normal(size=6).tolist()) for i in range(150)]
+    got = sorted(tuple(r) for r in ann.nearest(spark.createDataFrame([*rows, *rows[:3]], "vec_id long, embedding array<double>"), every=25).collect())
+    x = np.array([v for _, v in rows + rows[:3]])
+    x, ids = x / np.linalg.norm(x, axis=1, keepdims=True), np.array([i for i, _ in rows + rows[:3]])
+    assert {q for q, *_ in got} == {0, 25, 50}
+    for q in (25, 50):
+        # rows of one id share its ranks; the best of all their candidates stay
+        every = sorted(((-float(x[a] @ x[b]), int(ids[b])) for a in np.flatnonzero(ids == q) for b in np.flatnonzero(ids != q)))[:5]
+        assert [(r[1], r[2], r[3]) for r in got if r[0] == q] == [(n, i, pytest.approx(-s)) for n, (s, i) in enumerate(every, 1)]
+
+
 def test_nearest_of_several_lengths(spark):
     rng = np.random.default_rng(3)
     lengths = {8: range(200), 5: range(200, 300), 300: range(300, 340), 9: [350]}
@@ -450,6 +463,8 @@ def test_classifiers_on_held_out_rows(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in found]) > 0.97
     found = [r for r in queries.op3_quality(spark, SF01).collect() if r["held_out"] and r["doc_id"] in labels]
     assert np.mean([r["predicted"] == labels[r["doc_id"]]["quality"] for r in found]) > 0.95
+    found = [(r["predicted"], labels[r["doc_id"]]["toxic"]) for r in queries.op8_toxicity(spark, SF01).collect() if r["held_out"] and r["doc_id"] in labels]
+    assert np.mean([p for p, toxic in found if toxic]) > 0.8 and np.mean([p for p, toxic in found if not toxic]) < 0.03
 
 
 def test_ann_recall_on_the_table(spark):
