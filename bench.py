@@ -14,8 +14,8 @@ sys.path.insert(0, HERE)
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-#: The full model on all rows against the cascade and the exact top-K against the pruned one, then feature queries.
-HEADLINE = ["cascade_t1_equals_full", "cascade_batch_fixed", "topk_exact", "topk_cascade_fixed", "star_join_dependent", "agg_features_multi", "two_level_agg", "popularity_features", "char_tfidf", "word_tfidf", "linear_score_join", "udf_cached_dedup", "auc_exact"]
+#: The full model on all rows against the cascade and the exact top-K against the pruned one, then feature queries, then both cascades over text blocks.
+HEADLINE = ["cascade_t1_equals_full", "cascade_batch_fixed", "topk_exact", "topk_cascade_fixed", "star_join_dependent", "agg_features_multi", "two_level_agg", "popularity_features", "char_tfidf", "word_tfidf", "linear_score_join", "udf_cached_dedup", "auc_exact", "cascade_text_blocks_full", "cascade_text_blocks"]
 
 
 def main() -> None:
