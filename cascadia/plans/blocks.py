@@ -64,8 +64,11 @@ class BlockCascade:
             self.held.pop().unpersist()
 
     def batch(self, rows: DataFrame) -> DataFrame:
-        """row_id, predict, answered_by for each row; ids must be unique."""
+        """row_id, predict, answered_by for each row; ids must be unique. At a threshold of 1 no probability is sure and the full model answers alone."""
         key, rest = self.plan.row_id, [b.name for b in self.plan.blocks if b.name not in self.cheap]
+        if self.threshold >= 1:
+            every = linear_sparse(rows, key, self.plan.stack(rows, [*self.cheap, *rest]), self.big.weights, self.big.intercept)
+            return every.select(key, classify(F.col("score")).alias("predict"), F.lit("big").alias("answered_by"))
         features = self._hold(self.plan.stack(rows, self.cheap))
         scored = linear_sparse(rows, key, features, self.small.weights, self.small.intercept)
         state = self._hold(scored.select(key, tri_state(logistic(F.col("score")), self.threshold).alias("state")))

@@ -88,7 +88,10 @@ class CascadeExecutor:
         return self.small(rows).withColumn("small_label", tri_state(F.col("predict_proba"), self.threshold))
 
     def batch(self, rows: DataFrame, keep: bool = True, detail: bool = False) -> DataFrame:
-        """row_id, predict (and answered_by) for each row. ``keep`` stores the small model's result, which both branches read, until ``release``."""
+        """row_id, predict (and answered_by) for each row. At a threshold of 1 no probability is sure and the full model answers alone. ``keep`` stores the small model's result, which both branches read, until ``release``."""
+        if self.threshold >= 1:
+            every = self.big(rows).withColumn("predict", F.col("predict").cast("double"))
+            return every.withColumn("answered_by", F.lit("big")) if detail else every
         scored = self.hold(self.labelled(rows)) if keep else self.labelled(rows)
         hard = scored.where(F.col("small_label") == UNSURE).drop("predict_proba", "small_label")
         big = self.big(hard)
