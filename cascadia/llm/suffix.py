@@ -126,7 +126,7 @@ def _ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     order = np.argsort(keys)
     ordered = keys[order]
     new = np.cumsum(np.r_[False, ordered[1:] != ordered[:-1]])
-    rank = np.empty(len(keys), np.int64)
+    rank = np.empty(len(keys), np.int32)
     rank[order] = new
     return order, rank, int(new[-1]) + 1
 
@@ -159,7 +159,7 @@ class RunLengthIndex:
         rank[stops] = np.arange(len(stops))
         levels, k = [rank], 7
         while classes < n:
-            order, rank, classes = _ranked(rank << 32 | ahead(rank, k))
+            order, rank, classes = _ranked(rank.astype(np.int64) << 32 | ahead(rank, k))
             levels.append(rank)
             k *= 2
         i, j = order[:-1], order[1:]
@@ -371,7 +371,7 @@ def dedup(docs: DataFrame, group_bytes: int | None = None, keep_text: bool = Fal
     total = rows.agg(F.sum(F.length("body").cast("long"))).first()[0] or 0
     group_bytes = group_bytes or sizes_for(total)
     n_groups = max(shuffle_partitions(spark), -(-total // group_bytes))
-    n_buckets = max(shuffle_partitions(spark), -(-total // (2 * group_bytes)))
+    n_buckets = n_groups
     # a repeated id isn't one group's alone; equal rows are few by the time they are sent
     pid = F.pmod(F.xxhash64("doc_id", "body"), F.lit(n_groups)).cast("int")
 
