@@ -51,7 +51,7 @@ def shape(token: str) -> str:
 
 
 class PassageEncoder:
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.known, self.rows, self.table = most, {}, [], None
 
     def _learn(self, token: str) -> int:

@@ -38,6 +38,8 @@ from .common import shuffle_partitions
 SPAN, GRAM, HOT, MOST_WINDOWS = 50, 25, 2048, 63
 #: Bytes of a long text that are read at once.
 PIECE = 1 << 20
+#: Bytes of contexts that one index is made for.
+INDEXED = 1 << 19
 U = np.uint64
 _MIX = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)]
 _LOW48 = U((1 << 48) - 1)
@@ -254,7 +256,7 @@ def earlier_strings(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
 
     Contexts can only share a string if they share their minimizer. Those of all documents but a minimizer's last one are indexed, and those
     of all but its first one are streamed through the index. A match of SPAN bytes or more leads to a position, and the smallest
-    document that has the same bytes is known there.
+    document that has the same bytes is known there. Minimizers are taken together up to about ``INDEXED`` bytes, which bounds an index.
     """
     sizes = np.array([len(c) - SPAN + 1 for c in contexts], np.int64)
     edges = np.r_[0, np.cumsum(sizes)]
@@ -265,8 +267,13 @@ def earlier_strings(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
     number[order] = _places_within(group[order], docs[order])
     last = np.zeros(len(contexts), np.int64)
     np.maximum.at(last, group, number)
-    reference, asked = np.flatnonzero(number < last[group]), np.flatnonzero(number > 0)
-    if len(asked):
+    order = order[last[group[order]] > 0]
+    if not len(order):
+        return earlier
+    heads = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0])
+    before = np.cumsum(sizes[order] + SPAN)[heads] // INDEXED
+    for own in np.split(order, heads[1:][np.diff(before) > 0]):
+        reference, asked = own[number[own] < last[group[own]]], own[number[own] > 0]
         index = RunLengthIndex([contexts[i] for i in reference], docs[reference])
         matched, place = index.matching_statistics([contexts[i] for i in asked])
         n = sizes[asked]
