@@ -281,7 +281,9 @@ def test_matching_statistics_against_search(letters):
     assert len(index.run_start) < index.n / 10 and index.earliest[:20].max() == index.earliest[77 * 30 : 77 * 30 + 20].max() == 0
 
 
-def test_earlier_strings_against_search():
+@pytest.mark.parametrize("indexed", [1 << 19, 700])
+def test_earlier_strings_against_search(monkeypatch, indexed):
+    monkeypatch.setattr(suffix, "INDEXED", indexed)
     r = random.Random(5)
     base = ["".join(r.choice("abcdefghijklmnop") for _ in range(400)) for _ in range(3)]
     bodies = []
