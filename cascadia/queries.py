@@ -631,6 +631,40 @@ def scaled_component(spark, d):
     return made.select("p_partkey", F.round(F.abs(vector_to_array("components")[0]), 4).alias("component"))
 
 
+@query(
+    "SELECT p_partkey, component FROM (WITH m AS (SELECT covar_pop(p_size, p_size) AS a, covar_pop(p_size, ln(p_retailprice)) AS b, covar_pop(ln(p_retailprice), ln(p_retailprice)) AS c FROM part), "
+    "e AS (SELECT b AS x, (c - a + sqrt((a - c) * (a - c) + 4 * b * b)) / 2 AS y FROM m), z AS (SELECT p_partkey, p_size * x + ln(p_retailprice) * y AS z FROM part, e) "
+    "SELECT p_partkey, round(abs(z - avg(z) OVER ()) / stddev_pop(z) OVER (), 4) AS component FROM z)"
+)
+def saved_model(spark, d):
+    """The same from a model that was saved and loaded."""
+    rows = read_table(spark, d, "part").select("p_partkey", "p_size", F.log("p_retailprice").alias("price"))
+    place = io.shared_folder(spark)
+    models.save(models.scaled_components(rows, ["p_size", "price"], 1), place)
+    return models.load(place).transform(rows).select("p_partkey", F.round(F.abs(vector_to_array("components")[0]), 4).alias("component"))
+
+
+@query(f"SELECT o_orderkey, n_lines, qty FROM {_FACTS_SQL} WHERE NOT ({_SMALL_P} > {_THRESHOLD} OR {_SMALL_P} < 1 - {_THRESHOLD})")
+def shortened_rows(spark, d):
+    """The remaining features, built for rows alone that the small model leaves unsure."""
+    run = _executor(spark, d)
+    hard = run.labelled(_orders(spark, d)).where(F.col("small_label") == cascade.UNSURE)
+    return run.plan.build(hard.drop("predict_proba", "small_label"), ["lines"]).select("o_orderkey", "n_lines", "qty")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{','.join(_GROUPS[g])}', {c}::DOUBLE, {i})" for i, (g, c) in enumerate(_COSTS.items())) + ") AS v(feature_group, columns, cost, place)")
+def plan_inputs_and_costs(spark, d):
+    """Each group's columns and declared cost."""
+    plan = _plan(spark, d)
+    costs = plan.costs(_orders(spark, d))
+    return spark.createDataFrame([(g.name, ",".join(plan.columns([g.name])), costs[g.name], i) for i, g in enumerate(plan.groups)], "feature_group string, columns string, cost double, place int")
+
+
+@query(f"WITH {_BASE_SQL} SELECT round(avg((({_LINEAR_SQL} > 0)::INT = truth)::INT), 6) AS accuracy FROM labelled")
+def accuracy_of_labels(spark, d):
+    return cascade.linear_callbacks().predict(_BIG, _labelled(spark, d)).agg(F.round(metrics.accuracy(F.col("truth"), F.col("predict")), 6).alias("accuracy"))
+
+
 # --- text sources and the feature store ---------------------------------------------------------------------------
 
 
@@ -711,6 +745,35 @@ def udf_async_map(spark, d):
     return udf.async_map(read_table(spark, d, "events").select("event_id", "event_type", "user_id"), _weigh, ["event_type", "user_id"], "weight", "double").select("event_id", "weight")
 
 
+@query("SELECT event_id, length(event_type) + (user_id % 7) / 2 AS weight, round(value * 2, 6) AS doubled FROM events")
+def udf_lru_and_vectorized(spark, d):
+    """A cache for each task, and a function of whole columns."""
+    rows = read_table(spark, d, "events").select("event_id", "event_type", "user_id", "value")
+    doubled = udf.vectorized(lambda x: x * 2, "double")
+    return udf.lru_map(rows, _weigh, ["event_type", "user_id"], "weight", "double").select("event_id", "weight", F.round(doubled("value"), 6).alias("doubled"))
+
+
+@query("SELECT o_orderkey AS key, o_totalprice AS price FROM orders")
+def rename_and_drop(spark, d):
+    return read_table(spark, d, "orders").withColumnsRenamed({"o_orderkey": "key", "o_totalprice": "price"}).drop("o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+
+
+@query("SELECT r_regionkey, r_name, r_regionkey * 1.5::DOUBLE AS weight FROM region")
+def memory_table(spark, d):
+    """A frame in memory as a table."""
+    frame = read_table(spark, d, "region").toPandas()
+    return io.from_memory(spark, frame.assign(weight=frame["r_regionkey"] * 1.5), "r_regionkey int, r_name string, weight double")
+
+
+@query("SELECT 0.7::DOUBLE AS threshold, 'price,customer' AS important")
+def saved_settings(spark, d):
+    """A cascade's settings, written and read as JSON."""
+    place = io.shared_folder(spark)
+    io.save_json(spark, cascade.fixed(_SMALL, _BIG, ["price", "customer"], _THRESHOLD).settings(), place)
+    found = io.load_json(spark, place)
+    return spark.createDataFrame([(found["threshold"], ",".join(found["important"]))], "threshold double, important string")
+
+
 # --- trained models: no SQL has them --------------------------------------------------------------------------
 
 
