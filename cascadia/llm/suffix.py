@@ -42,7 +42,8 @@ PIECE = 1 << 20
 INDEXED = 1 << 19
 U = np.uint64
 _MIX = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)]
-_LOW48 = U((1 << 48) - 1)
+_LOW48, _LOW32 = U((1 << 48) - 1), U((1 << 32) - 1)
+_HIGH32 = ~_LOW32
 
 
 def gram_hashes(buf: np.ndarray, n: int) -> np.ndarray:
@@ -243,6 +244,31 @@ def minimizers(contexts: list[bytes]) -> np.ndarray:
     return np.minimum.reduceat(np.r_[hashes, np.full(GRAM, U(2**64 - 1))], np.stack([starts, starts + SPAN - GRAM + 1], 1).ravel())[::2]
 
 
+def sharing(contexts: list[bytes], block: int = 1 << 17) -> np.ndarray:
+    """Contexts that may hold a string of another one: 32 bits of a hash of each string tell. No context that does is left out.
+
+    A string takes 8 bytes here; hashes are made for about ``block`` bytes at once.
+    """
+    lengths = np.array([len(c) for c in contexts], np.int64)
+    edges = np.r_[0, np.cumsum(lengths - SPAN + 1)]
+    strings = np.empty(edges[-1], U)
+    parts = np.flatnonzero(np.r_[True, np.diff((np.cumsum(lengths) - lengths) // block) > 0, True]) if len(lengths) else [0]
+    for i, j in zip(parts[:-1], parts[1:]):
+        n = lengths[i:j] - SPAN + 1
+        at = np.arange(n.sum()) + np.repeat(np.arange(j - i) * (SPAN - 1), n)
+        hashes = gram_hashes(np.frombuffer(b"".join(contexts[i:j]), np.uint8), SPAN)[at]
+        strings[edges[i] : edges[j]] = hashes & _HIGH32 | np.repeat(np.arange(i, j, dtype=U), n)
+    strings.sort()
+    found = np.zeros(len(contexts), bool)
+    for a in range(0, len(strings) - 1, 1 << 20):
+        own = strings[a : a + (1 << 20) + 1]
+        both = own[1:] ^ own[:-1]
+        twice = np.flatnonzero((both >> U(32) == 0) & (both != 0))
+        found[(own[twice] & _LOW32).astype(np.int64)] = True
+        found[(own[twice + 1] & _LOW32).astype(np.int64)] = True
+    return np.flatnonzero(found)
+
+
 def _places_within(group: np.ndarray, value: np.ndarray) -> np.ndarray:
     """The dense rank of each value within its group; rows are in order of both."""
     other = np.r_[False, (group[1:] != group[:-1]) | (value[1:] != value[:-1])]
@@ -257,10 +283,15 @@ def earlier_strings(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
     Contexts can only share a string if they share their minimizer. Those of all documents but a minimizer's last one are indexed, and those
     of all but its first one are streamed through the index. A match of SPAN bytes or more leads to a position, and the smallest
     document that has the same bytes is known there. Minimizers are taken together up to about ``INDEXED`` bytes, which bounds an index.
+    Most contexts share a minimizer and no whole string; those that no hash of a string joins with another are left out at the start.
     """
-    sizes = np.array([len(c) - SPAN + 1 for c in contexts], np.int64)
-    edges = np.r_[0, np.cumsum(sizes)]
+    edges = np.r_[0, np.cumsum([len(c) - SPAN + 1 for c in contexts])].astype(np.int64)
     earlier = np.zeros(edges[-1], bool)
+    shared = sharing(contexts)
+    if not len(shared):
+        return earlier
+    contexts, docs, edges = [contexts[i] for i in shared], docs[shared], edges[shared]
+    sizes = np.array([len(c) - SPAN + 1 for c in contexts], np.int64)
     group = np.unique(minimizers(contexts), return_inverse=True)[1]
     order = np.lexsort((docs, group))
     number = np.zeros(len(contexts), np.int64)

@@ -302,6 +302,32 @@ def test_earlier_strings_against_search(monkeypatch, indexed):
     assert got.tolist() == [starts[t[i : i + 50]] < d for t, d in first.items() for i in range(len(t) - 49)]
 
 
+def test_an_index_holds_only_contexts_that_share_a_string(monkeypatch):
+    r = random.Random(6)
+    piece = lambda n: bytes(r.choice(b"abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    short, whole = piece(40), piece(60)
+    bodies = [piece(300) + short + piece(300) for _ in range(80)] + [piece(300) + whole + piece(300) for _ in range(4)]
+    chunk, first = suffix.Chunk(bodies, 0), {}
+    for s, k, d in zip(chunk.at.tolist(), chunk.count.tolist(), chunk.doc.tolist()):
+        first.setdefault(chunk.bytes[s : s + k + 49], d)
+    contexts, docs, indexed = list(first), np.array(list(first.values())), []
+
+    class Index(suffix.RunLengthIndex):
+        def __init__(self, texts, docs):
+            indexed.extend(texts)
+            super().__init__(texts, docs)
+
+    monkeypatch.setattr(suffix, "RunLengthIndex", Index)
+    holders = Counter(x for c in contexts for x in {c[i : i + 50] for i in range(len(c) - 49)})
+    want = [i for i, c in enumerate(contexts) if any(holders[c[j : j + 50]] > 1 for j in range(len(c) - 49))]
+    assert want and all(suffix.sharing(contexts, block).tolist() == want for block in (1 << 17, 500))
+    earlier = suffix.earlier_strings(contexts, docs)
+    assert earlier.sum() > 0 and indexed and set(indexed) <= {contexts[i] for i in want}
+    indexed.clear()
+    alone = [i for i in range(len(contexts)) if docs[i] < 80]
+    assert not suffix.earlier_strings([contexts[i] for i in alone], docs[alone]).any() and not indexed
+
+
 # --- packing ---
 
 
