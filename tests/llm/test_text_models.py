@@ -1,5 +1,6 @@
 """Classifiers on held-out rows, pieces against brute force, licenses, nearest neighbours, and the registered queries."""
 
+import itertools
 import math
 import random
 import unicodedata
@@ -258,6 +259,42 @@ def test_examples_are_bounded():
     assert toxicity.example("") == ([], [])
 
 
+def test_long_labelled_texts_are_learnt_whole(spark):
+    words = ["".join(x) for x in itertools.product("abcdefghijklmnopqrst", repeat=4)]
+    # of the words with the largest hashes, which a smaller part of a long text would leave out
+    bad = max(("".join(x) for x in itertools.product("uvwxyz", repeat=4)), key=lambda w: zlib.crc32(w.encode()))
+    rows = [(i, " ".join([*words[1300 * i : 1300 * (i + 1)], *([bad] if i % 3 == 0 else [])]), int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    held = [(x["predicted"], rows[x["doc_id"]][2]) for x in toxicity.score_toxicity(docs, labels).collect() if x["held_out"]]
+    assert sum(y for _, y in held) > 5 and all(p == y for p, y in held)
+    # no feature is in enough rows
+    assert toxicity.fit([((["a"], []), 0), ((["b"], []), 1)]) == ({}, pytest.approx(0))
+
+
+def test_learning_equals_a_fit_of_all_features_and_swaps(spark):
+    r = random.Random(9)
+    terms = ["muslims", "women", "europeans", "muslim", "europe"]
+    rows = []
+    for i in range(90):
+        bad = i % 3 == 0
+        words = [f"{c}{d}{e}ation" for c in "abcdefgh" for d in "ijklmnop" for e in "qrstuvwxyz" if r.random() < 0.8]
+        mentions = [f"Some {r.choice(terms).title()} and {r.choice(terms)}, went {r.choice('abc')}.an" for _ in range(12 if i % 2 else 0)]
+        rows.append((i, " ".join(words) + ". " + ". ".join(mentions) + (". what an idiot." if bad else "."), int(bad)))
+
+    def whole(text):
+        pairs = [(toxicity.features(a), toxicity.features(b)) for a, b in toxicity.counterfactuals(text, terms, np.random.default_rng(1), swaps=len(terms))]
+        return sorted(toxicity.features(text)), [(sorted(b - a), sorted(a - b)) for a, b in pairs]
+
+    sample = [(whole(t), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert max(len(own) for (own, _), _ in sample) > toxicity.MOST_FEATURES and max(len(swaps) for (_, swaps), _ in sample) > toxicity.MOST_SWAPS
+    weights, intercept = toxicity.fit(sample)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    got, own = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), terms=terms)
+    assert own == pytest.approx(intercept, abs=1e-6) and "idiot" in got
+    assert all(got.get(f, 0) == pytest.approx(weights.get(f, 0), abs=1e-6) for f in {*got, *weights})
+
+
 def test_counterfactual_penalty_protects_neutral_mentions():
     r = random.Random(5)
     terms = ["muslims", "women", "europeans"]
