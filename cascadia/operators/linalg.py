@@ -24,6 +24,18 @@ def vector_binop(a: Column, op: str, b: Column, kind: str = "double") -> Column:
     return F.zip_with(a, b, lambda x, y: binop(x, op, y, kind))
 
 
+def rounded(c: Column | str, digits: int) -> Column:
+    """Rounded as SQL engines in binary arithmetic do: scaled, to the nearest whole number with halves away from 0, scaled back.
+
+    What rounds to 0 keeps its sign, so -0.0 stays apart from 0.0; what the scale makes infinite stays as it is.
+    """
+    c = (F.col(c) if isinstance(c, str) else c).cast("double")
+    scaled = c * F.lit(10.0**digits)
+    size = F.abs(scaled)
+    whole = F.rint(size) + (size - F.rint(size) == 0.5).cast("double")
+    return F.when(size == float("inf"), c).otherwise(F.signum(scaled) * whole / F.lit(10.0**digits))
+
+
 def dense(columns: Sequence[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in columns])
 

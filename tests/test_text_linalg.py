@@ -142,3 +142,27 @@ def test_dense_reshape_ratios(spark):
     v = linalg.dense(["a", "b", "c"])
     assert df.select(linalg.reshape(linalg.stack_dense(v, v), 3)).first()[0] == [[4, 9, -1], [4, 9, -1]]
     assert df.select(linalg.pair_ratios(v, [(0, 1), (1, 2)])).first()[0] == [4 / 3, None]
+
+
+def test_rounding_keeps_the_sign_of_zero_and_halves_go_away_from_zero(spark):
+    # 0.285 is scaled to 28.499999999999996, 1.005 to 100.49999999999999, and 2.675 to 267.5
+    given = [-0.001, 0.001, -0.0, 0.0, -0.125, 0.125, 0.375, 0.285, 1.005, 2.675, 1e305, -1e306, 4503599627370497.5, math.inf, -math.inf, math.nan, None]
+    want = [-0.0, 0.0, -0.0, 0.0, -0.13, 0.13, 0.38, 0.28, 1.0, 2.68, 1e305, -1e306, 4503599627370497.5, math.inf, -math.inf, math.nan, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "i int, x double").orderBy("i")
+    assert [str(r[0]) for r in df.select(linalg.rounded("x", 2)).collect()] == [str(x) for x in want]
+    assert [str(x) for x in df.coalesce(1).agg(F.collect_list("x").alias("v")).select(F.transform("v", lambda x: linalg.rounded(x, 2))).first()[0]] == [str(x) for x in want[:-1]]
+
+
+def test_dense_queries_round_to_zero_as_their_sql_does(spark, tmp_path):
+    import duckdb
+
+    from cascadia.queries import ORACLE_SQL, QUERIES
+
+    wide = [-4e-7, 0.25, 3e-7, 0.5] + [0.1] * 60
+    rows = [(0, wide, 1), (1, [-1e-6] + [0.5] * 63, None), (2, None, 3), (3, [-0.0, math.nan, math.inf, 0.0078125] * 16, 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("stack_dense_blocks",):
+        got = sorted(str(tuple(r)) for r in QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(str(r) for r in con.execute(ORACLE_SQL[name]).fetchall()), name
