@@ -1,20 +1,26 @@
 """Character and word n-gram features in long form: (row_id, idx, value).
 
 Where the vocabulary is given, only its own grams are looked for (``known_grams``) or grams meet it right behind their explode, so others never reach
-a shuffle. Where it is learnt, grams are counted by document once (``document_counts``), and both the vocabulary and the values come from these counts.
+a shuffle. Where it is learnt, grams are counted by document once (``document_counts``), and both the vocabulary and the values come from these counts;
+short character grams are so many that ``fitted_char_tfidf`` reads the texts twice instead, and only totals of grams reach a shuffle.
 A vocabulary is broadcast only if its plan bounds its rows, as a fitted one's ``max_features`` does.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .ranks import bounded, most_rows, small_table
 
 MOST_FEATURES, CHUNK = 1_000_000, 32
+#: A sign takes 21 bits, so three fit in a long; a text is counted by pieces of so many signs; a task holds so many rows of totals or output.
+SIGN_BITS, PACKED, PIECE, MOST_HELD = 21, 3, 1 << 17, 1 << 18
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -146,3 +152,140 @@ def tfidf(found: DataFrame, row_id: str, vocab: DataFrame) -> DataFrame:
     raw = _in_vocabulary(found, row_id, vocab, ["idx", "idf"]).select(row_id, "idx", (F.col("n") * F.col("idf")).alias("raw"))
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(row_id)))
     return raw.select(row_id, "idx", (F.col("raw") / norm).alias("value"))
+
+
+def _packed(signs: np.ndarray, low: int, high: int) -> Iterator[np.ndarray]:
+    """The grams of a text as longs in order, by pieces: signs from the highest bits on, each plus 1, so the longs are in the order of the grams' UTF-8."""
+    for start in range(0, len(signs), PIECE):
+        own = signs[start : start + PIECE + high - 1]
+        places = min(PIECE, len(own))
+        made, key = [], np.zeros(places, np.int64)
+        for n in range(1, min(high, len(own)) + 1):
+            last = min(places, len(own) - n + 1)
+            key = key[:last] | own[n - 1 : n - 1 + last] << SIGN_BITS * (PACKED - n)
+            if n >= low:
+                made.append(key)
+        if made:
+            keys = np.concatenate(made)
+            keys.sort()
+            yield keys
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys in order, and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], *(np.add.reduceat(v[order], first) for v in values)
+
+
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys and how often each occurs, of keys in order."""
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.diff(np.r_[first, len(keys)])
+
+
+def _gram_counts(text: str | None, low: int, high: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's grams and how often each occurs; with ``known``, grams in order, only those, as their places there."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if not text:
+        return none
+    found = []
+    for keys in _packed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1, low, high):
+        if known is None:
+            found.append(_counted(keys))
+        elif len(known) <= len(keys):
+            n = np.searchsorted(keys, known, "right") - np.searchsorted(keys, known)
+            at = np.flatnonzero(n)
+            found.append((at, n[at]))
+        else:
+            own, n = _counted(keys)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own
+            found.append((at[hit], n[hit]))
+        if len(found) > 16:
+            found = [_summed(*map(np.concatenate, zip(*found)))]
+    found = [f for f in found if len(f[0])]
+    return none if not found else found[0] if len(found) == 1 else _summed(*map(np.concatenate, zip(*found)))
+
+
+def _gram_totals(low: int, high: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For each gram of a task's texts in how many texts it is, and how often. A task with very many different grams tells a part of its totals several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def total() -> tuple[np.ndarray, ...]:
+            return _summed(*map(np.concatenate, zip(*held)))
+
+        for batch in batches:
+            for text in batch.column(1):
+                keys, n = _gram_counts(text.as_py(), low, high)
+                if len(keys):
+                    held.append((keys, np.ones_like(n), n))
+                    size += len(keys)
+                if size > MOST_HELD:
+                    held = [total()]
+                    size = len(held[0][0])
+                    if size > MOST_HELD // 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], ["key", "df", "tf"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in total()], ["key", "df", "tf"])
+
+    return run
+
+
+def _gram_rows(low: int, high: int, value: str, known: np.ndarray | None = None, idf: np.ndarray | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(row id, key, n) for each text's grams or, as places, the known ones; with ``idf`` the values of TF-IDF in place of counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, held, size = batch.column(0), batch.column(1), [], 0
+            for i in range(len(texts)):
+                keys, n = _gram_counts(texts[i].as_py(), low, high, known)
+                if idf is not None and len(keys):
+                    n = n * idf[keys]
+                    n = n / np.sqrt((n * n).sum())
+                if len(keys):
+                    held.append((np.full(len(keys), i), keys, n))
+                    size += len(keys)
+                if held and (size > MOST_HELD or i == len(texts) - 1):
+                    at, keys, n = map(np.concatenate, zip(*held))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(keys), pa.array(n)], [batch.schema.names[0], "key", value])
+                    held, size = [], 0
+
+    return run
+
+
+def fitted_char_tfidf(df: DataFrame, row_id: str, column: str, ngram_range: tuple[int, int], min_share: float = 0.0, max_features: int = MOST_FEATURES) -> DataFrame:
+    """(row_id, idx, value) by a vocabulary of character grams learnt from the rows: those in ``min_share`` of them, the most frequent ``max_features``, numbered alphabetically.
+
+    Grams of up to three signs are packed into longs and counted text by text: totals of each task are added up for the vocabulary, then each text is
+    counted again by it, without a shuffle. Rows that share an id are one document, so only their counts are brought together.
+    """
+    low, high = ngram_range
+    ids = df.groupBy(F.col(row_id).alias("_id")).agg(F.count(F.lit(1)).alias("_rows"))
+    n, most = ids.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.max("_rows")).first()
+    if high > PACKED:
+        counts = document_counts(grams(df, row_id, column, "char", ngram_range), row_id)
+        return tfidf(counts, row_id, fit_vocabulary(counts, row_id, n, math.ceil(n * min_share), max_features))
+    kind = dict(df.dtypes)[row_id]
+    single, several = df.select(row_id, collapse_spaces(F.col(column)).alias("_t")), None
+    if (most or 0) > 1:
+        shared = F.col(row_id).eqNullSafe(F.col("_id"))
+        again = ids.where("_rows > 1").select("_id")
+        single, several = single.join(again, shared, "left_anti"), single.join(again, shared, "left_semi")
+    totals = single.select(row_id, "_t").mapInArrow(_gram_totals(low, high), "key long, df long, tf long")
+    if several is not None:
+        counts = several.mapInArrow(_gram_rows(low, high, "n"), f"`{row_id}` {kind}, key long, n long").groupBy(row_id, "key").agg(F.sum("n").alias("n"))
+        totals = totals.unionByName(counts.groupBy("key").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")))
+    stats = totals.groupBy("key").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= math.ceil(n * min_share))
+    top = stats.orderBy(F.desc("tf"), "key").limit(max_features).select("key", smooth_idf(n, F.col("df")).alias("idf")).toArrow().sort_by("key")
+    known, idf = (top.column(c).to_numpy() for c in ("key", "idf"))
+    made = single.mapInArrow(_gram_rows(low, high, "value", known, idf), f"`{row_id}` {kind}, key long, value double")
+    if several is not None:
+        counts = several.mapInArrow(_gram_rows(low, high, "n", known), f"`{row_id}` {kind}, key long, n long").groupBy(row_id, "key").agg(F.sum("n").alias("n"))
+        numbered = small_table(df.sparkSession, [(i, i, float(x)) for i, x in enumerate(idf)], "key long, idx long, idf double")
+        made = made.unionByName(tfidf(counts.withColumnRenamed("key", "term"), row_id, numbered.withColumnRenamed("key", "term")).withColumnRenamed("idx", "key"))
+    return made.select(row_id, F.col("key").cast("int").alias("idx"), "value")

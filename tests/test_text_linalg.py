@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -166,3 +167,39 @@ def test_dense_queries_round_to_zero_as_their_sql_does(spark, tmp_path):
     for name in ("stack_dense_blocks", "wide_row_ratios"):
         got = sorted(str(tuple(r)) for r in QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted(str(r) for r in con.execute(ORACLE_SQL[name]).fetchall()), name
+
+
+@pytest.mark.parametrize("piece", [1, 2, 5, 1000])
+@pytest.mark.parametrize("low, high", [(1, 3), (2, 3), (1, 1)])
+def test_gram_counts_by_pieces(monkeypatch, piece, low, high):
+    monkeypatch.setattr(text, "PIECE", piece)
+    for t in ["the cat the dog", "a", "ab", "\x00🎉\x00🎉\U0010ffff", "z" * 99]:
+        want = Counter(t[i : i + n] for n in range(low, high + 1) for i in range(len(t) - n + 1))
+        keys, n = text._gram_counts(t, low, high)
+        unpacked = ["".join(chr((k >> s & (1 << 21) - 1) - 1) for s in (42, 21, 0) if k >> s & (1 << 21) - 1) for k in keys.tolist()]
+        assert unpacked == sorted(want) and n.tolist() == [want[g] for g in unpacked]
+        for known in (keys[::2], np.r_[keys, np.arange(2, 500) << 42 | 7]):
+            known = np.unique(known)
+            at, n = text._gram_counts(t, low, high, known)
+            assert dict(zip(known[at].tolist(), n.tolist())) == {k: want[g] for k, g in zip(keys.tolist(), unpacked) if k in known}
+
+
+@pytest.mark.parametrize("most, share, held", [(20, 0.0, 1 << 18), (1000, 0.0, 40), (12, 0.3, 1), (1000, 0.9, 1 << 18)])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_fitted_grams_are_those_of_the_counts(spark, monkeypatch, most, share, held, repeated):
+    monkeypatch.setattr(text, "MOST_HELD", held)
+    texts = [*MESSY, "aaaa aa", "a\x00b\x00", "🎉aa🎉\U0010ffff", "the cat " * 40, "zz" * 70]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "theta")] + [(3, "over the"), (3, "theatre"), (None, "cat")] * repeated
+    df = spark.createDataFrame(rows, "row_id long, t string").repartition(3)
+    counts = text.document_counts(text.grams(df, "row_id", "t", "char", (1, 3)), "row_id")
+    vocab = text.fit_vocabulary(counts, "row_id", len(rows), math.ceil(share * len(rows)), most)
+    want, got = (sparse(x) for x in (text.tfidf(counts, "row_id", vocab), text.fitted_char_tfidf(df, "row_id", "t", (1, 3), share, most)))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_fitted_grams_of_texts_dont_reach_a_shuffle(spark, tmp_path):
+    from cascadia.queries import QUERIES
+
+    spark.createDataFrame(list(enumerate(["the cat", "the dog", None] * 9)), "doc_id long, text string").coalesce(4).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = QUERIES["char_tfidf_fitted"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Aggregate", "Window", "Join"))
