@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -11,17 +12,27 @@ def auc_frame(df: DataFrame, label: str, score: str) -> DataFrame:
     Only different scores are sorted by rank: rows are counted by score first, and the running counts are of ranges
     of scores and then within each range, so no single task orders them all.
     """
-    from ..operators.ranks import running_totals
+    return _auc_of(_score_counts(df, label, score))
+
 
+def _score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
     counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("s"))
-    counts = counts.agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
+    return counts.agg(F.sum((F.col(label) == 1).cast("long")).alias("pos"), F.sum((F.col(label) != 1).cast("long")).alias("neg"))
+
+
+def _auc_of(counts: DataFrame) -> DataFrame:
+    from ..operators.ranks import running_totals
+
     run = running_totals(counts, "s", "neg", "below")
     total = run.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"), F.sum(F.col("pos") * (F.col("below") - F.col("neg") / 2.0)).alias("u"))
     return total.select(F.try_divide(F.col("u"), F.col("p") * F.col("n")).alias("auc"))
 
 
 def auc(df: DataFrame, label: str, score: str) -> float:
-    value = auc_frame(df, label, score).first()[0]
+    """The value of ``auc_frame``. Counts are stored meanwhile, so the rows are scored once."""
+    counts = _score_counts(df, label, score).persist(StorageLevel.MEMORY_AND_DISK)
+    value = _auc_of(counts).first()[0]
+    counts.unpersist()
     return float("nan") if value is None else float(value)
 
 

@@ -18,6 +18,25 @@ from .plan import FeaturePlan
 CUTOFFS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)
 THRESHOLDS = (0.6, 0.7, 0.8, 0.9, 1.0)
 LOSS_BUDGET, PRECISION, SAMPLES, NEEDED = 0.001, 0.95, 100, 99
+#: Stored rows are narrow, so a part of them may have this many.
+PART_ROWS = 100_000
+
+
+class Features:
+    """The row id, the label and all features of the rows, built once and stored until the end of the block.
+
+    Texts and other columns that features are built from aren't stored. ``rows`` has few parts: a fit of many passes costs as many tasks as there are parts.
+    """
+
+    def __init__(self, rows: DataFrame, plan: FeaturePlan, label: str):
+        self._held = plan.build(rows).select(plan.row_id, label, *plan.columns()).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def __enter__(self) -> DataFrame:
+        parts = max(self._held.sparkSession.sparkContext.defaultParallelism, -(-self._held.count() // PART_ROWS))
+        return self._held.coalesce(parts)
+
+    def __exit__(self, *_: object) -> None:
+        self._held.unpersist()
 
 
 def permuted(df: DataFrame, row_id: str, columns: Sequence[str], seed: int, bucket_rows: int = 200_000) -> DataFrame:
@@ -37,9 +56,10 @@ def permuted(df: DataFrame, row_id: str, columns: Sequence[str], seed: int, buck
 
 
 def importances(valid: DataFrame, plan: FeaturePlan, callbacks: Callbacks, model: object, label: str, seed: int = 42) -> dict[str, float]:
-    """How much the score falls when a group's columns are permuted together."""
-    base = callbacks.score(callbacks.predict(model, valid), label)
-    return {g.name: base - callbacks.score(callbacks.predict(model, permuted(valid, plan.row_id, g.columns, seed + i)), label) for i, g in enumerate(plan.groups)}
+    """How much the score falls when a group's columns are permuted together. The callbacks see the row id, the label and the features."""
+    with Features(valid, plan, label) as held:
+        base = callbacks.score(callbacks.predict(model, held), label)
+        return {g.name: base - callbacks.score(callbacks.predict(model, permuted(held, plan.row_id, g.columns, seed + i)), label) for i, g in enumerate(plan.groups)}
 
 
 def knapsack(values: Mapping[str, float], costs: Mapping[str, float], cutoff: float, scale: int = 1000) -> tuple[list[str], int]:

@@ -314,3 +314,26 @@ def test_broadcast_only_of_what_the_plan_bounds(spark):
 def test_running_totals(spark):
     df = spark.range(1000).selectExpr("id as k", "1 as v")
     assert [r[0] for r in ranks.running_totals(df, "k", "v", "t").orderBy("k").select("t").collect()] == list(range(1, 1001))
+
+
+def counted_plan(spark):
+    """A plan of two features, and how many rows they were built for."""
+    built = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def slow(x):
+        built.add(1)
+        return x
+
+    def group(i):
+        return FeatureGroup(f"f{i}", lambda rows: rows.withColumn(f"c{i}", slow(f"x{i}")), [f"c{i}"], [0.1, 0.3][i])
+
+    return FeaturePlan("row_id", (group(0), group(1))), built
+
+
+def test_importances_build_features_once(easy_and_hard, spark):
+    plan, built = counted_plan(spark)
+    values = train.importances(plan.build(easy_and_hard), plan, toy_callbacks(), ["c0", "c1"], "y")
+    assert built.value == 2 * 1000
+    plain = FeaturePlan("row_id", toy_plan().groups[:2])
+    assert values == train.importances(plain.build(easy_and_hard), plain, toy_callbacks(), ["c0", "c1"], "y")
