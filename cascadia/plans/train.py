@@ -101,33 +101,32 @@ def threshold_cost(small: DataFrame, big: DataFrame, row_id: str, label: str, ca
 
 
 def train_cascade(rows: DataFrame, plan: FeaturePlan, label: str, callbacks: Callbacks, seed: int = 42) -> Cascade:
-    """Splits, fits, searches all cutoffs and thresholds, and fits both models anew on all rows."""
-    data = plan.build(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    train, valid = hash_split(data, plan.row_id, 75, seed)
-    every = plan.columns()
-    model = callbacks.train(train, every, label)
-    predicted = callbacks.predict(model, valid).persist(StorageLevel.MEMORY_AND_DISK)
-    base = callbacks.score(predicted, label)
-    values, costs = importances(valid, plan, callbacks, model, label, seed), plan.costs(rows)
-    best: tuple[float, float, float, list[str]] | None = None
-    tried: set[tuple[str, ...]] = set()
-    for cutoff in CUTOFFS:
-        chosen, cost = knapsack(values, costs, cutoff)
-        if not chosen or tuple(chosen) in tried:
-            continue
-        tried.add(tuple(chosen))
-        small = callbacks.train(train, plan.columns(chosen), label)
-        threshold, expected = threshold_cost(callbacks.predict_proba(small, valid), predicted, plan.row_id, label, callbacks, base - LOSS_BUDGET, cost, 1000)
-        if best is None or expected < best[0]:
-            best = expected, threshold, cutoff, chosen
-    if best is None:  # no group is cheap enough: the full model answers every row
-        best = 1000.0, 1.0, 1.0, [g.name for g in plan.groups]
-    _, threshold, cutoff, chosen = best
-    rest = [c for c in every if c not in plan.columns(chosen)]
-    out = Cascade(chosen, threshold, cutoff, callbacks.train(data, plan.columns(chosen), label), callbacks.train(data, [*plan.columns(chosen), *rest], label), values, costs)
-    predicted.unpersist()
-    data.unpersist()
-    return out
+    """Splits, fits, searches all cutoffs and thresholds, and fits both models anew on all rows. The callbacks see the row id, the label and the features."""
+    with Features(rows, plan, label) as data:
+        train, valid = hash_split(data, plan.row_id, 75, seed)
+        every = plan.columns()
+        model = callbacks.train(train, every, label)
+        predicted = callbacks.predict(model, valid).persist(StorageLevel.MEMORY_AND_DISK)
+        base = callbacks.score(predicted, label)
+        values, costs = importances(valid, plan, callbacks, model, label, seed), plan.costs(rows)
+        best: tuple[float, float, float, list[str]] | None = None
+        tried: set[tuple[str, ...]] = set()
+        for cutoff in CUTOFFS:
+            chosen, cost = knapsack(values, costs, cutoff)
+            if not chosen or tuple(chosen) in tried:
+                continue
+            tried.add(tuple(chosen))
+            small = callbacks.train(train, plan.columns(chosen), label)
+            threshold, expected = threshold_cost(callbacks.predict_proba(small, valid), predicted, plan.row_id, label, callbacks, base - LOSS_BUDGET, cost, 1000)
+            if best is None or expected < best[0]:
+                best = expected, threshold, cutoff, chosen
+        if best is None:  # no group is cheap enough: the full model answers every row
+            best = 1000.0, 1.0, 1.0, [g.name for g in plan.groups]
+        _, threshold, cutoff, chosen = best
+        rest = [c for c in every if c not in plan.columns(chosen)]
+        out = Cascade(chosen, threshold, cutoff, callbacks.train(data, plan.columns(chosen), label), callbacks.train(data, [*plan.columns(chosen), *rest], label), values, costs)
+        predicted.unpersist()
+        return out
 
 
 def ratio_search(small: np.ndarray, big: np.ndarray, k: int, seed: int = 42) -> tuple[int, float, float] | None:
@@ -214,32 +213,30 @@ def ratio_search_rows(both: DataFrame, row_id: str, small: str, big: str, k: int
 
 def train_top_k(rows: DataFrame, plan: FeaturePlan, label: str, callbacks: Callbacks, k: int, seed: int = 42) -> Cascade:
     """As ``train_cascade`` for approximate top-K. The ratio search reads the two scores of all validation rows."""
-    data = plan.build(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    train, valid = hash_split(data, plan.row_id, 50, seed)
-    every = plan.columns()
-    model = callbacks.train(train, every, label)
-    values, costs = importances(valid, plan, callbacks, model, label, seed), plan.costs(rows)
-    full = callbacks.predict_proba(model, valid).select(plan.row_id, F.col("predict_proba").alias("_big"))
-    best = None
-    tried: set[tuple[str, ...]] = set()
-    for cutoff in CUTOFFS:
-        chosen, cost = knapsack(values, costs, cutoff)
-        if not chosen or tuple(chosen) in tried:
-            continue
-        tried.add(tuple(chosen))
-        small = callbacks.train(train, plan.columns(chosen), label)
-        both = callbacks.predict_proba(small, valid).select(plan.row_id, "predict_proba").join(full, plan.row_id)
-        found = ratio_search_rows(both, plan.row_id, "predict_proba", "_big", k, seed)
-        if found is None:
-            continue
-        ratio, n, own_k = found
-        expected = cost * n + (1000 - cost) * min(n, ratio * own_k)
-        if best is None or expected < best[0]:
-            best = expected, cutoff, chosen, ratio
-    if best is None:
-        best = 0.0, 1.0, [g.name for g in plan.groups], 1
-    _, cutoff, chosen, ratio = best
-    rest = [c for c in every if c not in plan.columns(chosen)]
-    out = Cascade(chosen, 1.0, cutoff, callbacks.train(data, plan.columns(chosen), label), callbacks.train(data, [*plan.columns(chosen), *rest], label), values, costs, ratio)
-    data.unpersist()
-    return out
+    with Features(rows, plan, label) as data:
+        train, valid = hash_split(data, plan.row_id, 50, seed)
+        every = plan.columns()
+        model = callbacks.train(train, every, label)
+        values, costs = importances(valid, plan, callbacks, model, label, seed), plan.costs(rows)
+        full = callbacks.predict_proba(model, valid).select(plan.row_id, F.col("predict_proba").alias("_big"))
+        best = None
+        tried: set[tuple[str, ...]] = set()
+        for cutoff in CUTOFFS:
+            chosen, cost = knapsack(values, costs, cutoff)
+            if not chosen or tuple(chosen) in tried:
+                continue
+            tried.add(tuple(chosen))
+            small = callbacks.train(train, plan.columns(chosen), label)
+            both = callbacks.predict_proba(small, valid).select(plan.row_id, "predict_proba").join(full, plan.row_id)
+            found = ratio_search_rows(both, plan.row_id, "predict_proba", "_big", k, seed)
+            if found is None:
+                continue
+            ratio, n, own_k = found
+            expected = cost * n + (1000 - cost) * min(n, ratio * own_k)
+            if best is None or expected < best[0]:
+                best = expected, cutoff, chosen, ratio
+        if best is None:
+            best = 0.0, 1.0, [g.name for g in plan.groups], 1
+        _, cutoff, chosen, ratio = best
+        rest = [c for c in every if c not in plan.columns(chosen)]
+        return Cascade(chosen, 1.0, cutoff, callbacks.train(data, plan.columns(chosen), label), callbacks.train(data, [*plan.columns(chosen), *rest], label), values, costs, ratio)

@@ -337,3 +337,19 @@ def test_importances_build_features_once(easy_and_hard, spark):
     assert built.value == 2 * 1000
     plain = FeaturePlan("row_id", toy_plan().groups[:2])
     assert values == train.importances(plain.build(easy_and_hard), plain, toy_callbacks(), ["c0", "c1"], "y")
+
+
+@pytest.mark.parametrize("search", [train.train_cascade, lambda *a: train.train_top_k(*a, 20)])
+def test_training_stores_no_columns_but_features(easy_and_hard, spark, search):
+    plan, built = counted_plan(spark)
+    toy, seen, parts = toy_callbacks(), set(), set()
+
+    def fit(df, columns, label):
+        seen.add(tuple(sorted(df.columns)))
+        parts.add(df.rdd.getNumPartitions())
+        return toy.train(df, columns, label)
+
+    wide = easy_and_hard.withColumn("text", F.lit("long")).repartition(40)
+    search(wide, plan, "y", Callbacks(fit, toy.predict, toy.predict_proba, toy.score))
+    assert seen == {("c0", "c1", "row_id", "y")} and parts == {spark.sparkContext.defaultParallelism}
+    assert built.value == 2 * 1000
