@@ -90,3 +90,16 @@ def test_spread_deals_small_scans_only(spark):
     small, large = spark.range(10, numPartitions=1), spark.range(10, numPartitions=cores + 1)
     assert io.spread(small).rdd.getNumPartitions() == cores and sorted(r[0] for r in io.spread(small).collect()) == list(range(10))
     assert io.spread(large) is large
+
+
+def test_lru_map_runs_functions_of_columns_in_the_same_process(spark, tmp_path):
+    from cascadia.queries import QUERIES
+
+    df = spark.createDataFrame([(1, "a", 2.0), (None, "b", None), (3, None, 0.5)], "id long, t string, x double").coalesce(1)
+    out = udf.lru_map(df, lambda i, t: f"{i}{t}", ["id", "t"], "y", "string", whole={"z": (lambda s: s * 2, "x", "double"), "n": (lambda s: s.isna(), "t", "boolean")})
+    assert out.dtypes == [*df.dtypes, ("y", "string"), ("z", "double"), ("n", "boolean")]
+    assert [tuple(r) for r in out.collect()] == [(1, "a", 2.0, "1a", 4.0, False), (None, "b", None, "Noneb", None, False), (3, None, 0.5, "3None", 1.0, True)]
+    events = spark.createDataFrame([(1, "click", 9, 0.25)], "event_id long, event_type string, user_id long, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    plan = QUERIES["udf_lru_and_vectorized"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "MapInPandas" not in plan
